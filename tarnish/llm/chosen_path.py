@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_groups, prepare, slices, written
+from .common import keyed_groups, narrowed, prepare, slices, written
 from .components import connected_components
 
 #: Parameters: words in a shingle, similarity, coordinates, chance that a pair
@@ -151,7 +151,8 @@ def leaves(reps: DataFrame, threshold: float, recall: float, depth: int, leaf: i
         done = ends if done is None else done.unionByName(ends)
         if d == depth - 1 or sizes.where(F.col("size") > leaf).isEmpty():
             break
-        level = sized.where(F.col("size") > leaf).select("node", "rep").join(reps.select("rep", "sketch"), "rep").mapInArrow(deeper, "node long, rep long").distinct()
+        large = written(sized.where(F.col("size") > leaf).select("node", "rep"), "large-nodes")
+        level = large.join(narrowed(reps.select("rep", "sketch"), "rep", large, "rep"), "rep").mapInArrow(deeper, "node long, rep long").distinct()
     return done
 
 
@@ -270,7 +271,7 @@ def similar_texts(documents: DataFrame, *, text_col: str = "text", threshold: fl
     reps = written(classes.withColumn("rep", F.xxhash64("key")), "reps")
     members = written(leaves(reps, threshold, recall, depth, leaf), "nodes")
     paths = members.groupBy("rep").agg(F.array_sort(F.collect_set("node")).alias("paths"))  # some nodes a run
-    known = reps.select("rep", "sketch").join(paths, "rep")
+    known = narrowed(reps.select("rep", "sketch"), "rep", members, "rep").join(paths, "rep")
     keys, n = ["node", "i", "j"], "node long, i int, j int, side int, rep long"
     dealt = tasks(members, chunk, leaf).join(known, "rep")
     dealt = dealt.select(*keys, "side", "rep", "sketch", "paths").repartition(*keys).sortWithinPartitions(*keys)
@@ -283,7 +284,8 @@ def similar_texts(documents: DataFrame, *, text_col: str = "text", threshold: fl
 
     chosen = written(dealt.mapInArrow(choose, f"{n}, paths array<long>"), "chosen")
     wanted = written(reps.select("rep", "doc", "key", "copies").join(chosen.select("rep").distinct(), "rep"), "wanted")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text_col).alias("text"))
+    text = narrowed(text, "doc", wanted, "doc").join(wanted, "doc")
     keyed = chosen.join(text, "rep").select(*keys, "side", "rep", "key", "copies", "paths", "text").repartition(*keys).sortWithinPartitions(*keys, "rep")
 
     def verify(batches):
