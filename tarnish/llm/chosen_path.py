@@ -119,9 +119,16 @@ def sketches(documents: DataFrame, text_col: str = "text") -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, key binary, empty boolean, sketch binary")
 
 
-def sketch_matrix(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), COORDINATES)
+def sketch_matrix(column, kind=np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), COORDINATES)
+
+
+def halved(batches):
+    """Sketches cut to the low 16 bits of each min-hash: enough to compare
+    the sets of a node, at half the bytes."""
+    for b in batches:
+        s = sketch_matrix(b.column("sketch")).astype(np.uint16) if b.num_rows else []
+        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([x.tobytes() for x in s], pa.binary())], names=["rep", "sketch"])
 
 
 def leaves(reps: DataFrame, threshold: float, recall: float, depth: int, leaf: int) -> DataFrame:
@@ -183,7 +190,7 @@ def _candidates(table: pa.Table, least: int) -> np.ndarray:
     """Rows of one task that have a pair to verify here."""
     side = table.column("side").to_numpy()
     a, b = _pairs(side)
-    s = sketch_matrix(table.column("sketch")).astype(np.uint16)
+    s = sketch_matrix(table.column("sketch"), np.uint16)
     near = np.concatenate([(s[a[k : k + 8192]] == s[b[k : k + 8192]]).sum(1) >= least for k in range(0, len(a), 8192)] or [np.empty(0, dtype=bool)])
     a, b = a[near], b[near]
     if len(a):
@@ -271,7 +278,7 @@ def similar_texts(documents: DataFrame, *, text_col: str = "text", threshold: fl
     reps = written(classes.withColumn("rep", F.xxhash64("key")), "reps")
     members = written(leaves(reps, threshold, recall, depth, leaf), "nodes")
     paths = members.groupBy("rep").agg(F.array_sort(F.collect_set("node")).alias("paths"))  # some nodes a run
-    known = narrowed(reps.select("rep", "sketch"), "rep", members, "rep").join(paths, "rep")
+    known = narrowed(reps.select("rep", "sketch"), "rep", members, "rep").mapInArrow(halved, "rep long, sketch binary").join(paths, "rep")
     keys, n = ["node", "i", "j"], "node long, i int, j int, side int, rep long"
     dealt = tasks(members, chunk, leaf).join(known, "rep")
     dealt = dealt.select(*keys, "side", "rep", "sketch", "paths").repartition(*keys).sortWithinPartitions(*keys)
