@@ -24,11 +24,11 @@ def s7_checksums(spark, sf_dir):
     return verify_checksums(d, "text", "expected").select("doc_id", "checksum_ok")
 
 
-@query("SELECT n_name AS name, round(coalesce(n.m, o.m, 0), 2)::DOUBLE AS i_roc FROM nation LEFT JOIN (SELECT c_nationkey AS k, avg(c_acctbal) AS m FROM customer WHERE c_mktsegment = 'HOUSEHOLD' GROUP BY 1) n ON n.k = n_nationkey LEFT JOIN (SELECT s_nationkey AS k, avg(s_acctbal) AS m FROM supplier GROUP BY 1) o ON o.k = n_nationkey")
+@query("SELECT n_name AS name, round(coalesce(n.m, o.m, 0), 2)::DOUBLE AS i_roc FROM nation LEFT JOIN (SELECT c_nationkey AS k, avg(c_acctbal) / 7 AS m FROM customer WHERE c_mktsegment = 'HOUSEHOLD' GROUP BY 1) n ON n.k = n_nationkey LEFT JOIN (SELECT s_nationkey AS k, avg(s_acctbal) / 7 AS m FROM supplier GROUP BY 1) o ON o.k = n_nationkey")
 def s9_metric_upsert(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name"))
-    new = table(spark, sf_dir, "customer").where("c_mktsegment = 'HOUSEHOLD'").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.avg("c_acctbal").alias("i_roc")).join(nation, "n_nationkey")
-    old = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.avg("s_acctbal").alias("i_roc")).join(nation, "n_nationkey")
+    new = table(spark, sf_dir, "customer").where("c_mktsegment = 'HOUSEHOLD'").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg((F.avg("c_acctbal") / 7).alias("i_roc")).join(nation, "n_nationkey")
+    old = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg((F.avg("s_acctbal") / 7).alias("i_roc")).join(nation, "n_nationkey")
     return upsert_metrics(old, new, nation.select("name"), ["i_roc"])
 
 
