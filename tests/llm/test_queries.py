@@ -118,6 +118,24 @@ def test_passages(spark, odd, empty):
     assert 4 not in kept and 3 in kept and 1 in kept and None in kept
 
 
+def edited(words, at, tag):
+    return [f"{tag}{i}" if i in at else w for i, w in enumerate(words)]
+
+
+def test_passages_behind_a_similar_document(spark):
+    """An earlier document that holds an unlike version, or a part, hides no exact repeat."""
+    rows, want = [], {}
+    for n in range(40):
+        v2 = [f"p{n}w{i}" for i in range(50)]
+        v1 = edited(v2, {12, 30} if n % 2 else set(range(20)), f"e{n}x")  # 36 and 26 of 46 shingles
+        fill = lambda tag, n=n: [f"{tag}{n}f{i}" for i in range(60)]
+        rows += [(3 * n, " ".join(fill("a") + v1)), (3 * n + 1, " ".join(fill("b") + v2)), (3 * n + 2, " ".join(v2 + fill("c")))]
+        want[3 * n + 2] = 3 * n + 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["source_doc_id"]): (r["start_word"], r["end_word"]) for r in compact_windows.duplicate_passages(df).collect()}
+    assert all(got.get(pair) == (0, 50) for pair in want.items())
+
+
 def test_scores(odd, empty, documents):
     for df in (odd, documents):
         rows = df.collect()
