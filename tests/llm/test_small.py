@@ -51,6 +51,26 @@ def test_repeated_spans_finds_an_edited_passage():
     assert [(s, e) for s, e, _ in compact_windows.repeated_spans(mine, other, 46, 0.8)] == [(50, 149)]
 
 
+def test_repeated_spans_where_the_source_repeats_a_line():
+    mine = np.arange(1000, 1056, dtype=np.uint64)
+    passage = mine.copy()
+    passage[26:31] = np.arange(5)  # one word edited: 51 of 56 shingles
+    other = np.concatenate([np.arange(2000, 2010, dtype=np.uint64), mine[:1], np.arange(3000, 3049, dtype=np.uint64), passage, np.arange(4000, 4040, dtype=np.uint64)])
+    assert compact_windows.repeated_spans(mine, other, 46, 0.8) == [(0, 55, pytest.approx(51 / 61))]
+    two = np.concatenate([mine, mine + 500])  # in the source far apart, in the other order
+    apart = np.concatenate([passage + np.where(passage > 99, 500, 0).astype(np.uint64), np.arange(5000, 5400, dtype=np.uint64), passage])
+    assert [(s, e) for s, e, _ in compact_windows.repeated_spans(two, apart, 46, 0.8)] == [(0, 55), (56, 111)]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 12), min_size=1, max_size=14), st.lists(st.integers(0, 12), max_size=30))
+def test_best_likeness_equals_all_windows(x, other):
+    x, other = np.unique(np.array(x, dtype=np.uint64)), np.array(other, dtype=np.uint64)
+    want = max((compact_windows.jaccard(x, other[i:j]) for i in range(len(other)) for j in range(i + 1, len(other) + 1)), default=0.0)
+    got = compact_windows.best_likeness(x, other, 0.5)
+    assert got == pytest.approx(want) if want >= 0.5 else got < 0.5
+
+
 def test_remove_words():
     assert compact_windows.remove_words("a b  c d\ne", [(1, 3)]) == "a d\ne"
 
