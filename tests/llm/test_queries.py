@@ -136,6 +136,56 @@ def test_passages_behind_a_similar_document(spark):
     assert all(got.get(pair) == (0, 50) for pair in want.items())
 
 
+def brute_force_places(docs):
+    """Places of each document in a passage of each smaller one: (doc, source) -> set."""
+    items, where, out = {i: compact_windows.shingle_sequence((t or "").split()) for i, t in docs}, collections.defaultdict(set), {}
+    for i, s in items.items():
+        for x in set(s.tolist()):
+            where[x].add(i)
+    for i, s in items.items():
+        shared = collections.Counter(j for x in set(s.tolist()) for j in where[x] if j < i)
+        for j, n in shared.items():
+            spans = compact_windows.repeated_spans(s, items[j], 46, 0.8) if n >= 36 else []
+            if spans:
+                out[i, j] = {p for a, b, _ in spans for p in range(a, b + 1)}
+    return out
+
+
+def test_near_passages_equal_brute_force(spark):
+    """Passages of one window at the threshold: a word is edited, so that 41
+    of 46 shingles recur (likeness 41 / 51)."""
+    rows = []
+    for n in range(400):
+        p = [f"p{n}w{i}" for i in range(50)]
+        fill = lambda tag, n=n: [f"{tag}{n}f{i}" for i in range(60)]
+        rows += [(2 * n, " ".join(fill("a") + p + fill("b"))), (2 * n + 1, " ".join(fill("c") + edited(p, {24}, f"e{n}x") + fill("d")))]
+    want = brute_force_places(rows)
+    near = [pair for pair, places in want.items() if len(places) >= 46]
+    got = collections.defaultdict(set)
+    for r in compact_windows.duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"], r["source_doc_id"]] |= set(range(r["start_word"], r["end_word"] - 4))
+    assert len(near) == 400 and compact_windows.missing(0.8) < 0.002
+    assert sum(got[pair] >= want[pair] for pair in near) >= 397  # 0.16 % of 400 is 0.64
+    assert all(got[pair] <= want[pair] for pair in got)
+
+
+def test_stages_equal_brute_force(spark, documents):
+    import corpus_pipeline
+
+    docs = documents.limit(200).localCheckpoint()
+    model = langid.fit(docs)
+    known = sorted(r["doc_id"] for r in docs.collect() if not model.predict(r["text"])[2])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, docs, DATA).collect()) == known
+    rows = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] is not None}
+    covered = collections.defaultdict(set)
+    for (i, _), places in brute_force_places(rows.items()).items():
+        covered[i] |= {w for p in places for w in range(p, p + 5)}
+    kept = {r["doc_id"]: r["text"] or "" for r in corpus_pipeline.repeated_passages(spark, docs, DATA).collect()}
+    gone = {i: len((t or "").split()) - len(kept.get(i, "").split()) for i, t in rows.items()}
+    assert sum(gone.values()) >= 0.98 * sum(map(len, covered.values())) > 0
+    assert all(n <= len(covered[i]) for i, n in gone.items())
+
+
 def test_scores(odd, empty, documents):
     for df in (odd, documents):
         rows = df.collect()
