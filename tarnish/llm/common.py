@@ -84,6 +84,48 @@ def narrowed(df: DataFrame, column: str, keys: DataFrame, key: str, bits: int =
     return df.join(F.broadcast(row), F.getbit(word, (at % 64).cast("int")) == 1, "left_semi")
 
 
+def numbered(documents: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """``documents`` with a column ``_doc`` that names a row's id and text.
+
+    Where doc_ids are unique and not null, ``_doc`` is doc_id and the second
+    result None.  Otherwise it numbers the distinct (doc_id, text) in
+    ascending order, null ids first, and the second result maps it to
+    doc_id: rows that share an id keep their own texts.
+    """
+    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if ids.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return documents.withColumn("_doc", F.col("doc_id").cast("long")), None
+    text = F.coalesce(F.sha1(F.col(text_col).cast("binary")), F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("long").alias("_id"), text.alias("_sha")).distinct()
+    # ids ascend with partitions, and these with the order
+    names = written(rows.orderBy(F.asc_nulls_first("_id"), "_sha").withColumn("_no", F.monotonically_increasing_id()), "row-numbers")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text == F.col("_sha"))
+    out = documents.join(names, same, "left").withColumnRenamed("_no", "_doc").drop("_id", "_sha")
+    return out, names.select(F.col("_no").alias("_doc"), F.col("_id").alias("doc_id"))
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """Inner join in which a key of many rows of ``many`` meets no single task.
+
+    Keys over a quarter of a partition's share of the rows are salted: there
+    are at most four times as many of them as partitions, so their list is
+    broadcast, and as many copies of their rows of ``few`` are made at most.
+    ``counts`` (keys, n) spares counting ``many`` anew.
+    """
+    spark = many.sparkSession
+    counts = many.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts.select(*keys, "n")
+    counts = written(counts.where(F.col("n") > 1000), "key-counts")
+    rows = max(1000, (counts.agg(F.sum("n")).first()[0] or 0) // (4 * partitions(spark)))
+    hot = counts.where(F.col("n") > rows).withColumn("_salts", F.ceil(F.col("n") / rows).cast("int")).drop("n")
+    if hot.isEmpty():
+        return many.join(few, keys)
+    salts = F.coalesce("_salts", F.lit(1))
+    others = [c for c in many.columns if c not in keys] or keys
+    left = many.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*others), salts).cast("int")).drop("_salts")
+    right = few.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def crc_residue(id_col, modulus: int):
     """crc32 of the id written as text, modulo ``modulus`` (a null id: 0)."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus, F.lit(0))

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tarnish.llm import ann, bpe, chosen_path, compact_windows, langid, packing, warc
+from tarnish.llm import ann, bpe, chosen_path, compact_windows, langid, packing, shingling, warc
 
 
 def test_chi_square_quantile():
@@ -38,10 +38,53 @@ def test_tree_concatenation_of_a_long_word():
 def test_compact_windows_cover_each_subsequence_once(values, span):
     h = np.array(values, dtype=np.uint64)
     left, c, right = compact_windows.compact_windows(h, span)
-    for i, j in itertools.combinations_with_replacement(range(len(h)), 2):
-        if j - i + 1 >= span:
-            at = [int(m) for lo, m, hi in zip(left, c, right, strict=True) if lo <= i <= m <= j <= hi]
-            assert at == [i + int(np.argmin(h[i : j + 1]))]
+    for i in range(len(h) - span + 1):
+        at = [int(m) for lo, m, hi in zip(left, c, right, strict=True) if lo <= i <= m <= i + span - 1 <= hi]
+        assert at == [i + int(np.argmin(h[i : i + span]))]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**32), st.integers(3, 30), st.integers(0, 12))
+def test_equal_runs_share_a_signature(seed, length, after):
+    rng = np.random.default_rng(seed)
+    run = rng.integers(0, 2**63, length).astype(np.uint64)
+    sides = [np.concatenate([rng.integers(0, 2**63, k).astype(np.uint64) for k in (9, 0)] + [run, rng.integers(0, 2**63, after).astype(np.uint64)]) for _ in (0, 1)]
+    a, b = (set(compact_windows.signatures(s, np.zeros(len(s), dtype=np.int64), length)[0].tolist()) for s in sides)
+    assert a & b
+
+
+def test_seed_length_holds_for_edited_passages():
+    seed = compact_windows.seed_length(46, 0.8)
+    rng = np.random.default_rng(1)
+    for _ in range(3000):
+        n = int(rng.integers(50, 140))
+        words, out = [f"w{i}" for i in range(n)], []
+        edits = set(rng.integers(0, n, int(rng.integers(0, 4))).tolist())
+        for i, w in enumerate(words):
+            kind = rng.integers(3) if i in edits else 3
+            out += [[], [w, f"new{i}"], [f"new{i}"], [w]][kind]
+        x, y = ([" ".join(v[i : i + 5]) for i in range(len(v) - 4)] for v in (words, out))
+        both = set(x) & set(y)
+        if len(both) >= 0.8 * len(set(x) | set(y)):
+            longest, now = 0, 0
+            at = {s: i for i, s in enumerate(y)}
+            for i, s in enumerate(x):
+                now = now + 1 if s in at and (now == 0 or at.get(x[i - 1], -2) + 1 == at[s]) else int(s in at)
+                longest = max(longest, now)
+            assert longest >= seed
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab é\u00a0\u3000\x1c\x0b\n", max_size=30), max_size=6))
+def test_words_of_many_texts_equal_those_of_each(texts):
+    import pyarrow as pa
+
+    found, bounds = shingling.word_hashes(pa.array([*texts, None], pa.string()))
+    known = {}
+    for t, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=False):
+        ws = t.encode().split()
+        assert b - a == len(ws) and all(known.setdefault(w, h) == h for w, h in zip(ws, found[a:b].tolist(), strict=True))
+    assert len(set(known.values())) == len(known) and bounds[-1] == bounds[-2]
 
 
 def test_repeated_spans_finds_an_edited_passage():
