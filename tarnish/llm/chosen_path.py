@@ -22,43 +22,23 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_groups, narrowed, prepare, slices, written
+from .common import keyed_groups, narrowed, numbered, prepare, slices, spread_join, written
 from .components import connected_components
+from .shingling import WORDS, mixed, portions, shingle_sets
 
-#: Parameters: words in a shingle, similarity, coordinates, chance that a pair
-#: at the threshold is found, levels, sets in a node that is not split further,
-#: sets in a chunk, and standard deviations that a sketch may be off by.
-WORDS, THRESHOLD, COORDINATES, RECALL, DEPTH, LEAF, CHUNK, SLACK = 5, 0.8, 128, 0.9999, 4, 1024, 256, 4.5
+#: Parameters: similarity, coordinates, chance that a pair at the threshold is
+#: found, levels, sets in a node that is not split further, sets in a chunk,
+#: and standard deviations that a sketch may be off by.
+THRESHOLD, COORDINATES, RECALL, DEPTH, LEAF, CHUNK, SLACK = 0.8, 128, 0.9999, 4, 1024, 512, 4.5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(words: list[str], hashed=lambda w: zlib.crc32(w.encode("utf-8", "replace"))) -> np.ndarray:
-    """Sorted distinct hashes of runs of ``WORDS`` words; a shorter text has
-    one shingle of all its words, one without words none."""
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(hashed, words), dtype=np.int64, count=len(words)).astype(np.uint64)
-    n = max(1, len(words) - WORDS + 1)
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(min(WORDS, len(words))):
-        out = (out + h[k : k + n]) * _MIX + np.uint64(k)
-    return np.unique(mixed(out))
-
-
 def coefficients() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(11)
     return rng.integers(1, 2**32, COORDINATES, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, COORDINATES, dtype=np.uint32)
@@ -102,32 +82,32 @@ def children(node: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np
     return rows, mixed(mixed(seed[rows] + at) ^ (value * _MIX))
 
 
-def sketches(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, key (of the word sequence), empty, sketch."""
+def sketches(documents: DataFrame) -> DataFrame:
+    """doc, key (of the word sequence), empty, sketch: the low 16 bits of each
+    min-hash, by which unlike sets agree with 2 ** -16 more."""
     by = coefficients()
 
     def run(batches):
-        for b in batches:
-            keys, sets, none = [], [], []
-            for t in b.column("text").to_pylist():
-                w = (t or "").split()
-                keys.append(hashlib.blake2b(" ".join(w).encode("utf-8", "replace"), digest_size=16).digest())
-                none.append(not w)
-                sets.append(min_hashes(shingles(w), by).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(none, pa.bool_()), pa.array(sets, pa.binary())], names=["doc_id", "key", "empty", "sketch"])
+        for batch in batches:
+            for a, b in portions(batch.column("text")):
+                part = batch.slice(a, b - a)
+                words = [b" ".join((t or "").encode().split()) for t in part.column("text").to_pylist()]
+                keys = [hashlib.blake2b(w, digest_size=16).digest() for w in words]
+                sets = [min_hashes(x, by).astype(np.uint16).tobytes() for x in shingle_sets(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(keys, pa.binary()), pa.array([not w for w in words], pa.bool_()), pa.array(sets, pa.binary())], names=["doc", "key", "empty", "sketch"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, key binary, empty boolean, sketch binary")
+    return documents.select("doc", "text").mapInArrow(run, "doc long, key binary, empty boolean, sketch binary")
 
 
-def sketch_matrix(column, kind=np.uint32) -> np.ndarray:
+def sketch_matrix(column, kind=np.uint16) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), COORDINATES)
 
 
 def halved(batches):
-    """Sketches cut to the low 16 bits of each min-hash: enough to compare
+    """Sketches cut to the low 8 bits of each min-hash: enough to compare
     the sets of a node, at half the bytes."""
     for b in batches:
-        s = sketch_matrix(b.column("sketch")).astype(np.uint16) if b.num_rows else []
+        s = sketch_matrix(b.column("sketch")).astype(np.uint8) if b.num_rows else []
         yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([x.tobytes() for x in s], pa.binary())], names=["rep", "sketch"])
 
 
@@ -137,29 +117,30 @@ def leaves(reps: DataFrame, threshold: float, recall: float, depth: int, leaf: i
 
     def start(batches):
         for b in batches:
-            s = sketch_matrix(b.column("sketch")) if b.num_rows else np.empty((0, COORDINATES), dtype=np.uint32)
+            s = sketch_matrix(b.column("sketch")) if b.num_rows else np.empty((0, COORDINATES), dtype=np.uint16)
             node = np.repeat(np.arange(n_runs, dtype=np.uint64) + np.uint64(1), b.num_rows)
             rows, child = children(node, np.tile(s, (n_runs, 1)), threshold)
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("rep").take(pa.array(rows % max(1, b.num_rows)))], names=["node", "rep"])
 
     def deeper(batches):
         for b in batches:
-            s = sketch_matrix(b.column("sketch")) if b.num_rows else np.empty((0, COORDINATES), dtype=np.uint32)
+            s = sketch_matrix(b.column("sketch")) if b.num_rows else np.empty((0, COORDINATES), dtype=np.uint16)
             rows, child = children(b.column("node").to_numpy().view(np.uint64), s, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("rep").take(pa.array(rows))], names=["node", "rep"])
 
-    level = reps.select("rep", "sketch").mapInArrow(start, "node long, rep long").distinct()
+    # a set comes to a node by one path, so no pair occurs twice
+    level = reps.select("rep", "sketch").mapInArrow(start, "node long, rep long")
     done = None
     for d in range(depth):
         level = written(level, "paths")
         sizes = written(level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "path-sizes")
-        sized = level.join(sizes, "node")
+        sized = written(spread_join(level, sizes, ["node"], sizes.withColumnRenamed("size", "n")), "sized-paths")
         ends = sized if d == depth - 1 else sized.where(F.col("size") <= leaf)
         done = ends if done is None else done.unionByName(ends)
         if d == depth - 1 or sizes.where(F.col("size") > leaf).isEmpty():
             break
         large = written(sized.where(F.col("size") > leaf).select("node", "rep"), "large-nodes")
-        level = large.join(narrowed(reps.select("rep", "sketch"), "rep", large, "rep"), "rep").mapInArrow(deeper, "node long, rep long").distinct()
+        level = large.join(narrowed(reps.select("rep", "sketch"), "rep", large, "rep"), "rep").mapInArrow(deeper, "node long, rep long")
     return done
 
 
@@ -190,7 +171,7 @@ def _candidates(table: pa.Table, least: int) -> np.ndarray:
     """Rows of one task that have a pair to verify here."""
     side = table.column("side").to_numpy()
     a, b = _pairs(side)
-    s = sketch_matrix(table.column("sketch"), np.uint16)
+    s = sketch_matrix(table.column("sketch"), np.uint8)
     near = np.concatenate([(s[a[k : k + 8192]] == s[b[k : k + 8192]]).sum(1) >= least for k in range(0, len(a), 8192)] or [np.empty(0, dtype=bool)])
     a, b = a[near], b[near]
     if len(a):
@@ -221,7 +202,7 @@ def _links(table: pa.Table, threshold: float) -> list[tuple[int, int, int]]:
     """(rep, links weighted by copies, smallest member of its group here)."""
     side, reps = table.column("side").to_numpy(), table.column("rep").to_numpy()
     copies = table.column("copies").to_numpy()
-    sets = [shingles(t.split(), hash) for t in table.column("text").to_pylist()]
+    sets = shingle_sets(table.column("text").combine_chunks())
     size = np.array([len(s) for s in sets], dtype=np.float64)
     a, b = _pairs(side)
     if len(sets) == 2:
@@ -262,19 +243,29 @@ def similar_texts(documents: DataFrame, *, text_col: str = "text", threshold: fl
     """doc_id, class_id, n_links for every row of ``documents``.
 
     Rows link if the Jaccard similarity of their sets of five-word shingles
-    (words: as cut by white space; fewer than five words: one shingle) is
-    ``threshold`` or more.  class_id: smallest doc_id of the connected group;
-    n_links: rows linked to, copies included.  Null texts and those without
-    words link to nothing.  Repeated rows are copies; rows of null doc_id
-    are left out; an empty table gives no rows; other columns are ignored.
+    (words: as cut by ASCII blanks; fewer than five words: one shingle) is
+    ``threshold`` or more.  class_id: smallest doc_id of the connected group,
+    null if none of its rows has one; n_links: rows linked to, copies
+    included.  Null texts and those without words link to nothing.  Texts
+    that share a doc_id, or have none, are compared like others; repeated
+    rows are copies; an empty table gives no rows; other columns are ignored.
     """
-    spark = documents.sparkSession
-    prepare(spark)
-    docs = documents.where("doc_id is not null")
-    whole = written(sketches(docs, text_col), "sketches")
+    docs, names = numbered(documents.select("doc_id", F.col(text_col).alias("text")))
+    out = _linked(docs.select(F.col("_doc").alias("doc"), "text"), names is not None, threshold, recall, depth, leaf, chunk)
+    if names is None:
+        return out.withColumnsRenamed({"doc": "doc_id", "class": "class_id"}).select("doc_id", "class_id", "n_links")
+    out = out.join(names.select(F.col("_doc").alias("doc"), "doc_id"), "doc")
+    return out.join(names.select(F.col("_doc").alias("class"), F.col("doc_id").alias("class_id")), "class").select("doc_id", "class_id", "n_links")
+
+
+def _linked(docs: DataFrame, repeated: bool, threshold: float, recall: float, depth: int, leaf: int, chunk: int) -> DataFrame:
+    """doc, class (smallest doc of the group), n_links for rows (doc, text);
+    ``repeated``: whether a doc may have several, equal rows."""
+    prepare(docs.sparkSession)
+    whole = written(sketches(docs), "sketches")
     filled = whole.where("not empty")
-    # a representative is named by a hash of its key, as doc_ids may repeat
-    classes = filled.groupBy("key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    # a representative is named by a hash of its key
+    classes = filled.groupBy("key").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
     reps = written(classes.withColumn("rep", F.xxhash64("key")), "reps")
     members = written(leaves(reps, threshold, recall, depth, leaf), "nodes")
     paths = members.groupBy("rep").agg(F.array_sort(F.collect_set("node")).alias("paths"))  # some nodes a run
@@ -290,47 +281,33 @@ def similar_texts(documents: DataFrame, *, text_col: str = "text", threshold: fl
             yield from t.select([*keys, "side", "rep", "paths"]).take(pa.array(take, pa.int64())).to_batches()
 
     chosen = written(dealt.mapInArrow(choose, f"{n}, paths array<long>"), "chosen")
-    wanted = written(reps.select("rep", "doc", "key", "copies").join(chosen.select("rep").distinct(), "rep"), "wanted")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text_col).alias("text"))
-    text = narrowed(text, "doc", wanted, "doc").join(wanted, "doc")
-    keyed = chosen.join(text, "rep").select(*keys, "side", "rep", "key", "copies", "paths", "text").repartition(*keys).sortWithinPartitions(*keys, "rep")
+    wanted = written(reps.select("rep", "doc", "copies").join(chosen.select("rep").distinct(), "rep"), "wanted")
+    text = narrowed(docs, "doc", wanted, "doc")
+    text = (text.dropDuplicates(["doc"]) if repeated else text).join(wanted, "doc")
+    keyed = chosen.join(text, "rep").select(*keys, "side", "rep", "copies", "paths", "text").repartition(*keys).sortWithinPartitions(*keys, "rep")
 
     def verify(batches):
         for t in keyed_groups(batches, keys):
-            out = []
-            for a, b in slices(t, keys):
-                g = t.slice(a, b - a)
-                own = [hashlib.blake2b(" ".join((x or "").split()).encode("utf-8", "replace"), digest_size=16).digest() == k for x, k in zip(g.column("text").to_pylist(), g.column("key").to_pylist(), strict=True)]
-                once = np.append(True, np.diff(g.column("rep").to_numpy()) != 0) if all(own) else _once(own, g.column("rep").to_pylist())
-                g = g.filter(pa.array(np.array(own) & once))
-                if g.num_rows > 1:
-                    out += _links(g, threshold)
+            out = [x for a, b in slices(t, keys) if b - a > 1 for x in _links(t.slice(a, b - a), threshold)]
             yield pa.RecordBatch.from_pydict({k: [r[i] for r in out] for i, k in enumerate(("rep", "links", "low"))}, schema=pa.schema({"rep": pa.int64(), "links": pa.int64(), "low": pa.int64()}))
 
     found = written(keyed.mapInArrow(verify, "rep long, links long, low long"), "links")
     groups = connected_components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     each = reps.select("rep", "doc", "key", "copies").join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     each = written(each.select("key", "doc", F.coalesce("label", "rep").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
-    names = written(each.groupBy("label").agg(F.min("doc").alias("class_id")), "class-names")
+    names = written(each.groupBy("label").agg(F.min("doc").alias("class")), "class-names")
     each = written(each.select("key", "label", "n_links").join(names, "label").drop("label"), "named")
-    linked = whole.select("doc_id", "key", "empty").join(each, "key", "left")
-    return linked.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def _once(own: list[bool], reps: list[int]) -> np.ndarray:
-    seen, out = set(), []
-    for ok, r in zip(own, reps, strict=True):
-        out.append(ok and r not in seen)
-        if ok:
-            seen.add(r)
-    return np.array(out)
+    linked = whole.select("doc", "key", "empty").join(each, "key", "left")
+    return linked.select("doc", F.coalesce("class", "doc").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def keep_one(documents: DataFrame, **options) -> DataFrame:
+def keep_one(documents: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, leaf: int = LEAF, chunk: int = CHUNK) -> DataFrame:
     """The documents without those that link, directly or through others, to
-    one of smaller doc_id; of repeated rows one stays.  Columns as they are."""
-    classes = similar_texts(documents, **options)
-    kept = written(classes.where("doc_id = class_id").groupBy("doc_id").count(), "kept")
-    once, more = kept.where("count = 1").select("doc_id"), kept.where("count > 1").select("doc_id")
-    out = documents.join(once, "doc_id", "left_semi").unionByName(documents.where("doc_id is null"))
-    return out if more.isEmpty() else out.unionByName(documents.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    an earlier one (smaller doc_id, null ids last; texts of one id in an
+    order of their own); of repeated rows one stays.  Columns as they are."""
+    columns = documents.columns
+    docs, names = numbered(documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")))
+    classes = _linked(docs.select(F.col("_doc").alias("doc"), "text"), names is not None, threshold, recall, depth, leaf, chunk)
+    kept = written(classes.select(F.col("class").alias("_doc")).distinct(), "kept")
+    docs = docs.join(kept, "_doc", "left_semi")
+    return (docs if names is None else docs.dropDuplicates(["_doc"])).select("_row.*")

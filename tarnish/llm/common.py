@@ -89,7 +89,7 @@ def numbered(documents: DataFrame, text_col: str = "text") -> tuple[DataFrame, D
 
     Where doc_ids are unique and not null, ``_doc`` is doc_id and the second
     result None.  Otherwise it numbers the distinct (doc_id, text) in
-    ascending order, null ids first, and the second result maps it to
+    ascending order, null ids last, and the second result maps it to
     doc_id: rows that share an id keep their own texts.
     """
     ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -98,7 +98,7 @@ def numbered(documents: DataFrame, text_col: str = "text") -> tuple[DataFrame, D
     text = F.coalesce(F.sha1(F.col(text_col).cast("binary")), F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("_id"), text.alias("_sha")).distinct()
     # ids ascend with partitions, and these with the order
-    names = written(rows.orderBy(F.asc_nulls_first("_id"), "_sha").withColumn("_no", F.monotonically_increasing_id()), "row-numbers")
+    names = written(rows.orderBy(F.asc_nulls_last("_id"), "_sha").withColumn("_no", F.monotonically_increasing_id()), "row-numbers")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text == F.col("_sha"))
     out = documents.join(names, same, "left").withColumnRenamed("_no", "_doc").drop("_id", "_sha")
     return out, names.select(F.col("_no").alias("_doc"), F.col("_id").alias("doc_id"))

@@ -65,7 +65,7 @@ FROM n
 #: The join by its definition: all pairs that share a shingle, and the
 #: smallest doc_id that each document reaches over links.
 JOIN_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, string_split_regex(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), ' ') AS w FROM documents WHERE regexp_matches(coalesce(text, ''), '\S')),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+') AS w FROM documents WHERE regexp_matches(coalesce(text, ''), '[^\x09-\x0D\x20]')),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
