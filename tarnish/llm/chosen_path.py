@@ -100,17 +100,29 @@ def sketches(documents: DataFrame) -> DataFrame:
 
 
 def sketch_matrix(column, kind=np.uint16) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1)
 
 
-def halved(batches):
-    """Sketches cut to the low 8 bits of each min-hash: enough to compare
-    the sets of a node, at half the bytes."""
+def packed(sketch: np.ndarray) -> np.ndarray:
+    """The low 4 bits of each min-hash, two in a byte: enough to choose the
+    pairs of a node, as unlike sets agree with 1 / 16 more."""
+    low = (sketch & 15).astype(np.uint8)
+    return low[:, ::2] | low[:, 1::2] << 4
+
+
+def packed_rows(batches):
     for b in batches:
-        s = sketch_matrix(b.column("sketch")).astype(np.uint8) if b.num_rows else []
+        s = packed(sketch_matrix(b.column("sketch"))) if b.num_rows else []
         yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([x.tobytes() for x in s], pa.binary())], names=["rep", "sketch"])
 
 
+def least_agreement(threshold: float) -> int:
+    """Packed coordinates that two sets at the threshold share at least, but
+    for a chance of ``SLACK`` standard deviations."""
+    p = threshold + (1 - threshold) / 16
+    return int(COORDINATES * p - SLACK * math.sqrt(COORDINATES * p * (1 - p)))
+
+
 def leaves(reps: DataFrame, threshold: float, recall: float, depth: int, leaf: int) -> DataFrame:
     """(node, rep, size): the nodes of at least two sets where paths end."""
     n_runs = runs_for(recall, threshold, depth)
@@ -145,7 +157,8 @@ def leaves(reps: DataFrame, threshold: float, recall: float, depth: int, leaf: i
 
 
 def _first_common(paths: list[np.ndarray], a: np.ndarray, b: np.ndarray, node: int) -> np.ndarray:
-    """Whether ``node`` is the smallest node that both of each pair have."""
+    """Whether ``node`` is the smallest node that both of each pair have, by
+    the upper 32 bits of nodes."""
     out = np.ones(len(a), dtype=bool)
     early = [p[: np.searchsorted(p, node)] for p in paths]
     codes, inverse = np.unique(np.concatenate(early) if early else [], return_inverse=True)
@@ -172,10 +185,14 @@ def _candidates(table: pa.Table, least: int) -> np.ndarray:
     side = table.column("side").to_numpy()
     a, b = _pairs(side)
     s = sketch_matrix(table.column("sketch"), np.uint8)
-    near = np.concatenate([(s[a[k : k + 8192]] == s[b[k : k + 8192]]).sum(1) >= least for k in range(0, len(a), 8192)] or [np.empty(0, dtype=bool)])
+    near = [np.empty(0, dtype=bool)]
+    for k in range(0, len(a), 8192):
+        x = s[a[k : k + 8192]] ^ s[b[k : k + 8192]]
+        near.append(((x & 15 == 0).sum(1) + (x & 240 == 0).sum(1)) >= least)
+    near = np.concatenate(near)
     a, b = a[near], b[near]
     if len(a):
-        first = _first_common([np.array(p) for p in table.column("paths").to_pylist()], a, b, table.column("node")[0].as_py())
+        first = _first_common([np.array(p) for p in table.column("paths").to_pylist()], a, b, table.column("node")[0].as_py() >> 32)
         a, b = a[first], b[first]
     return np.unique(np.concatenate([a, b]))
 
@@ -212,7 +229,7 @@ def _links(table: pa.Table, threshold: float) -> list[tuple[int, int, int]]:
     alike = both >= threshold * (size[a] + size[b] - both) - 1e-9
     a, b = a[alike], b[alike]
     if len(a):
-        first = _first_common([np.array(p) for p in table.column("paths").to_pylist()], a, b, table.column("node")[0].as_py())
+        first = _first_common([np.array(p) for p in table.column("paths").to_pylist()], a, b, table.column("node")[0].as_py() >> 32)
         a, b = a[first], b[first]
     links = np.bincount(a, weights=copies[b], minlength=len(reps)) + np.bincount(b, weights=copies[a], minlength=len(reps))
     label = np.arange(len(reps))
@@ -268,19 +285,19 @@ def _linked(docs: DataFrame, repeated: bool, threshold: float, recall: float, de
     classes = filled.groupBy("key").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
     reps = written(classes.withColumn("rep", F.xxhash64("key")), "reps")
     members = written(leaves(reps, threshold, recall, depth, leaf), "nodes")
-    paths = members.groupBy("rep").agg(F.array_sort(F.collect_set("node")).alias("paths"))  # some nodes a run
-    known = narrowed(reps.select("rep", "sketch"), "rep", members, "rep").mapInArrow(halved, "rep long, sketch binary").join(paths, "rep")
+    paths = members.groupBy("rep").agg(F.array_sort(F.collect_set(F.shiftright("node", 32).cast("int"))).alias("paths"))  # some nodes a run
+    known = narrowed(reps.select("rep", "sketch"), "rep", members, "rep").mapInArrow(packed_rows, "rep long, sketch binary").join(paths, "rep")
     keys, n = ["node", "i", "j"], "node long, i int, j int, side int, rep long"
     dealt = tasks(members, chunk, leaf).join(known, "rep")
     dealt = dealt.select(*keys, "side", "rep", "sketch", "paths").repartition(*keys).sortWithinPartitions(*keys)
-    least = int(COORDINATES * threshold - SLACK * math.sqrt(COORDINATES * threshold * (1 - threshold)))
+    least = least_agreement(threshold)
 
     def choose(batches):
         for t in keyed_groups(batches, keys):
             take = [a + r for a, b in slices(t, keys) if b - a > 1 for r in _candidates(t.slice(a, b - a), least)]
             yield from t.select([*keys, "side", "rep", "paths"]).take(pa.array(take, pa.int64())).to_batches()
 
-    chosen = written(dealt.mapInArrow(choose, f"{n}, paths array<long>"), "chosen")
+    chosen = written(dealt.mapInArrow(choose, f"{n}, paths array<int>"), "chosen")
     wanted = written(reps.select("rep", "doc", "copies").join(chosen.select("rep").distinct(), "rep"), "wanted")
     text = narrowed(docs, "doc", wanted, "doc")
     text = (text.dropDuplicates(["doc"]) if repeated else text).join(wanted, "doc")

@@ -102,10 +102,10 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
         if b - a >= WORDS:
             out.append(np.unique(whole[a : b - WORDS + 1]))
         elif b > a:
-            few = np.uint64(b - a)
-            for w in words[a:b]:
-                few = mixed(np.array([few + w]))[0]
-            out.append(np.array([few]))
+            few = np.array([b - a], dtype=np.uint64)
+            for i in range(a, b):
+                few = mixed(few + words[i : i + 1])
+            out.append(few)
         else:
             out.append(np.empty(0, dtype=np.uint64))
     return out
