@@ -1,150 +1,198 @@
-"""Document fingerprints: a Merkle tree over sections and paragraphs.
-
-A text is cut at blank lines (two line feeds) into sections and these at
-line feeds into paragraphs; both cuts can be undone, so equal roots mean
-equal texts (up to SHA-256).  A paragraph's hash covers its text, a
-section's the hashes of its paragraphs, the root those of the sections:
-comparing two trees from the root down, only branches that differ are
-entered (``differing_paragraphs``).  Below the paragraphs, pieces of four
-words carry short hashes; the likeness of two fingerprints is the Dice
-coefficient of their sets of pieces, so an edit inside a long paragraph
-costs its own words only.
+"""Document fingerprints: a Merkle tree over sections, paragraphs and pieces.
+
+A text is cut at blank lines (two line feeds) into sections, these at line
+feeds into paragraphs, and these into pieces that end after a blank which
+follows a character of a fixed class.  All cuts depend on the text around
+them only and can be undone.  A paragraph's hash covers its text, a
+section's the hashes of its paragraphs, the root those of the sections, so
+equal roots mean equal texts (up to SHA-256).
+
+A fingerprint is a string: the root, a colon, and the tree below it, in
+which sections are parted by semicolons, paragraphs by commas, and a piece
+has ``PIECE_DIGITS`` digits of its hash.  Two fingerprints are compared from
+the root down: sections that both have are not entered, nor are paragraphs
+that both have within the others, wherever they stand, so an insertion costs
+only itself.  The pieces left in differing paragraphs say how much differs.
 
 DataFrame functions only; no Python runs on the executors.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words in a piece, hex digits of a piece's hash, rows in a run of neighbours,
-#: and cells that the ids are cut into by quantiles.
-PIECE_WORDS, PIECE_DIGITS, RUN_ROWS, CELLS = 4, 16, 128, 64
+from .common import written
+
+#: Hex digits of a piece's hash, rows in a run of neighbours, and runs at most.
+PIECE_DIGITS, RUN_ROWS, RUNS = 8, 128, 1 << 16
+#: A piece: up to a blank after one of these characters, or to the end.
+PIECE = r"(?s).*?[aeimquyAEIMQUY159.,] |.+"
 
 
-def sections(text: Column) -> Column:
-    """array<struct<hash, paragraphs array<string>>>, the tree's inner levels."""
-    leaves = lambda s: F.transform(F.split(s, "\n", -1), lambda p: F.sha2(p, 256))
-    hashed = lambda p: F.struct(F.sha2(F.array_join(p, ""), 256).alias("hash"), p.alias("paragraphs"))
-    return F.transform(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n", -1), leaves), hashed)
+def root(text: Column) -> Column:
+    leaves = lambda s: F.sha2(F.array_join(F.transform(F.split(s, "\n", -1), lambda p: F.sha2(p, 256)), ""), 256)
+    return F.sha2(F.array_join(F.transform(F.split(text, "\n\n", -1), leaves), ""), 256)
 
 
-def root(tree: Column) -> Column:
-    return F.sha2(F.array_join(F.transform(tree, lambda s: s["hash"]), ""), 256)
+def branches(text: Column) -> Column:
+    pieces = lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), lambda x: F.substring(F.sha2(x, 256), 1, PIECE_DIGITS)), "")
+    paragraphs = lambda s: F.array_join(F.transform(F.split(s, "\n", -1), pieces), ",")
+    return F.array_join(F.transform(F.split(text, "\n\n", -1), paragraphs), ";")
 
 
 def fingerprint(text: Column) -> Column:
-    """The root of a text's tree (null counts as empty)."""
-    leaves = lambda s: F.sha2(F.array_join(F.transform(F.split(s, "\n", -1), lambda p: F.sha2(p, 256)), ""), 256)
-    return F.sha2(F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n", -1), leaves), ""), 256)
+    """Root and tree of a text (null counts as empty)."""
+    text = F.coalesce(text, F.lit(""))
+    return F.concat(root(text), F.lit(":"), branches(text))
 
 
-def pieces(text: Column) -> Column:
-    """Distinct hashes of runs of up to four words that start anew at each line."""
-    word = r"[^ \t\r\n]+(?:[ \t\r]+[^ \t\r\n]+){0,%d}" % (PIECE_WORDS - 1)
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(word), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda p: F.substring(F.sha2(p, 256), 1, PIECE_DIGITS)))
+def _tree(print_: Column) -> Column:
+    return F.substring_index(print_, ":", -1)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of two arrays of distinct hashes; two empty ones are alike."""
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / F.greatest(both, F.lit(1)))
+def _leaves(paragraphs: Column) -> Column:
+    return F.regexp_extract_all(paragraphs, F.lit("[0-9a-f]{%d}" % PIECE_DIGITS), F.lit(0))
 
 
 def differing_paragraphs(a: Column, b: Column) -> Column:
-    """Where two trees differ: array<struct<section, paragraph>> of ``a``,
-    numbered from 0.  Sections of equal hash are not entered."""
-    fresh = lambda s, i: F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(s["paragraphs"]) - 1), lambda j: ~F.coalesce(F.get(F.get(b, i)["paragraphs"], j) == F.get(s["paragraphs"], j), F.lit(False))),
-        lambda j: F.struct(i.alias("section"), j.alias("paragraph")),
-    )
-    same = lambda s, i: F.coalesce(F.get(b, i)["hash"] == s["hash"], F.lit(False))
-    return F.flatten(F.transform(a, lambda s, i: F.when(same(s, i), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(fresh(s, i))))
+    """Descent: the distinct paragraphs of fingerprint ``a``, as in its tree,
+    that ``b`` has nowhere in its sections that differ from those of ``a``."""
+    mine = lambda x, y: F.array_join(F.array_except(F.split(_tree(x), ";", -1), F.split(_tree(y), ";", -1)), ",")
+    return F.array_except(F.split(mine(a, b), ",", -1), F.split(mine(b, a), ",", -1))
+
 
+def edit_places(a: Column, b: Column) -> Column:
+    """array<struct<section, paragraph>>, numbered from 0: where ``a`` has a
+    paragraph that differs from those of ``b``."""
+    changed = differing_paragraphs(a, b)
+    inside = lambda s, i: F.filter(F.transform(F.split(s, ",", -1), lambda p, j: F.when(F.array_contains(changed, p), F.struct(i.alias("section"), j.alias("paragraph")))), lambda x: x.isNotNull())
+    return F.flatten(F.transform(F.split(_tree(a), ";", -1), inside))
 
-def runs(ids: DataFrame) -> Column:
-    """A column that cuts ``doc_id`` into ordered runs of about ``RUN_ROWS`` rows.
 
-    Quantiles cut the ids into cells, and equal widths the cells into runs;
-    both are parameters of bounded size, whatever the number of rows.
+def likeness(a: Column, b: Column) -> Column:
+    """1 less the share of distinct pieces, of both trees, that lie in
+    differing paragraphs of one and not in those of the other; two trees
+    without pieces are alike."""
+    left, right = (_leaves(F.array_join(x, "")) for x in (differing_paragraphs(a, b), differing_paragraphs(b, a)))
+    all_ = F.size(F.array_distinct(_leaves(_tree(a)))) + F.size(F.array_distinct(_leaves(_tree(b))))
+    apart = F.size(F.array_except(left, right)) + F.size(F.array_except(right, left))
+    return F.when(a == b, 1.0).otherwise(1.0 - apart / F.greatest(all_, F.lit(1)))
+
+
+def with_runs(docs: DataFrame) -> DataFrame:
+    """Adds ``run``: cuts the order of (doc_id, hash of text), null ids first,
+    into runs of about ``RUN_ROWS`` rows, or 1 / ``RUNS`` of all.
+
+    Quantiles of the ids are the cuts, in one broadcast row of bounded size.
+    An id that several quantiles name is dealt by the hash of its texts.
     """
-    probes = [i / CELLS for i in range(1, CELLS)]
-    got = ids.agg(F.percentile_approx("doc_id", probes, 1000).alias("q"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("n")).first()
-    if not got["n"]:
-        return F.lit(0).cast("long")
-    cuts = sorted({*got["q"], got["lo"], got["hi"] + 1})
-    per = max(1, got["n"] // (RUN_ROWS * max(1, len(cuts) - 1)))
-    bounds, doc = F.array(*[F.lit(int(c)).cast("long") for c in cuts]), F.col("doc_id")
-    cell = F.size(F.filter(bounds, lambda c: c <= doc))
-    low, high = F.get(bounds, cell - 1), F.get(bounds, cell)
-    inside = F.least(F.floor((doc - low) * F.lit(float(per)) / (high - low)), F.lit(per - 1))
-    return F.coalesce(cell.cast("long") * F.lit(per) + inside.cast("long"), F.lit(0).cast("long"))
+    key = F.coalesce("doc_id", F.lit(-(2**63)))
+    n = docs.count()
+    size = max(1, min(RUNS, n // RUN_ROWS))
+    got = docs.agg(F.percentile_approx(key, [i / size for i in range(1, size)], max(1000, 10 * size)).alias("q")).first()["q"] if size > 1 else []
+    wide = max(1, math.isqrt(len(got)))
+    groups = [sorted(got)[i : i + wide] for i in range(0, len(got), wide)] or [[2**63 - 1]]
+    row = docs.sparkSession.range(1).select(F.from_json(F.lit(json.dumps(groups)), "array<array<long>>").alias("_groups"))
+    row = row.withColumn("_ends", F.transform("_groups", lambda g: F.element_at(g, -1)))
+    docs = docs.join(F.broadcast(row)).withColumn("_key", key)
+
+    def place(below):  # number of cuts below the key
+        group = F.least(F.size(F.filter("_ends", below)), F.size("_ends") - 1)
+        return group * wide + F.size(F.filter(F.get("_groups", group), below))
+
+    low, high = place(lambda c: c < F.col("_key")), place(lambda c: c <= F.col("_key"))
+    part = F.shiftrightunsigned("hash", 11) / F.lit(float(1 << 53))
+    docs = docs.withColumns({"_low": low, "_many": high - low})
+    run = F.col("_low") + F.when(F.col("_many") > 0, F.floor(part * (F.col("_many") + 1))).otherwise(0)
+    return docs.withColumn("run", run.cast("long")).drop("_groups", "_ends", "_key", "_low", "_many")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Adds ``next_text``: the text of the next row in ascending doc_id
-    (nulls first, ties by text); the last row gets the first row's.
+    (nulls first, ties by a hash of the text); the last row gets the first
+    row's.
 
-    Rows are dealt by runs of ids and each run is ordered by itself; only
-    the last row of a run needs its successor from the next run that has
-    rows, so a hundredth of the texts moves a second time.
+    Rows are dealt by runs of ids and each run is ordered by itself; the last
+    row of a run gets the head of the next run that has rows, which is joined
+    by run, so every text moves once.
     """
-    docs = docs.withColumn("run", runs(docs))
-    order = Window.partitionBy("run").orderBy("doc_id", "text")
-    seen = docs.select("run", "doc_id", "text", F.lead("text").over(order).alias("next_text"), F.lead(F.lit(True)).over(order).alias("more"), F.row_number().over(order).alias("n"))
-    inner = seen.where("more").select("doc_id", "text", "next_text")
-    lasts = seen.where("more is null").select("run", "doc_id", "text")
-    heads = seen.where("n = 1").select(F.col("run").alias("head_run"), F.col("text").alias("next_text"))
+    docs = with_runs(docs.withColumn("hash", F.xxhash64("text")))
+    order = Window.partitionBy("run").orderBy(F.asc_nulls_first("doc_id"), F.shiftrightunsigned("hash", 1), "hash", "text")
+    heads = written(docs.withColumn("n", F.row_number().over(order)).where("n = 1").select("run", F.col("text").alias("head")), "run-heads")
     # successors of runs, two levels up: runs in groups of 4096, then the groups
-    known = docs.groupBy("run").count().select("run", F.expr("run div 4096").alias("g"))
+    known = heads.select("run", F.expr("run div 4096").alias("g"))
     after = known.withColumn("to", F.lead("run").over(Window.partitionBy("g").orderBy("run")))
-    firsts = known.groupBy("g").agg(F.min("run").alias("head"))
-    line = Window.orderBy("g")  # one row for 4096 runs of 128 rows
-    firsts = firsts.select("g", F.coalesce(F.lead("head").over(line), F.first("head").over(line)).alias("beyond"))
+    firsts = known.groupBy("g").agg(F.min("run").alias("first"))
+    line = Window.orderBy("g")  # at most RUNS / 4096 rows
+    firsts = firsts.select("g", F.coalesce(F.lead("first").over(line), F.first("first").over(line)).alias("beyond"))
     after = after.join(firsts, "g").select("run", F.coalesce("to", "beyond").alias("to"))
-    edge = lasts.join(after, "run").join(heads, F.col("to") == F.col("head_run")).select("doc_id", "text", "next_text")
-    return inner.unionByName(edge)
+    edge = after.join(heads.withColumnRenamed("run", "to"), "to").select("run", "head")
+    seen = docs.select("run", "doc_id", "text", F.lead("text").over(order).alias("next_text"), F.lead(F.lit(True)).over(order).alias("more"))
+    return seen.join(edge, "run").select("doc_id", "text", F.when(F.col("more"), F.col("next_text")).otherwise(F.col("head")).alias("next_text"))
 
 
 def fingerprints_of_edits(documents: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text.
 
     The edit replaces the last floor(n / 2) of a text's n code points by the
-    first as many of the next document's (all, if it has fewer).  Null text
-    is empty; rows with equal or null doc_id are ordered as ``with_next``
-    says; an empty table gives no rows; other columns are ignored.
+    first as many of the next document's (all, if it has fewer).  Returns
+    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    near_edited and near_next (``likeness``), and n_changed: distinct
+    paragraphs of the edited text that differ (``differing_paragraphs``).
+    Null text is empty; rows with equal or null doc_id are ordered as
+    ``with_next`` says; an empty table gives no rows; other columns are
+    ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.expr("cast(n_chars div 2 as int)")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half)))
-    rows = rows.withColumns({"own": pieces(F.col("text")), "changed": pieces(F.col("edited")), "following": pieces(F.col("next_text"))})
-    return rows.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fingerprint"),
-        fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.col("following")).alias("near_next"),
-    )
-
-
-SQL = r"""
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), fingerprint(F.col("next_text")).alias("following"))
+    own, edited = F.col("fingerprint"), F.col("edited_fingerprint")
+    changed = differing_paragraphs(edited, own)
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(own, edited).alias("near_edited"), likeness(own, F.col("following")).alias("near_next"), F.size(changed).cast("long").alias("n_changed"))
+
+
+def _sql_tree(x: str) -> str:
+    piece = f"lambda p: array_to_string(list_transform(regexp_extract_all(p, '{PIECE}'), lambda y: sha256(y)[1:{PIECE_DIGITS}]), '')"
+    return f"array_to_string(list_transform(string_split({x}, chr(10) || chr(10)), lambda s: array_to_string(list_transform(string_split(s, chr(10)), {piece}), ',')), ';')"
+
+
+def _sql_root(x: str) -> str:
+    return f"sha256(array_to_string(list_transform(string_split({x}, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda q: sha256(q)), ''))), ''))"
+
+
+def _sql_except(x: str, y: str) -> str:
+    return f"list_filter(list_distinct({x}), lambda z: NOT list_contains({y}, z))"
+
+
+def _sql_differing(a: str, b: str) -> str:
+    mine = lambda x, y: "string_split(array_to_string(" + _sql_except(f"string_split({x}, ';')", f"string_split({y}, ';')") + ", ','), ',')"
+    return _sql_except(mine(a, b), mine(b, a))
+
+
+def _sql_leaves(x: str) -> str:
+    return f"list_distinct(regexp_extract_all({x}, '[0-9a-f]{{{PIECE_DIGITS}}}'))"
+
+
+SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, length(text) AS n_chars,
              coalesce(lead(text) OVER (ORDER BY doc_id NULLS FIRST, text), first_value(text) OVER (ORDER BY doc_id NULLS FIRST, text)) AS next_text FROM d),
 e AS (SELECT *, substring(text, 1, n_chars - n_chars // 2) || substring(next_text, 1, n_chars // 2) AS edited FROM n),
-p AS (SELECT *,
-  list_distinct(list_transform(regexp_extract_all(text, '[^ \t\r\n]+(?:[ \t\r]+[^ \t\r\n]+){0,3}'), lambda x: sha256(x)[1:16])) AS own,
-  list_distinct(list_transform(regexp_extract_all(edited, '[^ \t\r\n]+(?:[ \t\r]+[^ \t\r\n]+){0,3}'), lambda x: sha256(x)[1:16])) AS changed,
-  list_distinct(list_transform(regexp_extract_all(next_text, '[^ \t\r\n]+(?:[ \t\r]+[^ \t\r\n]+){0,3}'), lambda x: sha256(x)[1:16])) AS following FROM e)
+t AS (SELECT *, {_sql_tree('text')} AS a, {_sql_tree('edited')} AS b, {_sql_tree('next_text')} AS c FROM e),
+p AS (SELECT *, {_sql_differing('a', 'b')} AS ab, {_sql_differing('b', 'a')} AS ba, {_sql_differing('a', 'c')} AS ac, {_sql_differing('c', 'a')} AS ca FROM t),
+l AS (SELECT *, {_sql_leaves('a')} AS la, {_sql_leaves('b')} AS lb, {_sql_leaves('c')} AS lc,
+  {_sql_leaves("array_to_string(ab, '')")} AS lab, {_sql_leaves("array_to_string(ba, '')")} AS lba,
+  {_sql_leaves("array_to_string(ac, '')")} AS lac, {_sql_leaves("array_to_string(ca, '')")} AS lca FROM p)
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
-  sha256(array_to_string(list_transform(string_split(text, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda q: sha256(q)), ''))), '')) AS fingerprint,
-  sha256(array_to_string(list_transform(string_split(edited, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda q: sha256(q)), ''))), '')) AS edited_fingerprint,
-  CASE WHEN len(own) + len(changed) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(own, changed)) / (len(own) + len(changed)) END::DOUBLE AS near_edited,
-  CASE WHEN len(own) + len(following) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(own, following)) / (len(own) + len(following)) END::DOUBLE AS near_next
-FROM p
+  {_sql_root('text')} || ':' || a AS fingerprint, {_sql_root('edited')} || ':' || b AS edited_fingerprint,
+  CASE WHEN text = edited THEN 1.0 ELSE 1.0 - (len(lab) + len(lba) - 2 * len(list_intersect(lab, lba))) / greatest(len(la) + len(lb), 1) END::DOUBLE AS near_edited,
+  CASE WHEN text = next_text THEN 1.0 ELSE 1.0 - (len(lac) + len(lca) - 2 * len(list_intersect(lac, lca))) / greatest(len(la) + len(lc), 1) END::DOUBLE AS near_next,
+  len(ba)::BIGINT AS n_changed
+FROM l
 """

@@ -91,16 +91,37 @@ def test_warc(spark):
 def test_merkle(spark, odd, empty):
     rows = merkle.fingerprints_of_edits(odd).collect()
     assert len(rows) == 11 and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
-    texts = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in odd.collect()))
+    order = {(r["i"], r["text"]): r["h"] % 2**64 for r in odd.select(F.coalesce("doc_id", F.lit(-1)).alias("i"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()}
+    texts = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in odd.collect()), key=lambda x: (x[0], order[x]))
     want = collections.Counter()
     for k, (i, t) in enumerate(texts):
         nxt, half = texts[(k + 1) % len(texts)][1], len(t) // 2
         want[(i, hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest())] += 1
     assert collections.Counter((r["doc_id"] if r["doc_id"] is not None else -1, r["edited_sha256"]) for r in rows) == want
     assert merkle.fingerprints_of_edits(empty).count() == 0
-    df = spark.createDataFrame([("a\nb\n\nc", "a\nx\n\nc")], "a string, b string")
-    got = df.select(merkle.differing_paragraphs(merkle.sections(df.a), merkle.sections(df.b)).alias("d")).first()["d"]
-    assert [tuple(x) for x in got] == [(0, 1)]
+
+
+def test_edits_are_located(spark):
+    """An inserted paragraph leaves the others alone, an inserted word the
+    pieces around it."""
+    line = " ".join(f"word{i}e" for i in range(200))
+    df = spark.createDataFrame([("a\nb\n\nc\nd", "a\nnew\nb\n\nc\nd", line, "first " + line)], "a string, b string, c string, d string")
+    f = {c: merkle.fingerprint(F.col(c)) for c in "abcd"}
+    got = df.select(merkle.edit_places(f["b"], f["a"]).alias("there"), merkle.edit_places(f["a"], f["b"]).alias("none"), merkle.likeness(f["a"], f["b"]).alias("ab"), merkle.likeness(f["c"], f["d"]).alias("cd"), merkle.likeness(f["a"], f["a"]).alias("aa")).first()
+    assert [tuple(x) for x in got["there"]] == [(0, 1)] and got["none"] == [] and got["aa"] == 1
+    assert got["ab"] == pytest.approx(1 - 1 / 9) and got["cd"] > 0.98
+
+
+@pytest.mark.parametrize("ids", [lambda i: 7, lambda i: None, lambda i: i**3, lambda i: (i % 5) * 10**9 + i])
+def test_next_text_over_many_runs(spark, monkeypatch, ids):
+    monkeypatch.setattr(merkle, "RUN_ROWS", 4)
+    df = spark.createDataFrame([(ids(i), f"text {i}") for i in range(300)], "doc_id long, text string")
+    rows = df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    rows.sort(key=lambda r: (r["doc_id"] if r["doc_id"] is not None else -1, r["h"] % 2**64))
+    want = {r["text"]: rows[(k + 1) % len(rows)]["text"] for k, r in enumerate(rows)}
+    assert {r["text"]: r["next_text"] for r in merkle.with_next(df).collect()} == want
+    largest = merkle.with_runs(df.withColumn("hash", F.xxhash64("text"))).groupBy("run").count().agg(F.max("count")).first()[0]
+    assert largest <= 20
 
 
 def test_join(odd, empty):
