@@ -11,8 +11,11 @@ and the search ends when the next one lies beyond that radius.
 The kd-tree has two layers: an upper one whose cells deal the rows to tasks
 (its splits are fitted on a bounded sample; every row is indexed), and one
 built in each task over its cell.  A query first searches its own cell,
-which gives it a radius, and then only those cells whose box the radius
-reaches.  Cells over ``cell_rows`` rows are searched in chunks.
+which gives it a radius, and then only those cells whose true box the radius
+reaches.  Cells over ``cell_rows`` rows are searched in chunks, and the
+queries of a cell in parts.  A task searches for a block of queries at once:
+it verifies the candidates of smallest projected distance first, which
+shrinks the radius, and then those that are still within it.
 """
 
 from __future__ import annotations
@@ -28,7 +31,10 @@ from .common import prepare, written
 
 #: Parameters: projected coordinates (even), confidence of the stopping test,
 #: rows in a cell, rows that the upper splits are fitted on, and kd-tree leaf size.
-M, CONFIDENCE, CELL_ROWS, SAMPLE_ROWS, LEAF = 8, 0.98, 4096, 16384, 32
+M, CONFIDENCE, CELL_ROWS, SAMPLE_ROWS, LEAF = 8, 0.98, 4096, 1 << 17, 32
+#: Queries that a task takes for a cell, and searches for at once; candidates
+#: verified first.
+PART_ROWS, BLOCK, NEAREST = 4096, 128, 64
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -71,18 +77,6 @@ def cell_of(points: np.ndarray, axis: np.ndarray, cut: np.ndarray, depth: int) -
     return node - 2**depth
 
 
-def cell_boxes(axis: np.ndarray, cut: np.ndarray, depth: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    lo, hi = np.full((2**depth, m), -np.inf), np.full((2**depth, m), np.inf)
-    for leaf in range(2**depth):
-        node = leaf + 2**depth
-        while node > 1:
-            up, right = node // 2, node % 2
-            side = lo if right else hi
-            side[leaf, axis[up]] = max(side[leaf, axis[up]], cut[up]) if right else min(side[leaf, axis[up]], cut[up])
-            node = up
-    return lo, hi
-
-
 class LocalTree:
     """kd-tree over one cell: leaves of about ``LEAF`` points with their boxes."""
 
@@ -100,28 +94,39 @@ class LocalTree:
         self.lo = np.array([points[p].min(0) for p in done])
         self.hi = np.array([points[p].max(0) for p in done])
 
-    def search(self, query: np.ndarray, unit: np.ndarray, unit_query: np.ndarray, k: int, bound: float, quantile: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and squared distances of the k nearest verified; ``bound``
-        is a squared distance already reached elsewhere."""
-        gap = np.maximum(0, np.maximum(self.lo - query, query - self.hi))
-        near = (gap * gap).sum(1)
-        best, dist = np.empty(0, dtype=np.int64), np.empty(0)
-        for leaf in np.argsort(near, kind="stable"):
-            if near[leaf] > bound * quantile:
-                break
-            rows = self.leaves[leaf]
-            step = self.points[rows] - query
-            rows = rows[(step * step).sum(1) <= bound * quantile]
-            if not len(rows):
-                continue
-            true = unit[rows] - unit_query
-            best, dist = np.concatenate([best, rows]), np.concatenate([dist, (true * true).sum(1)])
-            if len(best) > k:
-                keep = np.argpartition(dist, k - 1)[:k]
-                best, dist = best[keep], dist[keep]
-            if len(best) == k:
-                bound = min(bound, dist.max())
-        return best, dist
+    def reached(self, queries: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Rows of all leaves that the squared radius of a query reaches."""
+        hit = box_distances(queries, self.lo, self.hi) <= limit[:, None]
+        return np.concatenate([self.leaves[i] for i in np.flatnonzero(hit.any(0))] or [np.empty(0, dtype=np.int64)])
+
+    def search(self, queries: np.ndarray, unit: np.ndarray, unit_queries: np.ndarray, k: int, bound: np.ndarray, quantile: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (-1: none) and squared distances of the k nearest verified of
+        each query; ``bound`` are squared distances reached elsewhere."""
+        rows, n = self.reached(queries, bound * quantile), len(queries)
+        if not len(rows):
+            return np.full((n, k), -1), np.full((n, k), np.inf)
+        here = self.points[rows]
+        step = np.maximum(0, (queries * queries).sum(1)[:, None] + (here * here).sum(1) - 2 * queries @ here.T)
+        first = np.argpartition(step, NEAREST, axis=1)[:, :NEAREST] if len(rows) > NEAREST else np.tile(np.arange(len(rows)), (n, 1))
+        near = 2 - 2 * np.einsum("qd,qcd->qc", unit_queries, unit[rows[first]])
+        if near.shape[1] >= k:  # the stopping test shrinks the radius
+            bound = np.minimum(bound, np.partition(near, k - 1, axis=1)[:, k - 1])
+        true = np.where(step <= (bound * quantile)[:, None], 2 - 2 * unit_queries @ unit[rows].T, np.inf)
+        if true.shape[1] > k:
+            best = np.argpartition(true, k - 1, axis=1)[:, :k]
+            true = np.take_along_axis(true, best, 1)
+        else:
+            best = np.tile(np.arange(true.shape[1]), (n, 1))
+        return np.where(np.isfinite(true), rows[best], -1), true
+
+
+def box_distances(points: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Squared distance of each point to each box."""
+    total = np.zeros((len(points), len(lo)))
+    for j in range(points.shape[1]):
+        gap = np.maximum(0, np.maximum(lo[None, :, j] - points[:, None, j], points[:, None, j] - hi[None, :, j]))
+        total += gap * gap
+    return total
 
 
 def _matrix(column) -> np.ndarray:
@@ -179,15 +184,18 @@ def nearest_neighbours(df: DataFrame, k: int = 5, *, id_col: str = "vec_id", vec
     sample = index.where(F.pmod(F.xxhash64("ids"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).select("p").limit(2 * SAMPLE_ROWS).collect()
     depth = max(0, min(math.ceil(math.log2(max(1, total / cell_rows))), int(math.log2(max(1, len(sample) / 16)))))
     axis, cut = fit_splits(np.array([r["p"] for r in sample]).reshape(-1, m), depth)
-    lo, hi = cell_boxes(axis, cut, depth, m)
 
     def place(batches):
         for b in batches:
             yield b.append_column("cell", pa.array(cell_of(_matrix(b.column("p")), axis, cut, depth) if b.num_rows else [], pa.int64()))
 
     celled = index.mapInArrow(place, "vec array<double>, ids array<long>, p array<double>, cell long")
-    counts = celled.groupBy("cell").count().select("cell", F.ceil(F.col("count") / (2 * cell_rows)).cast("int").alias("chunks"))
-    counts = F.broadcast(written(counts, "ann-cells"))  # at most SAMPLE_ROWS / 16 cells
+    sides = [f(F.col("p")[j]).alias(f"{f.__name__}{j}") for f in (F.min, F.max) for j in range(m)]
+    cells = written(celled.groupBy("cell").agg(F.count("*").alias("count"), *sides), "ann-cells")  # at most SAMPLE_ROWS / 8 rows
+    boxes = sorted(cells.collect(), key=lambda r: r["cell"])
+    lo, hi = (np.array([[r[f"{f}{j}"] for j in range(m)] for r in boxes]).reshape(-1, m) for f in ("min", "max"))
+    numbers = np.array([r["cell"] for r in boxes], dtype=np.int64)
+    counts = F.broadcast(cells.select("cell", F.ceil(F.col("count") / (2 * cell_rows)).cast("int").alias("chunks")))
     celled = celled.join(counts, "cell").withColumn("chunk", F.pmod(F.xxhash64("ids"), "chunks").cast("int"))
     asked = written(rows.where(is_query), "ann-queries")
     wanted = asked.groupBy("vec").agg(F.min("id").alias("q"))
@@ -200,21 +208,32 @@ def nearest_neighbours(df: DataFrame, k: int = 5, *, id_col: str = "vec_id", vec
             unit, qunit, qp = _unit(raw), _unit(qraw), _matrix(left.column("p"))
             tree, ids = LocalTree(_matrix(right.column("p"))), right.column("ids").to_pylist()
             norms = np.sqrt((raw * raw).sum(1))
-            for i, (q, bound) in enumerate(zip(left.column("q").to_pylist(), left.column("bound").to_pylist(), strict=True)):
+            names, bound = left.column("q").to_pylist(), left.column("bound").to_numpy()
+            qnorms = np.sqrt((qraw * qraw).sum(1))
+            for a in range(0, len(qp), BLOCK):
                 # one more than k: a query's own vector is among those found
-                best, dist = tree.search(qp[i], unit, qunit[i], k + 1, bound, quantile)
-                norm = math.sqrt(float(qraw[i] @ qraw[i]))
-                for r, d in zip(best.tolist(), dist.tolist(), strict=True):
-                    out["q"].append(q)
-                    out["score"].append(float((raw[r] * qraw[i]).sum()) / (norm * float(norms[r])))
+                best, dist = tree.search(qp[a : a + BLOCK], unit, qunit[a : a + BLOCK], k + 1, bound[a : a + BLOCK], quantile)
+                for i, j in zip(*np.nonzero(best >= 0), strict=True):
+                    r, q = int(best[i, j]), a + int(i)
+                    out["q"].append(names[q])
+                    out["score"].append(float((raw[r] * qraw[q]).sum()) / float(qnorms[q] * norms[r]))
                     out["ids"].append(ids[r])
-                    out["d"].append(d)
+                    out["d"].append(float(dist[i, j]))
         return pa.table(out, schema=pa.schema({"q": pa.int64(), "score": pa.float64(), "ids": pa.list_(pa.int64()), "d": pa.float64()}))
 
     shape = "q long, score double, ids array<long>, d double"
-    by = ("cell", "chunk")
+
+    def searched(asks: DataFrame, rows: DataFrame) -> DataFrame:
+        """The queries of a cell in parts of about ``PART_ROWS``."""
+        parts = asks.groupBy("cell", "chunk").count().select("cell", "chunk", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))
+        parts = F.broadcast(written(parts, "ann-parts"))  # a row for each cell and chunk
+        asks = asks.join(parts, ["cell", "chunk"]).withColumn("part", F.pmod(F.xxhash64("q"), "parts").cast("int")).drop("parts")
+        rows = rows.join(parts, ["cell", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        by = ("cell", "chunk", "part")
+        return asks.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(answer, shape)
+
     home = wanted.withColumns({"chunk": F.lit(0), "bound": F.lit(float("inf"))})
-    own = written(home.groupBy(*by).cogroup(celled.where("chunk = 0").groupBy(*by)).applyInArrow(answer, shape), "ann-home")
+    own = written(searched(home, celled.where("chunk = 0")), "ann-home")
     # the k + 1 nearest vectors found at home bound the rest of the search
     bound = own.groupBy("q").agg(F.when(F.count("*") > k, F.max("d")).otherwise(float("inf")).alias("bound"))
     bounded = wanted.join(bound, "q", "left").fillna(float("inf"), ["bound"])
@@ -223,18 +242,17 @@ def nearest_neighbours(df: DataFrame, k: int = 5, *, id_col: str = "vec_id", vec
         for b in batches:
             p, limit = _matrix(b.column("p")), b.column("bound").to_numpy(zero_copy_only=False)
             take, cells = [], []
-            for i in range(b.num_rows):
-                gap = np.maximum(0, np.maximum(lo - p[i], p[i] - hi))
-                hit = np.flatnonzero((gap * gap).sum(1) <= limit[i] * quantile)
-                take += [i] * len(hit)
-                cells += hit.tolist()
+            for a in range(0, b.num_rows, BLOCK):
+                at, cell = np.nonzero(box_distances(p[a : a + BLOCK], lo, hi) <= limit[a : a + BLOCK, None] * quantile)
+                take += (a + at).tolist()
+                cells += numbers[cell].tolist()
             near = b.take(pa.array(take, pa.int64()))
             yield pa.RecordBatch.from_arrays([near.column(c) for c in ("vec", "q", "p", "bound")] + [near.column("cell"), pa.array(cells, pa.int64())], names=["vec", "q", "p", "bound", "home", "cell"])
 
     around = bounded.mapInArrow(reach, "vec array<double>, q long, p array<double>, bound double, home long, cell long")
     around = around.join(counts, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     around = around.where((F.col("cell") != F.col("home")) | (F.col("chunk") != 0)).drop("home", "chunks")
-    rest = around.groupBy(*by).cogroup(celled.groupBy(*by)).applyInArrow(answer, shape)
+    rest = searched(around, celled)
     found = own.unionByName(rest).select("q", "score", F.explode("ids").alias("vec_id"))
     order = [F.desc("score"), F.asc("vec_id")]
     found = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("n") <= k + 1).drop("n")

@@ -69,6 +69,27 @@ def test_neighbours(spark):
     assert ann.nearest_neighbours(df.limit(0)).count() == 0
 
 
+def test_neighbours_over_many_cells_chunks_and_parts(spark, monkeypatch):
+    """Clustered vectors in cells of some hundred rows that are searched in
+    chunks, against brute force."""
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 512)
+    monkeypatch.setattr(ann, "PART_ROWS", 40)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(200, 24))[rng.integers(0, 200, 20_000)] + rng.normal(0, 0.15, (20_000, 24))
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": v.tolist()}), "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.nearest_neighbours(df, 5, cell_rows=200).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    unit, hits = v / np.linalg.norm(v, axis=1, keepdims=True), 0
+    for q in range(0, 20_000, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.95 * 5 * 400 and all(len(x) == 5 for x in got.values())
+
+
 def test_warc(spark):
     rows = [(1, "http://a/\r\nx", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (None, "u", "é"), (5, "u", "é" * 100_000), (2, None, "same")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
