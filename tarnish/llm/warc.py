@@ -6,8 +6,10 @@ on the header columns (``record_type``, ``record_id``, ``target_uri``,
 first and leaves the payload compressed when a filter fails or the option
 ``payload`` is ``none``: the writer notes each gzip member's length in its
 header (extra field ``sl``), so the reader seeks over what it doesn't want.
-Plain ``.warc`` files are skipped over by Content-Length, and members that
-lack the extra field are inflated to find their end.
+In plain ``.warc`` files, and from the first gzip member on that lacks the
+extra field, records are read in turn, any number to a member.  A record
+that is cut short is an error.  Reading turns on Spark's filter pushdown for
+Python sources in the session.
 
 Options: ``path`` (required), ``payload`` = ``bytes`` | ``digest`` | ``none``
 (``digest``: length and digest are computed from the decoded payload, which
@@ -17,10 +19,12 @@ is then dropped), ``split_bytes`` (files grouped to a partition).
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import struct
 import uuid
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -111,8 +115,9 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages):
         fs, root = filesystem(self.path)
-        for name in (f for m in messages if m for f in m.files):
-            fs.move(f"{root}/.{name}.tmp", f"{root}/{name}")
+        names = [f for m in messages if m for f in m.files]
+        with ThreadPoolExecutor(32) as pool:
+            list(pool.map(lambda name: fs.move(f"{root}/.{name}.tmp", f"{root}/{name}"), names))
 
     def abort(self, messages):
         fs, root = filesystem(self.path)
@@ -197,37 +202,79 @@ class WarcReader(DataSourceReader):
         return row
 
     def records(self, stream, size: int, zipped: bool):
+        """Members that tell their length hold one record each and are passed
+        over as a whole; from the first one that doesn't on, and in plain
+        files, records are read one after the other."""
         at = 0
-        while at < size:
+        while zipped and at < size:
             stream.seek(at)
-            if zipped:
-                first = stream.read(min(size - at, HEAD_BYTES))
-                skip, body = _member(first)
-                z = zlib.decompressobj(-15)
-                plain = z.decompress(first[skip:])
-                while b"\r\n\r\n" not in plain and not z.eof and (more := stream.read(HEAD_BYTES)):
-                    plain += z.decompress(more)
-            else:
-                plain = stream.read(min(size - at, HEAD_BYTES))
-                while b"\r\n\r\n" not in plain and (more := stream.read(HEAD_BYTES)):
-                    plain += more
+            first = stream.read(min(size - at, HEAD_BYTES))
+            skip, body = _member(first)
+            if not body:
+                break
+            if at + skip + body + 8 > size:
+                raise ValueError(f"the record at byte {at} is cut short")
+            z = zlib.decompressobj(-15)
+            plain = z.decompress(first[skip:])
+            while b"\r\n\r\n" not in plain and not z.eof and (more := stream.read(HEAD_BYTES)):
+                plain += z.decompress(more)
             end = plain.find(b"\r\n\r\n") + 4
+            if end < 4:
+                raise ValueError(f"the record at byte {at} has no end of headers")
             row = self.parse(plain[: end - 4])
             length, keep = row["length"], self.wanted(row)
             full = keep and self.payload != "none"
-            if zipped:
-                if full or not body:
-                    parts = [plain]
-                    while not z.eof and (more := stream.read(1 << 18)):
-                        parts.append(z.decompress(more))
-                    plain = b"".join(parts)
-                at = at + skip + body + 8 if body else stream.tell() - len(z.unused_data) + 8
+            if full:
+                parts = [plain]
+                while not z.eof and (more := stream.read(1 << 18)):
+                    parts.append(z.decompress(more))
+                plain = b"".join(parts)
+                if len(plain) < end + length:
+                    raise ValueError(f"the record at byte {at} is cut short")
+            if keep:
+                yield self.finish(row, plain[end : end + length] if full else None, plain[end : end + length])
+            at += skip + body + 8
+        if at < size:
+            stream.seek(at)
+            yield from self.serial(gzip.GzipFile(fileobj=stream) if zipped else stream)
+
+    def serial(self, reader):
+        """Records of a plain stream; blocks that aren't wanted are dropped
+        piece by piece."""
+        held = b""
+
+        def fill(n: int) -> bool:
+            nonlocal held
+            parts, have = [held], len(held)
+            while have < n and (more := reader.read(min(1 << 20, max(n - have, HEAD_BYTES)))):
+                parts.append(more)
+                have += len(more)
+            held = b"".join(parts)
+            return have >= n
+
+        while True:
+            while fill(1) and held[:1] in b"\r\n":  # records end with two empty lines
+                held = held.lstrip(b"\r\n")
+            if not held:
+                return
+            while (end := held.find(b"\r\n\r\n")) < 0:
+                if not fill(len(held) + 1):
+                    raise ValueError("the last record has no end of headers")
+            row, held = self.parse(held[:end]), held[end + 4 :]
+            length, keep = row["length"], self.wanted(row)
+            full = keep and self.payload != "none"
+            if full:
+                fill(length)
             else:
-                if full:
-                    plain += stream.read(max(0, end + length - len(plain)))
-                at += end + length + 4
+                fill(min(length, HEAD_BYTES))
+            head, left = held[:length], length - len(held)
+            held = held[length:]
+            while left > 0 and (more := reader.read(min(left, 1 << 20))):
+                left -= len(more)
+            if left > 0:
+                raise ValueError("the last record is cut short")
             if keep:
-                yield self.finish(row, plain[end : end + length] if full else None, plain[end:])
+                yield self.finish(row, head if full else None, head)
 
     def read(self, partition):
         fs, _ = filesystem(self.path)
@@ -306,7 +353,7 @@ def with_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     groups = page.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", F.col("payload_bytes").alias("size")).agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     page = page.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
-    out = page.join(groups.hint("shuffle_hash"), (page.digest == groups.digest) & (page.payload_bytes == groups["size"]) & (page.salt == groups.salt), "left")
+    out = page.join(groups, (page.digest == groups.digest) & (page.payload_bytes == groups["size"]) & (page.salt == groups.salt), "left")
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("response")), F.lit(False)) & F.col("response").isNotNull()
     return out.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
