@@ -147,9 +147,11 @@ def ranked(pieces: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     sizes = written(pieces.groupBy("cls", "shard").count(), "pack-shards")
     before = Window.partitionBy("cls").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("cls", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    order = Window.partitionBy("cls", "shard").orderBy("doc_id", "start")
+    # rows that tie in all columns may swap without a difference
+    order = Window.partitionBy("cls", "shard").orderBy("doc_id", "start", "length", "doc_tokens", "ids_crc32")
     numbered = pieces.withColumn("n", F.row_number().over(order))
-    return numbered.join(starts, ["cls", "shard"]).withColumn("rank", F.col("base") + F.col("n") - 1).drop("base", "n", "shard")
+    # both sides are dealt by class and shard; the shards' table grows, so it isn't broadcast
+    return numbered.join(starts.hint("merge"), ["cls", "shard"]).withColumn("rank", F.col("base") + F.col("n") - 1).drop("base", "n", "shard")
 
 
 def pack(documents: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, quantum: int = QUANTUM, name: str = TOKENIZER) -> DataFrame:
@@ -187,5 +189,5 @@ def pack(documents: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID
 
     shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long"
     placed = ranked(pieces).select(*columns, "cls", "rank").mapInArrow(assign, shape)
-    order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "doc_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long"))
