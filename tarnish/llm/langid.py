@@ -5,7 +5,7 @@ Byte n-grams (2 to 4, over lower-cased words with blanks around them) are
 hashed to rows of an embedding table; a text is the mean of its rows and a
 linear softmax gives the language.  Training is stochastic gradient descent
 in numpy on a bounded, stratified sample (``SAMPLE_DOCS`` documents of each
-label, chosen by a hash of doc_id); a tenth of it sets the temperature that
+label, chosen by a hash of the row); a tenth of it sets the temperature that
 calibrates the probabilities and the score under which a text is rejected.
 Prediction runs over whole texts, in tasks; the table times the softmax
 weights is all that they need.
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_residue, prepare
@@ -121,19 +121,19 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model:
 
 
 def training_sample(docs: DataFrame, per_label: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """About ``per_label`` (text, lang) rows of each label, at most twice as
-    many: chosen by a hash of doc_id, at a rate that each label's count sets."""
-    known = docs.where("lang is not null and text is not null")
+    """``per_label`` (text, lang) rows of each label, or all if it has fewer:
+    those of the smallest hashes of id and text.  A rate that each label's
+    count sets keeps the rows that are ranked to some more than these."""
+    known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return []
-    rates = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_label / n)))])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(rates, F.col("lang")) * (1 << 20))
-    got, used = [], dict.fromkeys(counts, 0)
-    for r in chosen.select("doc_id", "text", "lang").limit(2 * per_label * len(counts)).toLocalIterator():
-        used[r["lang"]] += 1
-        if used[r["lang"]] <= 2 * per_label:
-            got.append((r["doc_id"] if r["doc_id"] is not None else -1, r["text"], r["lang"]))
+    rates = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (2.0 * per_label + 50) / n)))])
+    known = known.withColumn("h", F.xxhash64("doc_id", "text"))
+    chosen = known.where(F.pmod("h", F.lit(1 << 20)) < F.element_at(rates, F.col("lang")) * (1 << 20))
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h", "doc_id", "text")
+    chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label)
+    got = [(r["doc_id"] if r["doc_id"] is not None else -1, r["text"], r["lang"]) for r in chosen.collect()]  # per_label rows a label
     return [(t, lang) for _, t, lang in sorted(got)]
 
 
@@ -175,8 +175,10 @@ def predictions(documents: DataFrame) -> DataFrame:
 
 
 def keep_known(documents: DataFrame) -> DataFrame:
-    """The documents whose language is recognised, columns as they are.
-    Rejected: texts without letters, and scores under the threshold."""
-    docs = documents.select("doc_id", "text", "lang", "source", "n_chars")
-    out = identify(docs.withColumn("_kept", F.struct(*docs.columns)), fit(docs), ("_kept",))
+    """The documents whose language is recognised, all columns as they are.
+    Rejected: texts without letters, null ones among them, and scores under
+    the threshold.  Repeated rows fare alike; an empty table gives no rows.
+    The columns doc_id, text and lang are needed."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_kept")
+    out = identify(documents.select("text", whole), fit(documents), ("_kept",))
     return out.where("not rejected").select("_kept.*")
