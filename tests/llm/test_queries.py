@@ -109,6 +109,44 @@ def test_warc(spark):
     assert bytes(warc.read_warc(spark, path).where("record_id = 'urn:page:5'").first()["payload"]).decode() == "é" * 100_000
 
 
+class Counting(warc.WarcReader):
+    decoded = 0
+
+    def finish(self, row, block, head):
+        self.decoded += block is not None
+        return super().finish(row, block, head)
+
+
+def found(path, *filters, **options):
+    reader = Counting({"path": str(path), **options})
+    left = list(reader.pushFilters(list(filters)))
+    rows = [r for p in reader.partitions() for batch in reader.read(p) for r in batch.to_pylist()]
+    return rows, reader.decoded, left
+
+
+@pytest.mark.parametrize("kind", ["lengths", "plain", "one member", "members"])
+def test_warc_filters_decode_wanted_payloads_only(tmp_path, kind):
+    import gzip
+
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, StringStartsWith
+
+    row = lambda i: {"record_type": "revisit" if i % 3 == 2 else "response", "record_id": f"urn:page:{i}", "target_uri": f"http://{'ab'[i % 2]}/{i}", "warc_date": "2024-01-01T00:00:00Z", "payload_digest": "X", "refers_to": "urn:page:0", "payload_bytes": 9000 + i, "payload": bytes([65 + i]) * (9000 + i)}
+    records = [warc.record_bytes(row(i)) for i in range(9)]
+    pack = {"lengths": lambda: b"".join(map(warc.gzip_member, records)), "plain": lambda: b"".join(records), "one member": lambda: gzip.compress(b"".join(records)), "members": lambda: b"".join(map(gzip.compress, records))}[kind]()
+    name = "x.warc" if kind == "plain" else "x.warc.gz"
+    (tmp_path / name).write_bytes(pack)
+    rows, decoded, left = found(tmp_path)
+    assert [r["record_id"] for r in rows] == [f"urn:page:{i}" for i in range(9)] and decoded == 9 and not left
+    assert all(r["payload"] == (None if i % 3 == 2 else bytes([65 + i]) * (9000 + i)) and r["payload_bytes"] == 9000 + i for i, r in enumerate(rows))
+    rows, decoded, left = found(tmp_path, EqualTo(("record_type",), "response"), StringStartsWith(("target_uri",), "http://a"), GreaterThan(("payload_bytes",), 1))
+    assert [r["record_id"][-1] for r in rows] == ["0", "4", "6"] and decoded == 3 and len(left) == 1
+    rows, decoded, _ = found(tmp_path, In(("record_id",), ("urn:page:1", "urn:page:8")), payload="none")
+    assert [r["payload_bytes"] for r in rows] == [9001, 9008] and decoded == 0
+    (tmp_path / name).write_bytes(pack[:-2000] if kind == "plain" else pack[:-30])
+    with pytest.raises((ValueError, EOFError)):
+        found(tmp_path)
+
+
 def test_merkle(spark, odd, empty):
     rows = merkle.fingerprints_of_edits(odd).collect()
     assert len(rows) == 11 and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
@@ -286,6 +324,70 @@ def test_scores(odd, empty, documents):
     assert suffix_tree.score(empty).count() == 0
 
 
+def brute_force_score(train, text):
+    """The model by its definition, for an exact tree of two levels."""
+    seqs = [[*t.lower().split(), None] for t in train]
+    c = collections.Counter(w for s in seqs for w in s)
+    n, v = sum(c.values()), len(c)
+    after = [collections.Counter(), collections.Counter()]
+    for s in seqs:
+        for i, w in enumerate(s):
+            if i:
+                after[0][s[i - 1], w] += 1
+            if i > 1:
+                after[1][s[i - 2], s[i - 1], w] += 1
+    root = lambda w: (c[w] + 1) / (n + v + 1)
+    model = {}
+
+    def p(context, w):
+        while context and context not in model:
+            context = context[1:]
+        if not context:
+            return root(w)
+        listed, rest = model[context]
+        return listed[w] if w in listed else rest * p(context[1:], w)
+
+    for d, pairs in enumerate(after):
+        size = collections.Counter()
+        for k in c:
+            size[(k,)] = c[k]
+        if d:
+            size = collections.Counter({k: m for k, m in after[0].items() if m >= 2 and k[1] is not None and (k[0],) in size})
+        fresh = {}
+        for context, total in size.items():
+            got = {k[-1]: m for k, m in pairs.items() if k[:-1] == context and m >= 2}
+            if context[-1] is None or context[0] is None:
+                continue
+            listed = {w: (m - suffix_tree.DISCOUNT) / total for w, m in got.items()}
+            mass = 1 - sum(listed.values())
+            below = {w: p(context[1:], w) for w in got}
+            rest = max(mass, 1e-9) / max(1 - sum(below.values()), 1e-9)
+            mean = sum(m / total * math.log(listed[w] / below[w]) for w, m in got.items()) + mass * math.log(rest)
+            if mean >= suffix_tree.MEAN and mean * total >= suffix_tree.TOTAL:
+                fresh[context] = (listed, rest)
+        model.update(fresh)
+    seq = [*text.lower().split(), None]
+    return sum(math.log10(p(tuple(seq[max(0, i - 2) : i]), w)) for i, w in enumerate(seq)), len(model)
+
+
+def test_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    follow = {(v, w): rng.permutation(7)[:2] for v in range(7) for w in range(7)}  # two words tell the next
+    texts = []
+    for _ in range(60):
+        v, w, out = 0, 0, []
+        for _ in range(60):
+            out.append(f"W{w}" if rng.random() < 0.95 else f"rare{rng.integers(10**6)}")
+            v, w = w, int(rng.choice(follow[v, w]))
+        texts.append(" ".join(out))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = F.col("doc_id") % 5 == 0
+    train = [t for i, t in enumerate(texts) if i % 5]
+    for r in suffix_tree.score(df, held, word_share=0, context_share=0, symbol_share=0, pair_share=0).collect():
+        want, states = brute_force_score(train, texts[r["doc_id"]])
+        assert states > 20 and r["score"] == pytest.approx(want, abs=1e-6)
+
+
 def test_tree_is_a_distribution(documents):
     docs = documents.select("doc_id", "text").withColumn("held_out", F.lit(False))
     counts = suffix_tree.word_counts(docs)
@@ -333,6 +435,17 @@ def test_languages(odd, empty, documents):
     assert langid.predictions(empty).count() == 0
 
 
+def test_known_languages_keep_their_columns(spark, documents):
+    from pyspark.sql.functions import lit
+
+    docs = documents.select("doc_id", "text", "lang", lit(3).alias("score"), lit("x").alias("_kept")).limit(60)
+    kept = langid.keep_known(docs)
+    assert kept.columns == docs.columns and 0 < kept.count() <= 60
+    same = spark.createDataFrame([(7, f"the word {i} and others", "en") for i in range(900)] + [(8, "der hund und die katze", "de")] * 5, "doc_id long, text string, lang string")
+    sample = langid.training_sample(same)
+    assert sum(lang == "en" for _, lang in sample) == langid.SAMPLE_DOCS and sum(lang == "de" for _, lang in sample) == 5
+
+
 def test_packing(odd, empty):
     t = bpe.tokenizer()
     rows = packing.pack(odd).collect()
