@@ -82,9 +82,11 @@ def children(node: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np
     return rows, mixed(mixed(seed[rows] + at) ^ (value * _MIX))
 
 
-def sketches(documents: DataFrame) -> DataFrame:
-    """doc, key (of the word sequence), empty, sketch: the low 16 bits of each
-    min-hash, by which unlike sets agree with 2 ** -16 more."""
+def sketches(documents: DataFrame, threshold: float, n_runs: int) -> DataFrame:
+    """doc, key (of the word sequence), empty, sketch (the low 16 bits of each
+    min-hash) and starts: the nodes of the first level.  Those come from all
+    32 bits, as every set of a run is split by the same coordinates there;
+    deeper nodes hold few enough sets for 16 bits."""
     by = coefficients()
 
     def run(batches):
@@ -93,10 +95,16 @@ def sketches(documents: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 words = [b" ".join((t or "").encode().split()) for t in part.column("text").to_pylist()]
                 keys = [hashlib.blake2b(w, digest_size=16).digest() for w in words]
-                sets = [min_hashes(x, by).astype(np.uint16).tobytes() for x in shingle_sets(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(keys, pa.binary()), pa.array([not w for w in words], pa.bool_()), pa.array(sets, pa.binary())], names=["doc", "key", "empty", "sketch"])
+                s = np.array([min_hashes(x, by) for x in shingle_sets(part.column("text"))]).reshape(-1, COORDINATES)
+                node = np.repeat(np.arange(n_runs, dtype=np.uint64) + np.uint64(1), len(s))
+                rows, child = children(node, np.tile(s, (n_runs, 1)), threshold)
+                rows %= len(s)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(s)))])
+                starts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(child[np.argsort(rows, kind="stable")].view(np.int64)))
+                short = pa.array([x.tobytes() for x in s.astype(np.uint16)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(keys, pa.binary()), pa.array([not w for w in words], pa.bool_()), short, starts], names=["doc", "key", "empty", "sketch", "starts"])
 
-    return documents.select("doc", "text").mapInArrow(run, "doc long, key binary, empty boolean, sketch binary")
+    return documents.select("doc", "text").mapInArrow(run, "doc long, key binary, empty boolean, sketch binary, starts array<long>")
 
 
 def sketch_matrix(column, kind=np.uint16) -> np.ndarray:
@@ -123,16 +131,8 @@ def least_agreement(threshold: float) -> int:
     return int(COORDINATES * p - SLACK * math.sqrt(COORDINATES * p * (1 - p)))
 
 
-def leaves(reps: DataFrame, threshold: float, recall: float, depth: int, leaf: int) -> DataFrame:
+def leaves(reps: DataFrame, threshold: float, depth: int, leaf: int) -> DataFrame:
     """(node, rep, size): the nodes of at least two sets where paths end."""
-    n_runs = runs_for(recall, threshold, depth)
-
-    def start(batches):
-        for b in batches:
-            s = sketch_matrix(b.column("sketch")) if b.num_rows else np.empty((0, COORDINATES), dtype=np.uint16)
-            node = np.repeat(np.arange(n_runs, dtype=np.uint64) + np.uint64(1), b.num_rows)
-            rows, child = children(node, np.tile(s, (n_runs, 1)), threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("rep").take(pa.array(rows % max(1, b.num_rows)))], names=["node", "rep"])
 
     def deeper(batches):
         for b in batches:
@@ -141,10 +141,9 @@ def leaves(reps: DataFrame, threshold: float, recall: float, depth: int, leaf: i
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("rep").take(pa.array(rows))], names=["node", "rep"])
 
     # a set comes to a node by one path, so no pair occurs twice
-    level = reps.select("rep", "sketch").mapInArrow(start, "node long, rep long")
-    done = None
+    level, done = reps.select(F.explode("starts").alias("node"), "rep"), None
     for d in range(depth):
-        level = written(level, "paths")
+        level = written(level, "paths") if d else level
         sizes = written(level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "path-sizes")
         sized = written(spread_join(level, sizes, ["node"], sizes.withColumnRenamed("size", "n")), "sized-paths")
         ends = sized if d == depth - 1 else sized.where(F.col("size") <= leaf)
@@ -279,12 +278,12 @@ def _linked(docs: DataFrame, repeated: bool, threshold: float, recall: float, de
     """doc, class (smallest doc of the group), n_links for rows (doc, text);
     ``repeated``: whether a doc may have several, equal rows."""
     prepare(docs.sparkSession)
-    whole = written(sketches(docs), "sketches")
+    whole = written(sketches(docs, threshold, runs_for(recall, threshold, depth)), "sketches")
     filled = whole.where("not empty")
     # a representative is named by a hash of its key
-    classes = filled.groupBy("key").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    classes = filled.groupBy("key").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("starts").alias("starts"))
     reps = written(classes.withColumn("rep", F.xxhash64("key")), "reps")
-    members = written(leaves(reps, threshold, recall, depth, leaf), "nodes")
+    members = written(leaves(reps, threshold, depth, leaf), "nodes")
     paths = members.groupBy("rep").agg(F.array_sort(F.collect_set(F.shiftright("node", 32).cast("int"))).alias("paths"))  # some nodes a run
     known = narrowed(reps.select("rep", "sketch"), "rep", members, "rep").mapInArrow(packed_rows, "rep long, sketch binary").join(paths, "rep")
     keys, n = ["node", "i", "j"], "node long, i int, j int, side int, rep long"
