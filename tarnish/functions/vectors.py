@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once a row, also where it is
+    used inside of a lambda."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y))
 
@@ -24,7 +32,7 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit vector; a zero vector stays zero."""
-    return F.transform(doubles(v), lambda x: x / F.greatest(norm(v), F.lit(1e-12)))
+    return bound(F.greatest(norm(v), F.lit(1e-12)), lambda n: F.transform(doubles(v), lambda x: x / n))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -36,15 +44,41 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def log_sum_exp(v: Column) -> Column:
-    top = F.array_max(v)
-    return top + F.log(total(F.transform(v, lambda x: F.exp(x - top))))
+    return bound(F.array_max(v), lambda top: top + F.log(total(F.transform(v, lambda x: F.exp(x - top)))))
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    return F.transform(v, lambda x: F.exp(x - top) / total(F.transform(v, lambda y: F.exp(y - top))))
+    powers = bound(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+    return bound(powers, lambda e: bound(total(e), lambda sum_: F.transform(e, lambda x: x / sum_)))
 
 
 def harmonic(a: Column, b: Column) -> Column:
     """1 / (1/a + 1/b); zero if either is."""
     return F.coalesce(F.try_divide(a * b, a + b), F.lit(0.0))
+
+
+def fuse_mean(a: Column, b: Column) -> Column:
+    return (a + b) / 2
+
+
+def quantize(score: Column, top: float = 255.0) -> Column:
+    """Whole numbers up to ``top``, halves to even."""
+    return F.bround(score * top, 0)
+
+
+def render(value: Column, decimals: int) -> Column:
+    return F.format_string(f"%.{decimals}f", value)
+
+
+def cast_precision(v: Column) -> Column:
+    """Single precision and back (Spark has no half type)."""
+    return v.cast("array<float>").cast("array<double>")
+
+
+def alignment_loss(a: Column, b: Column) -> Column:
+    """Squared distance of two mean vectors."""
+    return squared_distance(a, b)
+
+
+def total_loss(main: Column, alignment: Column, weight: float = 0.001) -> Column:
+    return main + weight * alignment

@@ -120,3 +120,8 @@ def overlay(image: DataFrame, heat: DataFrame, mask: DataFrame, alpha: float = 0
     keys = ["map_id", "y", "x"]
     rows = image.select(*keys, F.col("value").alias("image")).join(heat.select(*keys, F.col("value").alias("heat")), keys).join(mask.select(*keys, "mask"), keys, "left")
     return rows.select(*keys, F.when(F.col("mask") > 0.5, F.lit(paint)).otherwise(alpha * F.col("heat") + beta * F.col("image")).alias("value"))
+
+
+def threshold(df: DataFrame, least: float, value: str = "value") -> DataFrame:
+    """Cells strictly above ``least``."""
+    return df.where(F.col(value) > least)

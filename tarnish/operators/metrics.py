@@ -6,7 +6,7 @@ ties are exact.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,13 +14,63 @@ def score_counts(df: DataFrame, keys: list[str], score: str = "score", label: st
     return df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
 
 
-def running(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
+def running(df: DataFrame, keys: list[str], score: str = "score", label: str = "label", blocks: int = 4096) -> DataFrame:
     """Counts at each distinct score, with those of higher or equal scores
-    (tp, fp) and of the whole group (pos, neg)."""
+    (tp, fp) and of the whole group (pos, neg).
+
+    Each group's range of scores is cut into up to ``blocks`` equal blocks;
+    windows run within a block, and over the blocks' totals, so that a group
+    of many distinct scores isn't ordered in one task.  Nulls and NaN are in
+    blocks of their own at the ends, as they sort.
+    """
     counts = score_counts(df, keys, score, label)
-    down = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    sums = counts.groupBy(*keys).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
-    return counts.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)}).join(sums, keys)
+    finite = F.when(F.abs(F.col("score").cast("double")) < float("inf"), F.col("score").cast("double"))
+    ends = counts.groupBy(*keys).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
+    near = F.floor(F.coalesce(F.try_divide(finite - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * (blocks - 1))
+    high = F.isnan(F.col("score").cast("double")) | (F.col("score").cast("double") == float("inf"))
+    place = F.when(F.col("score").isNull(), -2).when(high, blocks).when(finite.isNull(), -1).otherwise(near).cast("int")
+    safe = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+
+    def looked_up(rows: DataFrame, to: DataFrame, *more) -> DataFrame:
+        to = to.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+        cond = [*safe, *more]
+        out = rows.join(to, cond) if cond else rows.join(to)  # without keys: one row
+        return out.drop(*[f"_k_{k}" for k in keys])
+
+    counts = looked_up(counts, ends).withColumn("_block", place).drop("_lo", "_hi")
+    totals = counts.groupBy(*keys, "_block").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("_block"))
+    whole = Window.partitionBy(*keys)
+    totals = totals.select(*keys, F.col("_block").alias("_at"), (F.sum("_p").over(above) - F.col("_p")).alias("_tp"), (F.sum("_n").over(above) - F.col("_n")).alias("_fp"), F.sum("_p").over(whole).alias("pos"), F.sum("_n").over(whole).alias("neg"))
+    down = Window.partitionBy(*keys, "_block").orderBy(F.desc("score"))
+    counts = counts.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
+    out = looked_up(counts, totals, F.col("_block") == F.col("_at"))
+    return out.withColumns({"tp": F.col("tp") + F.col("_tp"), "fp": F.col("fp") + F.col("_fp")}).drop("_block", "_at", "_tp", "_fp")
+
+
+def evaluate(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
+    """All runs in one job: ROC-AUC and best F1 (percent) of each group."""
+    best = max_f1(df, keys, score, label).select(*keys, percent(F.col("f1")).alias("max_f1"), "threshold")
+    return roc_auc(df, keys, score, label).join(best, keys)
+
+
+def percent(share: Column) -> Column:
+    """Percent with two decimals."""
+    return F.round(100 * share, 2)
+
+
+def max_pool(df: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
+    """The largest score of each map."""
+    return df.groupBy(*keys).agg(F.max(score).alias("score"))
+
+
+def binned(df: DataFrame, bins: int, score: str = "score") -> DataFrame:
+    """Scores as the middles of ``bins`` equal parts of their range, so that
+    a curve over all cells of large maps has no more points than that."""
+    ends = df.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))  # one row
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    at = F.least(F.floor(F.try_divide(F.col(score) - F.col("_lo"), width)), F.lit(bins - 1))
+    return df.crossJoin(F.broadcast(ends)).withColumn(score, F.coalesce(F.col("_lo") + (at + 0.5) * width, F.col(score))).drop("_lo", "_hi")
 
 
 def roc_curve(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
@@ -28,8 +78,10 @@ def roc_curve(df: DataFrame, keys: list[str], score: str = "score", label: str =
     return r.select(*keys, "score", F.try_divide("fp", "neg").alias("fpr"), F.try_divide("tp", "pos").alias("tpr"))
 
 
-def roc_auc(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """Percent; ties count half; null for groups of one label only."""
+def roc_auc(df: DataFrame, keys: list[str], score: str = "score", label: str = "label", bins: int | None = None) -> DataFrame:
+    """Percent; ties count half; null for groups of one label only.
+    ``bins``: see ``binned``."""
+    df = df if bins is None else binned(df, bins, score)
     r = running(df, keys, score, label)
     area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0))
     return r.groupBy(*keys).agg(F.try_divide(100.0 * area, F.max("pos") * F.max("neg")).alias("auc"))
@@ -126,8 +178,10 @@ def bootstrap(df: DataFrame, n: int, seed: int) -> DataFrame:
     return df.sample(True, n / max(1, df.count()), seed)
 
 
-def metrics_table(df: DataFrame, metrics: list[str], name: str = "name") -> DataFrame:
-    """Rows by name, a column for each metric, zero where there is none."""
+def metrics_table(df: DataFrame, metrics: list[str], name: str = "name", shares: bool = False) -> DataFrame:
+    """Rows by name, a column for each metric, zero where there is none;
+    ``shares``: values are shares and shown as percent."""
+    df = df.withColumn("value", percent(F.col("value"))) if shares else df
     return df.groupBy(name).pivot("metric", metrics).agg(F.first("value")).na.fill(0.0)
 
 

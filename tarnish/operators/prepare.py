@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: HTML entities that cleaning resolves.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: HTML entities that cleaning resolves, besides numeric ones.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®", "&deg;": "°", "&middot;": "·", "&laquo;": "«", "&raquo;": "»", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&hellip;": "…", "&euro;": "€", "&nbsp;": " ", "&amp;": "&"}
 #: Pieces of a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
@@ -73,9 +73,23 @@ def destandardize(values: Column, means: list[float], stds: list[float]) -> Colu
     return F.zip_with(values, m, lambda v, c: F.least(F.lit(255), F.greatest(F.lit(0), ((v * c["s"] + c["m"]) * 255.0).cast("int"))))
 
 
+def numeric_entities(text: Column) -> Column:
+    """``&#...;`` and ``&#x...;`` as characters (of the basic plane; others stay)."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});|[^&]+|&"), F.lit(0))
+    digits = lambda p: F.regexp_extract(p, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+    code = lambda p: F.conv(digits(p), 16, 10).cast("int")
+    decimal = lambda p: digits(p).cast("int")
+    # UTF-16 code units, big-endian, make any character of the basic plane
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
+    good = lambda n: (n > 0) & (n < 0xD800) | (n > 0xDFFF) & (n < 0x10000)
+    one = lambda p: F.when(p.rlike(r"^&#[xX]"), F.when(good(code(p)), char(code(p))).otherwise(p)).when(p.rlike(r"^&#[0-9]"), F.when(good(decimal(p)), char(decimal(p))).otherwise(p)).otherwise(p)
+    return F.when(text.contains("&#"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
 def clean_text(text: Column) -> Column:
     """Entities resolved twice, white space collapsed, trimmed, lower case."""
     for _ in range(2):
+        text = numeric_entities(text)
         for k, v in ENTITIES.items():
             text = F.replace(text, F.lit(k), F.lit(v))
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
@@ -157,3 +171,24 @@ def natural_key(text: Column, width: int = 20) -> Column:
 def tag_catalog(df: DataFrame) -> DataFrame:
     """(model, tag) rows from (model, tags map), tags normalised."""
     return df.select("model", F.explode(F.map_keys("tags")).alias("tag")).withColumn("tag", F.replace(F.lower("tag"), F.lit("-"), F.lit("_")))
+
+
+def by_tag(catalog: DataFrame, tag: str) -> DataFrame:
+    """Models that have a tag, which is normalised as in the catalogue."""
+    return catalog.where(F.col("tag") == tag.lower().replace("-", "_")).select("model").distinct()
+
+
+def by_model(catalog: DataFrame, model: str) -> DataFrame:
+    """Tags of a model."""
+    return catalog.where(F.col("model") == model).select("tag").distinct()
+
+
+def phase(df: DataFrame, name: str, split: str = "split") -> DataFrame:
+    """Rows of one phase (``train``, ``test``); prunes folders where ``split``
+    partitions the table."""
+    return df.where(F.col(split) == name)
+
+
+def fill_mask(mask: Column) -> Column:
+    """Missing masks are zero."""
+    return F.coalesce(mask, F.lit(0))

@@ -36,6 +36,8 @@ def label_runs(cells: DataFrame, rounds: int = 64) -> DataFrame:
         best = news.unionAll(labels).groupBy("map_id", "run").agg(F.min("region").alias("region"))
         up = best.select("map_id", F.col("run").alias("region"), F.col("region").alias("up"))
         labels = _cut(best.join(up, ["map_id", "region"], "left").select("map_id", "run", F.coalesce("up", "region").alias("region")))
+    else:
+        raise RuntimeError("regions did not settle")
     return r.join(labels, ["map_id", "run"])
 
 
@@ -96,6 +98,8 @@ def four_connected(cells: DataFrame, rounds: int = 64) -> DataFrame:
         best = news.unionAll(labels).groupBy("map_id", "run").agg(F.min("region").alias("region"))
         up = best.select("map_id", F.col("run").alias("region"), F.col("region").alias("up"))
         labels = _cut(best.join(up, ["map_id", "region"], "left").select("map_id", "run", F.coalesce("up", "region").alias("region")))
+    else:
+        raise RuntimeError("regions did not settle")
     return r.join(labels, ["map_id", "run"]).select("map_id", "region", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
 
 

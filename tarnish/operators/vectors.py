@@ -170,3 +170,8 @@ def token_ce(logits: DataFrame, labels: DataFrame, pad: int) -> DataFrame:
     rows = logits.withColumn("lse", F.max("logit").over(w) + F.log(F.sum(F.exp(F.col("logit"))).over(w)) - F.max("logit").over(w))
     rows = rows.join(labels.where(F.col("label") != pad), ["seq", "pos"]).where("token = label")
     return rows.agg(F.avg(F.col("lse") - F.col("logit")).alias("loss"))
+
+
+def average_layers(df: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
+    """Mean of a row's scores over its layers, a row for each of ``keys``."""
+    return df.groupBy(*keys).agg(F.avg(score).alias(score))

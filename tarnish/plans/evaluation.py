@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vectors import harmonic
+from ..functions.vectors import fuse_mean, harmonic, quantize, render
 from ..operators import metrics as M
 from .registry import query, table
 
@@ -72,12 +72,12 @@ def _pairs(spark, sf_dir):
 @query(FUSE + "SELECT event_id, round(CASE WHEN a + b = 0 THEN 0 ELSE a * b / (a + b) END, 6)::DOUBLE AS harmonic, round((a + b) / 2, 6) AS mean FROM f")
 def f1_f2_fusion(spark, sf_dir):
     a, b = F.col("a"), F.col("b")
-    return _pairs(spark, sf_dir).select("event_id", F.round(harmonic(a, b), 6).alias("harmonic"), F.round((a + b) / 2, 6).alias("mean"))
+    return _pairs(spark, sf_dir).select("event_id", F.round(harmonic(a, b), 6).alias("harmonic"), F.round(fuse_mean(a, b), 6).alias("mean"))
 
 
 @query(FUSE + "SELECT user_id, max(a) AS score FROM f GROUP BY user_id")
 def f3_max_pool(spark, sf_dir):
-    return _pairs(spark, sf_dir).groupBy("user_id").agg(F.max("a").alias("score"))
+    return M.max_pool(_pairs(spark, sf_dir), ["user_id"], "a")
 
 
 @query(FUSE + "SELECT event_id, round((a - min(a) OVER w) / nullif(max(a) OVER w - min(a) OVER w, 0), 6) AS scaled FROM f WINDOW w AS (PARTITION BY user_id)")
@@ -92,4 +92,4 @@ def f5_scale_255(spark, sf_dir):
 
 @query(FUSE + "SELECT event_id, round_even(b / 2, 0)::DOUBLE AS level, printf('%.2f', b / 4) AS text FROM f")
 def f6_f7_quantise_and_render(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("event_id", F.bround(F.col("b") / 2, 0).cast("double").alias("level"), F.format_string("%.2f", F.col("b") / 4).alias("text"))
+    return _pairs(spark, sf_dir).select("event_id", quantize(F.col("b"), 0.5).cast("double").alias("level"), render(F.col("b") / 4, 2).alias("text"))

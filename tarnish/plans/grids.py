@@ -80,7 +80,7 @@ def m7_patchify(spark, sf_dir):
 
 @query(CELLS + " SELECT map_id, y, x FROM c WHERE value > 50")
 def m8_threshold(spark, sf_dir):
-    return sparse(spark, sf_dir).where("value > 50").select("map_id", "y", "x")
+    return G.threshold(sparse(spark, sf_dir), 50).select("map_id", "y", "x")
 
 
 @query("WITH RECURSIVE " + CELLS[5:] + """, g AS (SELECT map_id, y, x, y::BIGINT * 2147483648 + x AS k FROM c),
@@ -91,7 +91,10 @@ def m9_regions(spark, sf_dir):
     return R.label_regions(sparse(spark, sf_dir)).select("map_id", "y", F.col("x").cast("int").alias("x"), "region")
 
 
-@query()
+@query("WITH RECURSIVE " + CELLS[5:] + """, g AS (SELECT map_id, y, x, y::BIGINT * 2147483648 + x AS k FROM c WHERE gt = 1),
+r AS (SELECT map_id, y, x, k FROM g UNION SELECT b.map_id, b.y, b.x, r.k FROM r JOIN g b ON b.map_id = r.map_id AND abs(b.y - r.y) <= 1 AND abs(b.x - r.x) <= 1),
+l AS (SELECT map_id, y, x, min(k) AS region FROM r GROUP BY 1, 2, 3)
+SELECT map_id, region, count(*) AS area, min(y) AS y0, min(x) AS x0, max(y) + 1 AS y1, max(x) + 1 AS x1 FROM l GROUP BY 1, 2""")
 def m10_region_props(spark, sf_dir):
     return R.region_props(sparse(spark, sf_dir).where("gt = 1"))
 

@@ -34,8 +34,8 @@ def l2_contrast_ce(spark, sf_dir):
 def l3_l4_alignment_and_total(spark, sf_dir):
     m = O.prototype(_rows(spark, sf_dir).withColumn("half", F.col("label") % 2), ["half"], "v", pre_normalize=True)
     both = m.where("half = 0").select(F.col("v").alias("a")).join(m.where("half = 1").select(F.col("v").alias("b")))  # one row each
-    d = V.squared_distance(F.col("a"), F.col("b"))
-    return both.select(F.round(d, 6).alias("alignment"), F.round(1 + 0.001 * d, 6).alias("total"))
+    d = V.alignment_loss(F.col("a"), F.col("b"))
+    return both.select(F.round(d, 6).alias("alignment"), F.round(V.total_loss(F.lit(1), d), 6).alias("total"))
 
 
 PAIRS = BASE + ", b AS (SELECT vec_id // 20 AS batch, vec_id % 20 AS row, n AS va, list_reverse(n) AS vb FROM u), c AS (SELECT x.batch, x.row AS i, y.row AS j, 5 * list_dot_product(x.va, y.vb) AS s FROM b x JOIN b y USING (batch))"
@@ -71,7 +71,7 @@ def l8_tune_prototypes(spark, sf_dir):
 
     rows = _rows(spark, sf_dir).withColumn("v", V.l2_normalize(F.col("v")))
     start = np.array([r["v"] for r in O.prototype(rows, ["label"], "v").orderBy("label").collect()])  # a row a class
-    _, losses = tuning.tune_prototypes(rows, start, vec="v", epochs=5, start=0.02)
+    _, losses = tuning.tune_prototypes(rows, start, vec="v", epochs=100)
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "epoch int, loss double")
 
 
@@ -80,3 +80,11 @@ def u1_embed_batch(spark, sf_dir):
     from ..streaming.scoring import embed_batch, hashed_encoder
 
     return embed_batch(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", hashed_encoder()).select("doc_id", F.size("vec").alias("dim"))
+
+
+@query("SELECT i::INT AS epoch, round(1e-5 + (0.002 - 1e-5) * (1 + cos(pi() * i / 100)) / 2, 9) AS cosine, round(0.002 * pow(0.95, i), 9) AS exponential FROM range(CASE WHEN (SELECT count(*) FROM embeddings) > 0 THEN 100 ELSE 0 END) t(i)")
+def l9_rate_schedule(spark, sf_dir):
+    """Rates of a tuning of the classes in ``embeddings``."""
+    some = table(spark, sf_dir, "embeddings").select("label").limit(1).select()
+    both = tuning.lr_schedule(spark, "cosine", 100).withColumnRenamed("rate", "cosine").join(tuning.lr_schedule(spark, "exponential", 100).withColumnRenamed("rate", "exponential"), "epoch")
+    return both.join(F.broadcast(some)).select("epoch", F.round("cosine", 9).alias("cosine"), F.round("exponential", 9).alias("exponential"))

@@ -65,7 +65,7 @@ def p3_layout_two_class(spark, sf_dir):
 def p5_p10_pair_masks(spark, sf_dir):
     d, m = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("mask"))
     lack = P.unpaired(d, m, ["doc_id"]).withColumn("unpaired", F.lit(True))
-    return P.pair_masks(d, m, ["doc_id"]).join(lack, "doc_id", "left").select("doc_id", "mask", F.coalesce("mask", F.lit(0)).alias("filled"), F.coalesce("unpaired", F.lit(False)).alias("unpaired"))
+    return P.pair_masks(d, m, ["doc_id"]).join(lack, "doc_id", "left").select("doc_id", "mask", P.fill_mask(F.col("mask")).alias("filled"), F.coalesce("unpaired", F.lit(False)).alias("unpaired"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)")
@@ -82,7 +82,7 @@ def p6_unknown_classes(spark, sf_dir):
 
 @query("SELECT l_returnflag AS split, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
 def p7_phase_split(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    t = P.phase(table(spark, sf_dir, "lineitem"), "R", "l_returnflag")
     return t.groupBy(F.col("l_returnflag").alias("split")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
@@ -135,7 +135,7 @@ def p14_subword_encode(spark, sf_dir):
     pairs = d.select(F.explode(F.expr("transform(sequence(1, greatest(length(word) - 1, 1)), i -> substring(word, i, 2))")).alias("pair")).where("length(pair) = 2")
     top = pairs.groupBy("pair").count().orderBy(F.desc("count"), "pair").limit(200)  # the size of the merge table
     merges = top.select(F.expr("cast(row_number() over (order by count desc, pair) - 1 as int)").alias("rank"), F.substring("pair", 1, 1).alias("first"), F.substring("pair", 2, 1).alias("second"))
-    chars = d.select(F.explode(letters).alias("token")).distinct().limit(2000)  # an alphabet
+    chars = d.select(F.explode(letters).alias("token")).distinct()  # an alphabet, bounded by Unicode
     tokens = chars.unionAll(chars.select(F.concat("token", F.lit("</w>")))).unionAll(top.select("pair")).distinct()
     vocab = tokens.select(F.expr("cast(row_number() over (order by token) - 1 as int)").alias("id"), "token")
     return P.subword_encode(d, merges, vocab, "doc_id", "word").select("doc_id", F.size("ids").alias("n_ids"))

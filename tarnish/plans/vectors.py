@@ -120,7 +120,7 @@ def v9_nearest_k(spark, sf_dir):
 @query(SCORES + "SELECT vec_id, round(avg(score), 6) AS score FROM cs GROUP BY vec_id")
 def v10_average_layers(spark, sf_dir):
     """Scores against several galleries (as layers), averaged by row."""
-    return class_scores(spark, sf_dir).groupBy("vec_id").agg(F.round(F.avg("score"), 6).alias("score"))
+    return O.average_layers(class_scores(spark, sf_dir), ["vec_id"]).select("vec_id", F.round("score", 6).alias("score"))
 
 
 TOKENS = BASE + ", t AS (SELECT vec_id // 25 AS image, vec_id % 25 AS pos, label NOT IN (8, 9) AS valid, v, n FROM u)"
@@ -180,7 +180,7 @@ def v16_pca(spark, sf_dir):
 @query(BASE + "SELECT vec_id, round(max(abs(v[i] / 3 - (v[i] / 3)::FLOAT::DOUBLE)), 9) AS loss FROM u, range(1, 65) r(i) GROUP BY vec_id")
 def v17_cast_precision(spark, sf_dir):
     third = F.transform("v", lambda x: x / 3)
-    gap = F.zip_with(third, third.cast("array<float>").cast("array<double>"), lambda a, b: F.abs(a - b))
+    gap = F.zip_with(third, V.cast_precision(third), lambda a, b: F.abs(a - b))
     return _rows(spark, sf_dir).select("vec_id", F.round(F.array_max(gap), 9).alias("loss"))
 
 

@@ -150,3 +150,60 @@ def test_registries():
     assert files.read_source("x") == 1 and scoring.pooler("first")([3]) == 3
     with pytest.raises(KeyError):
         files.read_source("absent")
+
+
+def test_numeric_entities(spark):
+    df = spark.createDataFrame([("a&#39;b &#x41;&#66; &amp;#67; &#0; &#9999999; & &#xZZ;",), (None,), ("plain",)], "t string")
+    got = [r[0] for r in df.select(prepare.clean_text(F.col("t"))).collect()]
+    assert got == ["a'b ab c &#0; &#9999999; & &#xzz;", None, "plain"]
+
+
+def test_standardize_and_back(spark):
+    df = spark.createDataFrame([([0.0, 255.0, 100.0],)], "v array<double>")
+    m, s = [0.5, 0.4, 0.3], [0.2, 0.3, 0.4]
+    row = df.select(prepare.standardize(F.col("v"), m, s).alias("z")).select("z", prepare.destandardize(F.col("z"), m, s).alias("b"), prepare.destandardize(F.transform("z", lambda x: x * 9), m, s).alias("c")).first()
+    assert row["z"] == pytest.approx([-2.5, 2.0, (100 / 255 - 0.3) / 0.4]) and all(abs(x - y) <= 1 for x, y in zip(row["b"], [0, 255, 100], strict=True))
+    assert row["c"][0] == 0 and row["c"][1] == 255
+
+
+def test_softmax_and_its_log(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 700.0],), ([0.5, 0.5],)], "v array<double>")
+    rows = df.select(V.softmax(F.col("v")).alias("p"), V.log_sum_exp(F.col("v")).alias("l")).collect()
+    assert rows[0]["p"] == pytest.approx([0, 0, 1]) and rows[0]["l"] == pytest.approx(700) and rows[1]["p"] == [0.5, 0.5]
+
+
+def test_running_sums_over_blocks(spark):
+    rng = np.random.default_rng(5)
+    score = rng.normal(size=400).round(2)
+    label = (rng.random(400) < 0.4).astype(int)
+    rows = [("a", float(x), int(y)) for x, y in zip(score, label, strict=True)] + [("b", 1.0, 1), ("b", 1.0, 0), (None, float("inf"), 1), (None, 0.0, 0), (None, -float("inf"), 1)]
+    df = spark.createDataFrame(rows, "k string, score double, label int")
+    for blocks in (2, 7, 4096):
+        got = metrics.running(df, ["k"], blocks=blocks).collect()
+        for r in got:
+            mine = [(s, y) for k, s, y in rows if k == r["k"]]
+            assert r["tp"] == sum(y for s, y in mine if s >= r["score"]) and r["fp"] == sum(1 - y for s, y in mine if s >= r["score"])
+            assert r["pos"] == sum(y for _, y in mine) and r["neg"] == len(mine) - r["pos"]
+    few = metrics.roc_auc(df.where("k = 'a'"), ["k"], bins=2000).first()["auc"]
+    assert few == pytest.approx(metrics.roc_auc(df.where("k = 'a'"), ["k"]).first()["auc"], abs=0.2)
+    assert {r["k"] for r in metrics.evaluate(df.where("k is not null"), ["k"]).collect()} == {"a", "b"}
+
+
+def test_percent_table_and_tags(spark):
+    long = spark.createDataFrame([("x", "auc", 0.98765), ("y", "f1", 0.5)], "name string, metric string, value double")
+    got = {r["name"]: (r["auc"], r["f1"]) for r in metrics.metrics_table(long, ["auc", "f1"], shares=True).collect()}
+    assert got == {"x": (98.77, 0.0), "y": (0.0, 50.0)}
+    tags = prepare.tag_catalog(spark.createDataFrame([("m", {"A-b": "1", "c": "2"}), ("n", {"a_b": "3"})], "model string, tags map<string,string>"))
+    assert {r[0] for r in prepare.by_tag(tags, "A-B").collect()} == {"m", "n"} and {r[0] for r in prepare.by_model(tags, "m").collect()} == {"a_b", "c"}
+
+
+def test_rate_schedule(spark):
+    rates = [r["rate"] for r in tuning.lr_schedule(spark, "cosine", 10).orderBy("epoch").collect()]
+    assert rates[0] == pytest.approx(0.002) and rates == sorted(rates, reverse=True) and rates[-1] > 1e-5
+    assert [r["rate"] for r in tuning.lr_schedule(spark, "exponential", 3).orderBy("epoch").collect()] == pytest.approx([0.002, 0.0019, 0.001805])
+
+
+def test_unsettled_regions_are_an_error(spark):
+    snake = [(0, 0, x) for x in range(9)] + [(0, 1, 8)] + [(0, 2, x) for x in range(9)]
+    with pytest.raises(RuntimeError):
+        regions.label_runs(cells(spark, snake), rounds=1)
