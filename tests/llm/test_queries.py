@@ -303,6 +303,12 @@ def test_stages_equal_brute_force(spark, documents):
     kept = {r["doc_id"]: r["text"] or "" for r in corpus_pipeline.repeated_passages(spark, docs, DATA).collect()}
     gone = {i: len((t or "").split()) - len(kept.get(i, "").split()) for i, t in rows.items()}
     assert sum(gone.values()) >= 0.98 * sum(map(len, covered.values())) > 0
+    # cut elsewhere than whole documents suggest, a passage must still be at the threshold
+    for r in compact_windows.duplicate_passages(docs).collect():
+        mine, other = (compact_windows.shingle_sequence(rows[i]) for i in (r["doc_id"], r["source_doc_id"]))
+        assert r["source_doc_id"] < r["doc_id"] and r["end_word"] - r["start_word"] >= 50
+        assert compact_windows.best_likeness(np.unique(mine[r["start_word"] : r["end_word"] - 4]), other, 0.8) >= 0.8
+        covered[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
     assert all(n <= len(covered[i]) for i, n in gone.items())
 
 
