@@ -330,8 +330,8 @@ def test_scores(odd, empty, documents):
     assert suffix_tree.score(empty).count() == 0
 
 
-def brute_force_score(train, text):
-    """The model by its definition, for an exact tree of two levels."""
+def brute_force_score(train, text, depth=2):
+    """The model by its definition, for an exact tree of ``depth`` (1 or 2) levels."""
     seqs = [[*t.lower().split(), None] for t in train]
     c = collections.Counter(w for s in seqs for w in s)
     n, v = sum(c.values()), len(c)
@@ -353,7 +353,7 @@ def brute_force_score(train, text):
         listed, rest = model[context]
         return listed[w] if w in listed else rest * p(context[1:], w)
 
-    for d, pairs in enumerate(after):
+    for d, pairs in enumerate(after[:depth]):
         size = collections.Counter()
         for k in c:
             size[(k,)] = c[k]
@@ -373,7 +373,7 @@ def brute_force_score(train, text):
                 fresh[context] = (listed, rest)
         model.update(fresh)
     seq = [*text.lower().split(), None]
-    return sum(math.log10(p(tuple(seq[max(0, i - 2) : i]), w)) for i, w in enumerate(seq)), len(model)
+    return sum(math.log10(p(tuple(seq[max(0, i - depth) : i]), w)) for i, w in enumerate(seq)), len(model)
 
 
 def test_scores_equal_brute_force(spark):
@@ -389,15 +389,30 @@ def test_scores_equal_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     held = F.col("doc_id") % 5 == 0
     train = [t for i, t in enumerate(texts) if i % 5]
-    for r in suffix_tree.score(df, held, word_share=0, context_share=0, symbol_share=0, pair_share=0).collect():
+    for r in suffix_tree.score(df, held, word_share=0, context_share=0, symbol_share=0, pair_share=0, contexts=1, pairs=2).collect():
         want, states = brute_force_score(train, texts[r["doc_id"]])
         assert states > 20 and r["score"] == pytest.approx(want, abs=1e-6)
+    for share in (0.15, 0.5, 1.0):  # the same from a table joined, with some and with all words and pairs rare
+        for r in suffix_tree.score(df, held, depth=1, word_share=share, pair_share=0.05, contexts=1, pairs=2).collect():
+            want, states = brute_force_score(train, texts[r["doc_id"]], 1)
+            assert states >= 7 and r["score"] == pytest.approx(want, abs=1e-6)
+
+
+def test_tree_grows_with_the_corpus(documents):
+    """Twice as many different texts list more pairs; none is cut by a share."""
+    docs = documents.select("doc_id", "text").withColumn("held_out", F.lit(False))
+    sizes = []
+    for part in (docs.where("doc_id % 2 = 0"), docs):
+        counts = suffix_tree.word_counts(part)
+        tree, table = suffix_tree.learn(part, counts)
+        sizes.append(len(tree.levels[0].codes) + table.where(f"b <> {tree.end + 1}").count())
+    assert sizes[1] > 1.3 * sizes[0]
 
 
 def test_tree_is_a_distribution(documents):
     docs = documents.select("doc_id", "text").withColumn("held_out", F.lit(False))
     counts = suffix_tree.word_counts(docs)
-    tree = suffix_tree.learn(docs, counts)
+    tree, _ = suffix_tree.learn(docs, counts)
     words, c = zip(*[(r["word"], r["c"]) for r in counts.collect()], strict=True)
     one = tree.levels[0]
     state = int(np.flatnonzero(one.kept)[0])
@@ -406,7 +421,7 @@ def test_tree_is_a_distribution(documents):
     all_c = [*c, tree.counts[-1]]
     for w, n in zip([*words, None], all_c, strict=True):
         x = np.array([word, tree.end if w is None else tree.ids.get(w.encode(), -1)])
-        total += (n + 1) / (tree.tokens + 1 + tree.distinct) * 10 ** tree.gains(x)[1]
+        total += (n + 1) / (tree.tokens + 1 + tree.distinct) * 10 ** tree.gains(x)[0][1]
     total += 1 / (tree.tokens + 1 + tree.distinct) * 10 ** one.rest[state]  # an unknown word
     assert total == pytest.approx(1, abs=1e-6)
 
