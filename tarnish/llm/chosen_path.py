@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_groups, narrowed, numbered, prepare, slices, spread_join, written
+from .common import keyed_groups, narrowed, numbered, parted, prepare, slices, spread_join, written
 from .components import connected_components
 from .shingling import WORDS, mixed, portions, shingle_sets
 
@@ -324,6 +324,8 @@ def keep_one(documents: DataFrame, *, threshold: float = THRESHOLD, recall: floa
     columns = documents.columns
     docs, names = numbered(documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")))
     classes = _linked(docs.select(F.col("_doc").alias("doc"), "text"), names is not None, threshold, recall, depth, leaf, chunk)
-    kept = written(classes.select(F.col("class").alias("_doc")).distinct(), "kept")
-    docs = docs.join(kept, "_doc", "left_semi")
+    gone = written(classes.where("class <> doc").select(F.col("doc").alias("_doc")).distinct(), "gone")
+    # only rows that may go are joined; the texts of the others stay where they are
+    maybe, stay = parted(docs.select("_doc", "_row"), "_doc", gone, "_doc")
+    docs = maybe.join(gone, "_doc", "left_anti").unionByName(stay)
     return (docs if names is None else docs.dropDuplicates(["_doc"])).select("_row.*")

@@ -65,14 +65,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def narrowed(df: DataFrame, column: str, keys: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
-    """Rows of ``df`` whose ``column`` may occur in ``keys``, ahead of a join
-    that needs only those: the others aren't shuffled.
-
-    The test is a bitmap of ``bits`` bits (2 MB, whatever the number of keys)
-    over hashes, one broadcast row; it lets all rows pass that join, and few
-    others as long as keys are fewer than bits.
-    """
+def _maybe(df: DataFrame, column: str, keys: DataFrame, key: str, bits: int, how: str) -> list[DataFrame]:
     place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits))
     words = keys.select(place.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
     bitmap = np.zeros(bits // 64, dtype=np.int64)
@@ -81,7 +74,24 @@ def narrowed(df: DataFrame, column: str, keys: DataFrame, key: str, bits: int =
     row = df.sparkSession.createDataFrame([(bitmap.tolist(),)], "_bits array<long>")
     at = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
     word = F.get(F.col("_bits"), F.floor(at / 64).cast("int"))
-    return df.join(F.broadcast(row), F.getbit(word, (at % 64).cast("int")) == 1, "left_semi")
+    return [df.join(F.broadcast(row), F.getbit(word, (at % 64).cast("int")) == 1, h) for h in how.split()]
+
+
+def narrowed(df: DataFrame, column: str, keys: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may occur in ``keys``, ahead of a join
+    that needs only those: the others aren't shuffled.
+
+    The test is a bitmap of ``bits`` bits (2 MB, whatever the number of keys)
+    over hashes, one broadcast row; it lets all rows pass that join, and few
+    others as long as keys are fewer than bits.
+    """
+    return _maybe(df, column, keys, key, bits, "left_semi")[0]
+
+
+def parted(df: DataFrame, column: str, keys: DataFrame, key: str, bits: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``column`` may occur in ``keys``, as in
+    ``narrowed``, and those that surely don't, which need no join."""
+    return tuple(_maybe(df, column, keys, key, bits, "left_semi left_anti"))
 
 
 def numbered(documents: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
