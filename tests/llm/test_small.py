@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tarnish.llm import ann, bpe, chosen_path, compact_windows, langid, packing, shingling, warc
 
@@ -162,3 +163,32 @@ def test_gzip_member_tells_its_length():
 
     assert gzip.decompress(data) == b"x" * 1000
     assert hashlib.sha1(b"").hexdigest()
+
+
+def test_parted_rows_are_whole_and_hold_all_keys(spark):
+    from tarnish.llm.common import parted
+
+    rows, keys = spark.range(500).withColumnRenamed("id", "x"), spark.range(0, 500, 7).withColumnRenamed("id", "k")
+    for bits in (1 << 24, 64):  # 64: nearly every bit is set
+        maybe, stay = parted(rows, "x", keys, "k", bits)
+        a, b = ([r[0] for r in df.collect()] for df in (maybe, stay))
+        assert sorted(a + b) == list(range(500))
+        assert set(range(0, 500, 7)) <= set(a)
+
+
+def test_removals_keep_odd_rows_and_columns(spark):
+    words, own = [f"w{i}" for i in range(140)], [f"own{i}" for i in range(40)]
+    one, near, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join([*own, *words[:60], "tail"])
+    rows = [(1, one, "a"), (2, near, "b"), (3, other, "c"), (4, None, "d"), (5, "", "e"), (None, "alone here", "f"), (6, " ".join(words[:60]), "g"), (1, "a text of its own", "h"), (1, one, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _doc string").withColumn("_row", F.lit(1)).withColumn("n_chars", F.length("text"))
+    kept = chosen_path.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["_doc"] for r in kept.collect()) == ["a", "c", "d", "e", "f", "g", "h"]
+    cut = compact_windows.without_repeats(docs)
+    assert cut.columns == docs.columns
+    got = {r["_doc"]: r for r in cut.collect()}
+    assert set(got) - {"b"} == set("acdefh")  # of g no word is left
+    assert got["c"]["text"].split() == [*own, "tail"] and got["c"]["n_chars"] == len(got["c"]["text"])
+    assert got["a"]["text"] == one and got["d"]["text"] is None and got["e"]["text"] == "" and got["h"]["text"] == "a text of its own"
+    none = docs.where("false")
+    assert chosen_path.keep_one(none).count() == compact_windows.without_repeats(none).count() == 0
