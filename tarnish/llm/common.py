@@ -11,7 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -114,6 +114,23 @@ def numbered(documents: DataFrame, text_col: str = "text") -> tuple[DataFrame, D
     return out, names.select(F.col("_no").alias("_doc"), F.col("_id").alias("doc_id"))
 
 
+def positions(df: DataFrame, key: str, order: list, name: str) -> DataFrame:
+    """``df`` with ``_pos``, the row's place within its ``key`` by ``order``
+    (from 0), and ``_n``, the key's rows.
+
+    Rows are dealt out by range, so that a key of very many rows is in many
+    tasks; what a key has in earlier partitions comes from a table with a
+    row for each key and partition.  The key is not null.
+    """
+    rows = written(df.orderBy(key, *order).withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.expr("shiftright(_at, 33)").alias("_part")
+    runs = rows.groupBy(key, part).agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
+    whole = Window.partitionBy(key)
+    before = F.sum("_n").over(whole.orderBy("_part")) - F.col("_n") - F.col("_from")
+    runs = written(runs.select(key, "_part", before.alias("_shift"), F.sum("_n").over(whole).alias("_n")), f"{name}-runs")
+    return rows.select("*", part).join(runs, [key, "_part"]).withColumn("_pos", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
 def spread_join(many: DataFrame, few: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
     """Inner join in which a key of many rows of ``many`` meets no single task.
 
