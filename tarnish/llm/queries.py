@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chosen_path, compact_windows, langid, manifest, merkle, packing, prefix_trie, suffix_tree, token_counts, warc
+from . import ann, bpe, chosen_path, compact_windows, langid, manifest, merkle, packing, prefix_trie, suffix_tree, token_counts, toxicity, warc
 from .common import table
 
 
@@ -50,11 +50,15 @@ def op11_merkle_manifest(spark, sf_dir):
     return manifest.tampered_proofs(table(spark, sf_dir, "documents"))
 
 
+def op12_convolutional_toxicity(spark, sf_dir):
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_prefix_trie(spark, sf_dir):
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_projected_neighbours, op2_warc_round_trip, op3_merkle_fingerprints, op4_chosen_path_join, op5_compact_windows, op6_suffix_tree_scores, op7_bpe_round_trip, op8_token_counts, op9_language_id, op10_column_generation_packing, op11_merkle_manifest, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_projected_neighbours, op2_warc_round_trip, op3_merkle_fingerprints, op4_chosen_path_join, op5_compact_windows, op6_suffix_tree_scores, op7_bpe_round_trip, op8_token_counts, op9_language_id, op10_column_generation_packing, op11_merkle_manifest, op12_convolutional_toxicity, op13_prefix_trie)}
 
 #: Payload digests: SHA-1 as hex, and each ten digits as eight of base32.
 WARC_SQL = r"""
