@@ -10,25 +10,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def score_counts(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
+def score_counts(df: DataFrame, keys: list[str], score: str = "score", label: str | tuple[str, str] = "label") -> DataFrame:
+    """Rows of label 1 and 0 by score; ``label`` may also name two columns
+    that hold such counts already."""
+    if isinstance(label, tuple):
+        return df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(label[0]).alias("p"), F.sum(label[1]).alias("n"))
     return df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
 
 
-def running(df: DataFrame, keys: list[str], score: str = "score", label: str = "label", blocks: int = 4096) -> DataFrame:
+def _cuts(side: int) -> Column:
+    """``side`` rows of ``side`` quantiles of a group's finite scores."""
+    n = side * side
+    flat = F.percentile_approx("_finite", [(k + 1) / n for k in range(n)], 20 * n)
+    return F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda k: F.slice(flat, k * side + 1, side))
+
+
+def running(df: DataFrame, keys: list[str], score: str = "score", label: str | tuple[str, str] = "label", side: int = 32) -> DataFrame:
     """Counts at each distinct score, with those of higher or equal scores
     (tp, fp) and of the whole group (pos, neg).
 
-    Each group's range of scores is cut into up to ``blocks`` equal blocks;
-    windows run within a block, and over the blocks' totals, so that a group
-    of many distinct scores isn't ordered in one task.  Nulls and NaN are in
-    blocks of their own at the ends, as they sort.
+    Each group's distinct scores are cut at ``side`` squared quantiles, of a
+    sketch of bounded size; windows run within such a block, and over the
+    blocks' totals, so that no group of many distinct scores is ordered in
+    one task, however the scores are spread.  Nulls and NaN are in blocks of
+    their own at the ends, as they sort.
     """
+    value = F.col("score").cast("double")
     counts = score_counts(df, keys, score, label)
-    finite = F.when(F.abs(F.col("score").cast("double")) < float("inf"), F.col("score").cast("double"))
-    ends = counts.groupBy(*keys).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
-    near = F.floor(F.coalesce(F.try_divide(finite - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * (blocks - 1))
-    high = F.isnan(F.col("score").cast("double")) | (F.col("score").cast("double") == float("inf"))
-    place = F.when(F.col("score").isNull(), -2).when(high, blocks).when(finite.isNull(), -1).otherwise(near).cast("int")
+    counts = counts.withColumn("_finite", F.when(F.abs(value) < float("inf"), value))
+    ends = counts.groupBy(*keys).agg(_cuts(side).alias("_cuts"))
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col("_finite")))  # noqa: E731  cuts ascend
+    row = F.least(below(F.transform("_cuts", lambda r: F.get(r, F.lit(side - 1)))), F.lit(side - 1))
+    near = row * side + below(F.get("_cuts", row))
+    high = F.isnan(value) | (value == float("inf"))
+    place = F.when(F.col("score").isNull(), -2).when(high, side * side + 1).when(F.col("_finite").isNull(), -1).otherwise(near).cast("int")
     safe = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
 
     def looked_up(rows: DataFrame, to: DataFrame, *more) -> DataFrame:
@@ -37,7 +52,7 @@ def running(df: DataFrame, keys: list[str], score: str = "score", label: str = "
         out = rows.join(to, cond) if cond else rows.join(to)  # without keys: one row
         return out.drop(*[f"_k_{k}" for k in keys])
 
-    counts = looked_up(counts, ends).withColumn("_block", place).drop("_lo", "_hi")
+    counts = looked_up(counts, ends).withColumn("_block", place).drop("_finite", "_cuts")
     totals = counts.groupBy(*keys, "_block").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     above = Window.partitionBy(*keys).orderBy(F.desc("_block"))
     whole = Window.partitionBy(*keys)
@@ -48,10 +63,33 @@ def running(df: DataFrame, keys: list[str], score: str = "score", label: str = "
     return out.withColumns({"tp": F.col("tp") + F.col("_tp"), "fp": F.col("fp") + F.col("_fp")}).drop("_block", "_at", "_tp", "_fp")
 
 
-def evaluate(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """All runs in one job: ROC-AUC and best F1 (percent) of each group."""
-    best = max_f1(df, keys, score, label).select(*keys, percent(F.col("f1")).alias("max_f1"), "threshold")
-    return roc_auc(df, keys, score, label).join(best, keys)
+def evaluate(df: DataFrame, keys: list[str], score: str = "score", label: str = "label", sets: list[list[str]] | None = None) -> DataFrame:
+    """All runs in one job: ROC-AUC, and best F1 with the lowest threshold
+    that reaches it (percent), of each group of ``keys``, null keys included.
+
+    ``sets``: subtotals by these subsets of the keys as well; they are made
+    of the counts by score, not of the rows.  ``level`` has a bit for each
+    key (the last one is 1) that a row is a total over, whose column is null.
+    """
+    counts = score_counts(df, keys, score, label)
+    every = {k: 1 << (len(keys) - 1 - i) for i, k in enumerate(keys)}
+    wanted = dict.fromkeys(tuple(k for k in keys if k in own) for own in [keys, *(sets or [])])
+    views = F.array(*[F.struct(*[(F.col(k) if k in own else F.lit(None).cast(df.schema[k].dataType)).alias(k) for k in keys], F.lit(sum(b for k, b in every.items() if k not in own)).alias("level")) for own in wanted])
+    counts = counts.select(F.inline(views), "score", "p", "n")
+    # one row for each score again, as running() counts rows of label 1 and 0
+    r = running(counts, [*keys, "level"], "score", ("p", "n"))
+    return r.groupBy(*keys, "level").agg(_area().alias("auc"), F.max(F.struct(F.round(_f1(), 12).alias("f1"), (-F.col("score").cast("double")).alias("t"))).alias("_best")).select(*keys, "level", "auc", percent(F.col("_best.f1")).alias("max_f1"), (-F.col("_best.t")).alias("threshold"))
+
+
+def _area() -> Column:
+    """Of the rows of ``running``: percent, ties count half."""
+    area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0))
+    return F.try_divide(100.0 * area, F.max("pos") * F.max("neg"))
+
+
+def _f1() -> Column:
+    """2 tp / (predicted + positive); zero where nothing is found."""
+    return F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("pos")), F.lit(0.0))
 
 
 def percent(share: Column) -> Column:
@@ -83,8 +121,7 @@ def roc_auc(df: DataFrame, keys: list[str], score: str = "score", label: str = "
     ``bins``: see ``binned``."""
     df = df if bins is None else binned(df, bins, score)
     r = running(df, keys, score, label)
-    area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0))
-    return r.groupBy(*keys).agg(F.try_divide(100.0 * area, F.max("pos") * F.max("neg")).alias("auc"))
+    return r.groupBy(*keys).agg(_area().alias("auc"))
 
 
 def pr_curve(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
@@ -173,9 +210,32 @@ def score_histogram(df: DataFrame, label: str, bins: int = 50, score: str = "sco
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(label)))
 
 
-def bootstrap(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """About ``n`` rows drawn with replacement."""
-    return df.sample(True, n / max(1, df.count()), seed)
+def bootstrap(df: DataFrame, n: int, seed: int, parts: int | None = None) -> DataFrame:
+    """Exactly ``n`` rows drawn with replacement, each row alike; ``seed``
+    repeats the draw for the same rows.
+
+    Rows are dealt into ``parts`` by a hash and numbered in each (equal rows
+    in any order); the n draws are dealt to the parts by one multinomial
+    draw of their sizes, on the driver, and each part's draws join its
+    numbers.  An empty table gives no rows.
+    """
+    import numpy as np
+
+    parts = parts or max(1, -(-n // 100_000))
+    columns = df.columns
+    text = F.to_json(F.struct(*columns))
+    w = Window.partitionBy("_of").orderBy("_key", "_text")
+    rows = df.withColumns({"_key": F.xxhash64(text, F.lit(seed)), "_text": text}).withColumn("_of", F.pmod("_key", F.lit(parts)).cast("int"))
+    rows = rows.withColumn("_no", F.row_number().over(w).cast("long")).drop("_text", "_key")
+    sizes = {r["_of"]: r["count"] for r in rows.groupBy("_of").count().collect()}  # a row a part
+    if not sizes or n < 1:
+        return df.limit(0)
+    held = np.array([sizes.get(k, 0) for k in range(parts)])
+    drawn = np.random.default_rng(seed).multinomial(n, held / held.sum())
+    plan = df.sparkSession.createDataFrame([(k, int(held[k]), int(drawn[k])) for k in range(parts) if drawn[k]], "_of int, _size long, _draws long")
+    each = plan.withColumn("_draw", F.explode(F.sequence(F.lit(1).cast("long"), "_draws")))
+    number = F.pmod(F.xxhash64("_of", "_draw", F.lit(seed)), F.col("_size")) + 1
+    return rows.join(each.select("_of", number.alias("_no")), ["_of", "_no"]).select(*columns)
 
 
 def metrics_table(df: DataFrame, metrics: list[str], name: str = "name", shares: bool = False) -> DataFrame:

@@ -6,22 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, doubles, l2_normalize, log_sum_exp, softmax, total
+from .blocks import attend_blocks, group_sums, nearest, pair_similarity, projected
 
-#: Rows up to which a side is broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 20_000
-
-
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has ``rows`` rows at most."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Entries of a matrix that the driver may hold and broadcast.
+HELD_ENTRIES = 1_000_000
 
 
 def mean_vector(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
-    """Component-wise mean of a group's vectors, in order of position."""
-    parts = df.select(*keys, F.posexplode(doubles(F.col(vec))).alias("pos", "x"))
-    means = parts.groupBy(*keys, "pos").agg(F.avg("x").alias("x"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"])
-    return means.groupBy(*keys).agg(ordered.alias(vec))
+    """Component-wise mean of a group's vectors."""
+    return group_sums(df, keys, vec, "mean")
 
 
 def prototype(df: DataFrame, keys: list[str], vec: str, pre_normalize: bool = False) -> DataFrame:
@@ -43,16 +36,14 @@ def nearest_distance(v, gallery):
 
 def nearest_k(df: DataFrame, gallery: DataFrame, k: int, id_col: str, by: str, vec: str) -> DataFrame:
     """The ``k`` nearest gallery rows (gallery_id, vec) of each row's class."""
-    g = gallery.select(by, F.col(id_col).alias("gallery_id"), l2_normalize(F.col(vec)).alias("_g"))
-    rows = df.select(id_col, by, l2_normalize(F.col(vec)).alias("_v")).join(small_side(g), by)
-    rows = rows.withColumn("distance", (1 - dot(F.col("_v"), F.col("_g"))) / 2)
-    w = Window.partitionBy(id_col).orderBy(F.round("distance", 9), "gallery_id")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(id_col, "rank", "gallery_id", "distance")
+    shots = gallery.select(by, F.col(id_col).alias("gallery_id"), F.col(vec).alias("_g"))
+    return nearest(df, shots, id_col, "gallery_id", k, [by], vec, "_g").select(id_col, "rank", "gallery_id", "distance")
 
 
-def similarity(a: DataFrame, b: DataFrame, scale: float, by: str) -> DataFrame:
-    """Scaled dot products of the rows of ``a`` and ``b`` that share ``by``."""
-    return a.join(b, by).withColumn("similarity", scale * dot(F.col("va"), F.col("vb")))
+def similarity(a: DataFrame, b: DataFrame, scale: float, id_a: str, id_b: str, by: str | None = None) -> DataFrame:
+    """Scaled dot products of all rows of ``a`` (va) and ``b`` (vb), of those
+    that share ``by`` if given."""
+    return pair_similarity(a, b, id_a, id_b, scale, [by] if by else [])
 
 
 def prototype_score(v, prototypes, t: float):
@@ -65,10 +56,7 @@ def pool(tokens: DataFrame, key: str, how: str, vec: str = "vec", pos: str = "po
     """Masked mean, masked maximum, or first vector of each group."""
     if how == "first":
         return tokens.where(F.col(pos) == 0).select(key, doubles(F.col(vec)).alias(vec))
-    parts = tokens.where(F.col(valid)).select(key, F.posexplode(doubles(F.col(vec))).alias("i", "x"))
-    agg = {"mean": F.avg, "max": F.max}[how]("x").alias("x")
-    parts = parts.groupBy(key, "i").agg(agg)
-    return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(vec))
+    return group_sums(tokens.where(F.col(valid)), [key], vec, how)
 
 
 def keep_tokens(tokens: DataFrame, key: str, share: float, seed: int, pos: str = "pos") -> DataFrame:
@@ -83,13 +71,7 @@ def keep_tokens(tokens: DataFrame, key: str, share: float, seed: int, pos: str =
 def attend(tokens: DataFrame, queries: DataFrame, key: str, scale: float, vec: str = "vec") -> DataFrame:
     """softmax(q . v * scale) . v over the tokens of each group, for each of
     its queries (key, query_id, q)."""
-    rows = tokens.join(queries, key).withColumn("_s", scale * dot(F.col("q"), F.col(vec)))
-    top = Window.partitionBy(key, "query_id")
-    rows = rows.withColumn("_e", F.exp(F.col("_s") - F.max("_s").over(top)))
-    rows = rows.withColumn("_w", F.col("_e") / F.sum("_e").over(top))
-    parts = rows.select(key, "query_id", "_w", F.posexplode(doubles(F.col(vec))).alias("i", "x"))
-    parts = parts.groupBy(key, "query_id", "i").agg(F.sum(F.col("_w") * F.col("x")).alias("x"))
-    return parts.groupBy(key, "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(vec))
+    return attend_blocks(tokens, queries, key, "query_id", "q", vec, scale)
 
 
 def self_smooth(tokens: DataFrame, key: str, token: str, scale: float, vec: str = "vec", normalized: bool = False) -> DataFrame:
@@ -101,15 +83,29 @@ def self_smooth(tokens: DataFrame, key: str, token: str, scale: float, vec: str
 
 
 def project(df: DataFrame, weights: DataFrame, id_col: str, vec: str) -> DataFrame:
-    """v @ W with W as rows (i, j, w): a long result (id, j, x)."""
-    parts = df.select(id_col, F.posexplode(doubles(F.col(vec))).alias("i", "x"))
-    return parts.join(small_side(weights), "i").groupBy(id_col, "j").agg(F.sum(F.col("x") * F.col("w")).alias("x"))
+    """v @ W with W as rows (i, j, w): a long result (id, j, x).
+
+    Up to ``HELD_ENTRIES`` entries are held as one matrix; a larger one is
+    joined entry by entry.  Entries that W lacks are zero.
+    """
+    import numpy as np
+
+    held = weights.select("i", "j", "w").limit(HELD_ENTRIES + 1).toArrow()  # checked below
+    if held.num_rows > HELD_ENTRIES:
+        parts = df.select(id_col, F.posexplode(doubles(F.col(vec))).alias("i", "x"))
+        return parts.join(weights, "i").groupBy(id_col, "j").agg(F.sum(F.col("x") * F.col("w")).alias("x"))
+    i, j, w = (np.asarray(held.column(c)) for c in ("i", "j", "w"))
+    names = np.unique(j)
+    matrix = np.zeros((int(i.max(initial=-1)) + 1, len(names)))
+    np.add.at(matrix, (i, np.searchsorted(names, j)), w)
+    named = F.array(*[F.struct(F.lit(int(name)).cast(weights.schema["j"].dataType).alias("j"), F.get("_p", F.lit(k)).alias("x")) for k, name in enumerate(names)])
+    return projected(df.select(id_col, vec), matrix, vec, "_p").select(id_col, F.inline(named))
 
 
 def lookup_vectors(ids: DataFrame, table: DataFrame, offsets: DataFrame, key: str, seq: str) -> DataFrame:
     """Id sequences as vectors from ``table`` (id, vec), plus the position's
     ``offsets`` (pos, offset); order is kept."""
-    rows = ids.select(key, F.posexplode(seq).alias("pos", "id")).join(table, "id").join(small_side(offsets), "pos")
+    rows = ids.select(key, F.posexplode(seq).alias("pos", "id")).join(table, "id").join(offsets, "pos")
     added = F.zip_with(doubles(F.col("vec")), doubles(F.col("offset")), lambda a, b: a + b)
     return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", added.alias("v")))), lambda s: s["v"]).alias("vectors"))
 

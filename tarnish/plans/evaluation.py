@@ -54,6 +54,21 @@ def a13_bootstrap(spark, sf_dir):
     return M.bootstrap(s, 2 * s.count(), 7)
 
 
+@query("""WITH s AS (SELECT d.lang, nullif(d.source, 'none') AS source, n_chars // 50 AS score, l.toxic AS label FROM documents d JOIN labels l USING (doc_id)),
+g AS (SELECT lang, source, grouping(lang, source)::INT AS level, score, sum(label) AS p, sum(1 - label) AS n FROM s GROUP BY GROUPING SETS ((lang, source, score), (lang, score), (score))),
+r AS (SELECT *, sum(p) OVER d AS tp, sum(n) OVER d AS fp, sum(p) OVER w AS pos, sum(n) OVER w AS neg FROM g WINDOW w AS (PARTITION BY lang, source, level), d AS (PARTITION BY lang, source, level ORDER BY score DESC)),
+f AS (SELECT *, CASE WHEN tp = 0 THEN 0 ELSE 2.0 * tp / (tp + fp + pos) END AS f1 FROM r)
+SELECT lang, source, level, round(100.0 * sum(n * (tp - p / 2)) / nullif(max(pos) * max(neg), 0), 6)::DOUBLE AS auc, round(100 * max(f1), 2)::DOUBLE AS max_f1,
+  arg_max(score::DOUBLE, (round(f1, 12), -score)) AS threshold FROM f GROUP BY 1, 2, 3""")
+def k4_evaluate_all(spark, sf_dir):
+    """Every language and source in one job, null sources among them, with
+    totals by language and of all."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.nullif("source", F.lit("none")).alias("source"), F.expr("n_chars div 50").alias("score"))
+    rows = d.join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    out = M.evaluate(rows, ["lang", "source"], sets=[["lang"], []])
+    return out.select("lang", "source", "level", F.round("auc", 6).alias("auc"), "max_f1", "threshold")
+
+
 @query("SELECT lang AS name, round(avg(n_chars) FILTER (source < 'src2'), 2)::DOUBLE AS i_roc, coalesce(round(avg(n_chars) FILTER (source = 'none'), 2), 0)::DOUBLE AS p_roc FROM documents GROUP BY lang")
 def a15_metrics_table(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

@@ -117,6 +117,15 @@ def a3_pixel_auc(spark, sf_dir):
     return M.roc_auc(cells, ["run"]).select("run", F.round("auc", 6).alias("auc"))
 
 
+@query(CELLS + """, e AS (SELECT min(round(value, 6)) AS lo, (max(round(value, 6)) - min(round(value, 6))) / 1000 AS w FROM d), b AS (SELECT least(floor((round(value, 6) - lo) / w), 999) AS score, gt FROM d, e),
+s AS (SELECT score, sum(gt) AS p, sum(1 - gt) AS n FROM b GROUP BY 1), r AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp FROM s)
+SELECT 'all' AS run, round(100.0 * sum(n * (tp - p / 2.0)) / (sum(p) * sum(n)), 6)::DOUBLE AS auc FROM r""")
+def a3_pixel_auc_binned(spark, sf_dir):
+    """All cells of all maps, their scores in 1,000 bins."""
+    cells = dense(spark, sf_dir).select(F.lit("all").alias("run"), F.round("value", 6).alias("score"), F.col("gt").alias("label"))
+    return M.roc_auc(cells, ["run"], bins=1000).select("run", F.round("auc", 6).alias("auc"))
+
+
 SWEEP = CELLS + ", q AS (SELECT map_id, y, x, gt, floor(value) AS score FROM d), e AS (SELECT min(score) AS lo, max(score) AS hi FROM q), t AS (SELECT step::INT AS step, hi - step * ((hi - lo) / 200) AS th FROM e, range(200) z(step))"
 
 

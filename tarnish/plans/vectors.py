@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import metrics, selection
 from ..operators import vectors as O
+from ..operators.blocks import lsh_nearest, nearest, nearest_in_groups
 from ..sources.files import read_vectors
 from .registry import query, table
 
@@ -38,11 +39,10 @@ def _rest(spark, sf_dir):
 
 def class_scores(spark, sf_dir):
     """Each row that is no shot against the gallery of each class."""
-    g = O.small_side(_gallery(spark, sf_dir).withColumnRenamed("label", "class"))
-    rest = _rest(spark, sf_dir).withColumn("n", V.l2_normalize(F.col("v")))
-    every = g.agg(F.collect_list(F.struct("class", "gallery")).alias("all"))  # a struct a class
-    rows = rest.crossJoin(F.broadcast(every)).select("vec_id", "label", "n", F.explode("all").alias("g"))
-    return rows.select("vec_id", "label", F.col("g.class").alias("class"), O.nearest_distance(F.col("n"), F.col("g.gallery")).alias("score"))
+    shots = _shots(spark, sf_dir).select(F.col("label").alias("class"), F.col("v").alias("g"))
+    rest = _rest(spark, sf_dir)
+    scored = nearest_in_groups(rest, shots, "vec_id", "class", "v", "g").withColumnRenamed("distance", "score")
+    return scored.join(rest.select("vec_id", "label"), "vec_id")
 
 
 SCORES = BASE + ", cs AS (SELECT r.vec_id, r.label, s.label AS class, min((1 - list_dot_product(r.n, s.n)) / 2) AS score FROM rest r, shots s GROUP BY ALL)"
@@ -54,7 +54,7 @@ SELECT class, round(100.0 * sum(n * (tp - p / 2.0)) / (sum(p) * sum(n)), 6)::DOU
 def fewshot_auc_by_class(spark, sf_dir):
     """The whole slice: shots, galleries, distances, AUROC by class (percent)."""
     scored = class_scores(spark, sf_dir).withColumn("anomaly", (F.col("label") != F.col("class")).cast("int"))
-    return metrics.roc_auc(scored, ["class"], "score", "anomaly").select("class", F.round("auc", 6).alias("auc"))
+    return metrics.evaluate(scored, ["class"], "score", "anomaly").select("class", F.round("auc", 6).alias("auc"))
 
 
 @query(BASE + "SELECT vec_id, list_transform(n, lambda x: round(x, 6)) AS unit FROM u")
@@ -86,7 +86,32 @@ def v4_mean_of_units(spark, sf_dir):
 def v5_similarity(spark, sf_dir):
     a = _rest(spark, sf_dir).select("vec_id", "label", V.l2_normalize(F.col("v")).alias("va"))
     b = _shots(spark, sf_dir).select(F.col("vec_id").alias("shot_id"), "label", V.l2_normalize(F.col("v")).alias("vb"))
-    return O.similarity(a, b, 10.0, "label").select("vec_id", "shot_id", F.round("similarity", 6).alias("similarity"))
+    return O.similarity(a, b, 10.0, "vec_id", "shot_id", "label").select("vec_id", "shot_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(BASE + "SELECT a.vec_id, b.vec_id AS other_id, round(4 * list_dot_product(a.n, b.n), 6) AS similarity FROM u a, u b WHERE a.vec_id % 7 = 0")
+def v5_similarity_of_all(spark, sf_dir):
+    """Every seventh row against all rows, without a common key, in blocks."""
+    rows = _rows(spark, sf_dir).withColumn("n", V.l2_normalize(F.col("v")))
+    a, b = rows.where("vec_id % 7 = 0").select("vec_id", F.col("n").alias("va")), rows.select(F.col("vec_id").alias("other_id"), F.col("n").alias("vb"))
+    return O.similarity(a, b, 4.0, "vec_id", "other_id").select("vec_id", "other_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(BASE + "SELECT a.vec_id, round(min((1 - list_dot_product(a.n, b.n)) / 2), 6) AS distance FROM u a, u b WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0 GROUP BY a.vec_id")
+def v8_nearest_of_all(spark, sf_dir):
+    """Odd rows against all even ones: a gallery as large as the table."""
+    rows = _rows(spark, sf_dir)
+    out = nearest(rows.where("vec_id % 2 = 1"), rows.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "near_id"), "vec_id", "near_id", va="v", vb="v")
+    return out.select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def v8_nearest_lsh(spark, sf_dir):
+    """As v8_nearest_of_all, by hashing; what finds nothing near is searched
+    exactly."""
+    rows = _rows(spark, sf_dir)
+    out = lsh_nearest(rows.where("vec_id % 2 = 1"), rows.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "near_id"), "vec_id", "near_id", length=0.5, va="v", vb="v")
+    return out.select("vec_id", "near_id", F.round("distance", 6).alias("distance"), "exact")
 
 
 @query(BASE + PROTO + """, q AS (SELECT label, list_transform(x, lambda z: z / sqrt(list_dot_product(x, x))) AS q FROM p),
@@ -184,10 +209,11 @@ def v17_cast_precision(spark, sf_dir):
     return _rows(spark, sf_dir).select("vec_id", F.round(F.array_max(gap), 9).alias("loss"))
 
 
-@query(BASE + """, k AS (SELECT doc_id, unnest([doc_id % 500, (doc_id * 7) % 500, (doc_id * 13) % 500]) AS id, unnest([0, 1, 2]) AS pos FROM documents)
+@query(BASE + """, k AS (SELECT doc_id, unnest([doc_id % n, (doc_id * 7) % n, (doc_id * 13) % n]) AS id, unnest([0, 1, 2]) AS pos FROM documents, (SELECT count(*) AS n FROM embeddings))
 SELECT doc_id, list(round(u.v[1] + pos, 6) ORDER BY pos) AS firsts FROM k JOIN u ON u.vec_id = k.id GROUP BY doc_id""")
 def v18_lookup_vectors(spark, sf_dir):
-    ids = table(spark, sf_dir, "documents").select("doc_id", F.array(F.col("doc_id") % 500, F.col("doc_id") * 7 % 500, F.col("doc_id") * 13 % 500).alias("ids"))
+    n = _rows(spark, sf_dir).agg(F.count("*").alias("n"))  # one row
+    ids = table(spark, sf_dir, "documents").join(F.broadcast(n)).select("doc_id", F.array(*[F.col("doc_id") * k % F.col("n") for k in (1, 7, 13)]).alias("ids"))
     offsets = spark.range(3).select(F.col("id").cast("int").alias("pos"), F.array_repeat(F.col("id").cast("double"), 64).alias("offset"))
     out = O.lookup_vectors(ids, _rows(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("v").alias("vec")), offsets, "doc_id", "ids")
     return out.select("doc_id", F.transform("vectors", lambda v: F.round(v[0], 6)).alias("firsts"))

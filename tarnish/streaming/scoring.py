@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalize
-from ..operators.vectors import nearest_distance, small_side
+from ..operators.vectors import nearest_distance
 
 _POOLERS: dict[str, Callable] = {}
 
@@ -25,7 +25,7 @@ def pooler(name: str) -> Callable:
 def score_stream(rows: DataFrame, gallery: DataFrame, by: str, vec: str) -> DataFrame:
     """Nearest distance of each row to its class's gallery; the same code
     serves batches and streams, as the minimum is taken within the row."""
-    return rows.join(small_side(gallery), by).withColumn("score", nearest_distance(l2_normalize(F.col(vec)), F.col("gallery"))).drop("gallery")
+    return rows.join(gallery, by).withColumn("score", nearest_distance(l2_normalize(F.col(vec)), F.col("gallery"))).drop("gallery")
 
 
 def embed_batch(df: DataFrame, text: str, make_predict: Callable, out: str = "vec") -> DataFrame:
