@@ -22,9 +22,16 @@ def runs(cells: DataFrame) -> DataFrame:
 
 def label_runs(cells: DataFrame, rounds: int = 64) -> DataFrame:
     """Runs with ``region``: the smallest run of their connected region."""
-    r = _cut(runs(cells))
-    a, b = r.select("map_id", F.col("y").alias("ya"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("run").alias("a")), r.select("map_id", (F.col("y") - 1).alias("ya"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run").alias("b"))
-    touch = a.join(b, ["map_id", "ya"]).where((F.col("b0") <= F.col("a1") + 1) & (F.col("b1") >= F.col("a0") - 1)).select("map_id", "a", "b")
+    return settled(_cut(runs(cells)), 1, rounds)
+
+
+def settled(r: DataFrame, reach: int, rounds: int = 64) -> DataFrame:
+    """Runs (map_id, y, x0, x1, run) with ``region``, the smallest run that
+    they are connected with.  Runs of adjacent rows touch if their columns
+    overlap (``reach`` 0), or lie side by side as well (1)."""
+    a = r.select("map_id", F.col("y").alias("ya"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("run").alias("a"))
+    b = r.select("map_id", (F.col("y") - 1).alias("ya"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run").alias("b"))
+    touch = a.join(b, ["map_id", "ya"]).where((F.col("b0") <= F.col("a1") + reach) & (F.col("b1") >= F.col("a0") - reach)).select("map_id", "a", "b")
     edges = _cut(touch.unionAll(touch.select("map_id", "b", "a")))
     labels = r.select("map_id", "run", F.col("run").alias("region"))
     for _ in range(rounds):
@@ -62,45 +69,37 @@ def region_props(cells: DataFrame) -> DataFrame:
     )
 
 
+def gaps(labelled: DataFrame) -> DataFrame:
+    """What a region's rows leave free within its box, as runs: (map_id,
+    region, y, x0, x1, run, open), open if they touch a side of the box.
+
+    A connected region has a run in each row of its box, so the gaps are
+    those before, between and after the runs of a row.
+    """
+    whole, row = Window.partitionBy("map_id", "region"), Window.partitionBy("map_id", "region", "y").orderBy("x0")
+    r = labelled.select("map_id", "region", "y", "x0", "x1", F.min("x0").over(whole).alias("left"), F.max("x1").over(whole).alias("right"), F.min("y").over(whole).alias("top"), F.max("y").over(whole).alias("bottom"))
+    r = r.withColumns({"before": F.coalesce(F.lag("x1").over(row) + 1, F.col("left")), "after": F.lead("x0").over(row)})
+    last = F.when(F.col("after").isNull(), F.struct((F.col("x1") + 1).alias("x0"), F.col("right").alias("x1")))
+    g = r.select("map_id", "region", "y", "left", "right", "top", "bottom", F.inline(F.array_compact(F.array(F.struct(F.col("before").alias("x0"), (F.col("x0") - 1).alias("x1")), last)))).where("x0 <= x1")
+    return g.select("map_id", "region", "y", "x0", "x1", (F.col("y").cast("long") * 2**31 + F.col("x0")).alias("run"), F.expr("y = top or y = bottom or x0 = left or x1 = right").alias("open"))
+
+
 def filled_regions(cells: DataFrame) -> DataFrame:
     """(map_id, region, y, x, area): a region's cells and its holes.
 
     Holes are groups of other cells within the region's box that touch no
     side of it; the background is joined over its four sides, so that a
-    diagonal contour of the region closes.
+    diagonal contour of the region closes.  Only a hole's cells are made of
+    runs, never a box's.
     """
-    own = label_regions(cells)
-    props = _cut(region_props(cells))
-    box = props.withColumn("y", F.explode(F.expr("sequence(y0, y1 - 1)"))).withColumn("x", F.explode(F.expr("sequence(x0, x1 - 1)")))
-    out = box.join(own.withColumn("_own", F.lit(True)), ["map_id", "region", "y", "x"], "left")
-    blank = out.where("_own is null").select(F.struct("map_id", "region").alias("map_id"), "y", "x")
-    ground = four_connected(blank).select("map_id.map_id", "map_id.region", F.col("region").alias("hole"), "y", "x")
-    edged = ground.join(props.drop("area"), ["map_id", "region"])
-    open_ = edged.where("y = y0 or y = y1 - 1 or x = x0 or x = x1 - 1").select("map_id", "region", "hole").distinct()
-    holes = ground.join(open_, ["map_id", "region", "hole"], "left_anti").select("map_id", "region", "y", "x")
-    return own.select("map_id", "region", "y", "x").unionByName(holes).join(props.select("map_id", "region", "area"), ["map_id", "region"])
-
-
-def four_connected(cells: DataFrame, rounds: int = 64) -> DataFrame:
-    """As ``label_regions``, over shared sides only."""
-    r = _cut(runs(cells))
-    a = r.select("map_id", F.col("y").alias("ya"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("run").alias("a"))
-    b = r.select("map_id", (F.col("y") - 1).alias("ya"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run").alias("b"))
-    touch = a.join(b, ["map_id", "ya"]).where("b0 <= a1 and b1 >= a0").select("map_id", "a", "b")
-    edges = _cut(touch.unionAll(touch.select("map_id", "b", "a")))
-    labels = r.select("map_id", "run", F.col("run").alias("region"))
-    for _ in range(rounds):
-        la, lb = labels.select("map_id", F.col("run").alias("a"), F.col("region").alias("la")), labels.select("map_id", F.col("run").alias("b"), F.col("region").alias("lb"))
-        near = edges.join(lb, ["map_id", "b"]).join(la, ["map_id", "a"]).where("lb < la")
-        news = _cut(near.select("map_id", F.col("a").alias("run"), F.col("lb").alias("region")).unionAll(near.select("map_id", F.col("la").alias("run"), F.col("lb").alias("region"))))
-        if news.isEmpty():
-            break
-        best = news.unionAll(labels).groupBy("map_id", "run").agg(F.min("region").alias("region"))
-        up = best.select("map_id", F.col("run").alias("region"), F.col("region").alias("up"))
-        labels = _cut(best.join(up, ["map_id", "region"], "left").select("map_id", "run", F.coalesce("up", "region").alias("region")))
-    else:
-        raise RuntimeError("regions did not settle")
-    return r.join(labels, ["map_id", "run"]).select("map_id", "region", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+    labelled = _cut(label_runs(cells))
+    free = _cut(gaps(labelled).select(F.struct("map_id", "region").alias("map_id"), "y", "x0", "x1", "run", "open"))
+    ground = settled(free, 0).withColumnRenamed("region", "hole")
+    shut = ground.groupBy("map_id", "hole").agg(F.max("open").alias("_open")).where("not _open").drop("_open")
+    holes = ground.join(shut, ["map_id", "hole"], "left_semi").select("map_id.*", "y", "x0", "x1")
+    area = labelled.groupBy("map_id", "region").agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("long").alias("area"))
+    every = labelled.select("map_id", "region", "y", "x0", "x1").unionByName(holes)
+    return every.select("map_id", "region", "y", F.explode(F.sequence("x0", "x1")).alias("x")).join(area, ["map_id", "region"])
 
 
 def region_f1(cells: DataFrame, steps: int = 200, iou: float = 0.6, score: str = "score") -> DataFrame:
@@ -109,20 +108,77 @@ def region_f1(cells: DataFrame, steps: int = 200, iou: float = 0.6, score: str =
     A predicted region matches if over the joint box with some true region
     the intersection over union of all cells is ``iou`` or more; the matched
     predictions are the numerator of recall and of precision.
+
+    A map is one group: its cells join by falling threshold, so each step's
+    regions grow out of the last one's, and counts in a box are four reads
+    of a table of sums.  Steps at which a map gains no cell repeat its last
+    counts.
     """
     from .metrics import first_step
 
-    c = _cut(first_step(cells.select("map_id", "y", "x", F.col(score).alias("score"), "gt"), [], steps))
-    at = c.where("step is not null").withColumn("t", F.explode(F.expr(f"sequence(step, {steps - 1})")))
-    pred = region_props(at.select(F.struct("map_id", "t").alias("map_id"), "y", "x")).select("map_id.map_id", "map_id.t", F.col("region").alias("pr"), *[F.col(x).alias(f"p{x}") for x in ("y0", "x0", "y1", "x1")])
-    pred = _cut(pred)
-    true = _cut(region_props(c.where("gt = 1")).drop("area"))
-    boxes = pred.join(true, "map_id").select("map_id", "t", "pr", "region", F.least("py0", "y0").alias("y0"), F.least("px0", "x0").alias("x0"), F.greatest("py1", "y1").alias("y1"), F.greatest("px1", "x1").alias("x1"))
-    inside = boxes.join(c, "map_id").where("y >= y0 and y < y1 and x >= x0 and x < x1")
-    hit = F.coalesce(F.col("step") <= F.col("t"), F.lit(False))
-    per = inside.groupBy("map_id", "t", "pr", "region").agg(F.count_if(hit & (F.col("gt") == 1)).alias("both"), F.count_if(hit | (F.col("gt") == 1)).alias("any"))
-    good = per.where(F.col("both") >= iou * F.col("any")).select("map_id", "t", "pr").distinct().groupBy("t").agg(F.count("*").alias("matched"))
-    made, real = pred.groupBy("t").agg(F.count("*").alias("made")), true.agg(F.count("*").alias("real"))
-    r = made.join(good, "t", "left").crossJoin(F.broadcast(real)).select("t", F.try_divide(F.coalesce("matched", F.lit(0)), "real").alias("recall"), F.try_divide(F.coalesce("matched", F.lit(0)), "made").alias("precision"))
+    c = first_step(cells.select("map_id", "y", "x", F.col(score).alias("score"), "gt"), [], steps)
+    c = c.where("step is not null or gt = 1").select("map_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.coalesce("step", F.lit(steps)).cast("int").alias("step"), F.col("gt").cast("int").alias("gt"))
+    counts = _cut(c.groupBy("map_id").applyInArrow(_matches(steps, iou), "t int, made long, matched long"))
+    real = counts.where("t < 0").agg(F.coalesce(F.sum("made"), F.lit(0)).alias("real"))  # one row
+    r = counts.where("t >= 0").groupBy("t").agg(F.sum("made").alias("made"), F.sum("matched").alias("matched")).where("made > 0").crossJoin(F.broadcast(real))
+    r = r.select("t", F.try_divide("matched", "real").alias("recall"), F.try_divide("matched", "made").alias("precision"))
     r = r.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("recall") * F.col("precision"), F.col("recall") + F.col("precision")), F.lit(0.0)))
-    return r.orderBy(F.desc("f1"), "t").limit(1).select("f1", "recall", "precision")
+    return r.orderBy(F.desc(F.round("f1", 12)), "t").limit(1).select("f1", "recall", "precision")
+
+
+def _matches(steps: int, iou: float):
+    """Of a map's cells (y, x, step, gt): rows (t, made, matched) for each
+    step, and (-1, true regions, 0)."""
+
+    def grown(groups, width):
+        """Boxes of the connected regions after each group of cells."""
+        up, box = {}, {}
+
+        def top(c):
+            while up[c] != c:
+                up[c] = c = up[up[c]]
+            return c
+
+        for group in groups:
+            for c in group:
+                y, x = divmod(c, width)
+                up[c], box[c] = c, (y, x, y + 1, x + 1)
+                for n in (c - width - 1, c - width, c - width + 1, c - 1, c + 1, c + width - 1, c + width, c + width + 1):
+                    if n in up and (a := top(n)) != (b := top(c)):
+                        up[a], p, q = b, box.pop(a), box[b]
+                        box[b] = (min(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), max(p[3], q[3]))
+            yield list(box.values())
+
+    def fold(table):
+        import numpy as np
+        import pyarrow as pa
+
+        y, x, step, gt = (np.asarray(table.column(k)).astype(np.int64) for k in ("y", "x", "step", "gt"))
+        y, x = y - y.min() + 1, x - x.min() + 1  # a free margin: no region wraps around a row
+        shape = (int(y.max()) + 2, int(x.max()) + 2)
+        first, truth = np.full(shape, steps), np.zeros(shape, dtype=bool)
+        np.minimum.at(first, (y, x), step)
+        truth[y[gt == 1], x[gt == 1]] = True
+        true = np.array(next(grown([np.flatnonzero(truth).tolist()], shape[1]))).reshape(-1, 4)
+        flat = first.ravel()
+        order = np.argsort(flat, kind="stable")[: int((flat < steps).sum())]
+        changes, at = np.unique(flat[order], return_index=True)
+
+        def sums(mask):
+            out = np.zeros((shape[0] + 1, shape[1] + 1), dtype=np.int64)
+            out[1:, 1:] = mask.cumsum(0).cumsum(1)
+            return out
+
+        made, matched = np.zeros(steps, dtype=np.int64), np.zeros(steps, dtype=np.int64)
+        for t, boxes in zip(changes.tolist(), grown((g.tolist() for g in np.split(order, at[1:])), shape[1]), strict=True):
+            both, either = sums((first <= t) & truth), sums((first <= t) | truth)
+            good, boxes = 0, np.array(boxes)
+            for k in range(0, len(boxes) if len(true) else 0, 4096):
+                b = boxes[k : k + 4096, None, :]
+                y0, x0, y1, x1 = np.minimum(b[..., 0], true[:, 0]), np.minimum(b[..., 1], true[:, 1]), np.maximum(b[..., 2], true[:, 2]), np.maximum(b[..., 3], true[:, 3])
+                within = lambda s: s[y1, x1] - s[y0, x1] - s[y1, x0] + s[y0, x0]  # noqa: B023, E731
+                good += int((within(both) >= iou * within(either)).any(1).sum())
+            made[t:], matched[t:] = len(boxes), good
+        return pa.table({"t": pa.array(np.arange(-1, steps), pa.int32()), "made": np.r_[len(true), made], "matched": np.r_[0, matched]})
+
+    return fold

@@ -143,19 +143,53 @@ def a8_iou_curve(spark, sf_dir):
     return M.iou_curve(_floored(spark, sf_dir)).select("step", F.round("iou", 6).alias("iou"), F.round("iou_std", 6).alias("iou_std"))
 
 
-@query()
+#: Connected groups of marked cells (l), and of what their boxes leave free
+#: (o: reached from a side of the box over shared sides); f: filled regions.
+REGIONS = """, g AS (SELECT map_id, y, x, y::BIGINT * 2147483648 + x AS k FROM c WHERE gt = 1),
+r AS (SELECT map_id, y, x, k FROM g UNION SELECT b.map_id, b.y, b.x, r.k FROM r JOIN g b ON b.map_id = r.map_id AND abs(b.y - r.y) <= 1 AND abs(b.x - r.x) <= 1),
+l AS (SELECT map_id, y, x, min(k) AS region FROM r GROUP BY 1, 2, 3),
+"""
+FILLED = REGIONS + """a AS (SELECT map_id, region, count(*) AS area, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM l GROUP BY 1, 2),
+z AS (SELECT a.*, y::INT AS y, x::INT AS x FROM a, range(31) i(y), range(24) j(x) WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1 AND NOT EXISTS (SELECT 1 FROM l WHERE l.map_id = a.map_id AND l.region = a.region AND l.y = i.y AND l.x = j.x)),
+o AS (SELECT map_id, region, y, x FROM z WHERE y = y0 OR y = y1 OR x = x0 OR x = x1
+  UNION SELECT z.map_id, z.region, z.y, z.x FROM o JOIN z ON z.map_id = o.map_id AND z.region = o.region AND abs(z.y - o.y) + abs(z.x - o.x) = 1),
+f AS (SELECT map_id, region, y, x FROM l UNION ALL (SELECT map_id, region, y, x FROM z EXCEPT SELECT map_id, region, y, x FROM o)),
+v AS (SELECT f.map_id, f.region, t.step, count(*) FILTER (q.score > t.th) / any_value(a.area) AS cover FROM f JOIN a ON a.map_id = f.map_id AND a.region = f.region JOIN q ON q.map_id = f.map_id AND q.y = f.y AND q.x = f.x, t GROUP BY 1, 2, 3),
+m AS (SELECT step, avg(cover) AS pro, stddev_pop(cover) AS pro_std FROM v GROUP BY step)
+"""
+
+
+@query("WITH RECURSIVE " + SWEEP[5:] + FILLED + "SELECT step, round(pro, 6) AS pro, round(pro_std, 6) AS pro_std FROM m")
 def a7_pro_curve(spark, sf_dir):
     cells = _floored(spark, sf_dir)
-    return M.pro_curve(cells, R.filled_regions(cells.where("gt = 1")))
+    out = M.pro_curve(cells, R.filled_regions(cells.where("gt = 1")))
+    return out.select("step", F.round("pro", 6).alias("pro"), F.round("pro_std", 6).alias("pro_std"))
 
 
-@query()
+@query("WITH RECURSIVE " + SWEEP[5:] + FILLED + """, n AS (SELECT step, count(*) FILTER (score > th) / count(*) AS fpr FROM q, t WHERE gt = 0 GROUP BY step),
+k AS (SELECT fpr, pro, lag(fpr) OVER w AS fpr_0, lag(pro) OVER w AS pro_0 FROM m JOIN n USING (step) WHERE fpr <= 0.3 WINDOW w AS (ORDER BY step))
+SELECT round(sum((fpr - fpr_0) * (pro + pro_0) / 2) / nullif(max(fpr) - min(fpr), 0), 6) AS pro_auc FROM k""")
 def a10_pro_auc(spark, sf_dir):
     cells = _floored(spark, sf_dir)
-    return M.pro_auc(M.pro_curve(cells, R.filled_regions(cells.where("gt = 1"))), M.fpr_curve(cells))
-
-
-@query()
+    out = M.pro_auc(M.pro_curve(cells, R.filled_regions(cells.where("gt = 1"))), M.fpr_curve(cells))
+    return out.select(F.round("pro_auc", 6).alias("pro_auc"))
+
+
+@query("WITH RECURSIVE " + SWEEP[5:] + REGIONS + """w AS (SELECT map_id, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1 FROM l GROUP BY map_id, region),
+b AS MATERIALIZED (SELECT q.map_id, q.y, q.x, q.gt, min(t.step) AS step FROM q JOIN t ON q.score > t.th GROUP BY 1, 2, 3, 4),
+h AS (SELECT DISTINCT map_id, step FROM b),
+p AS (SELECT h.map_id, h.step, b.y, b.x, b.y::BIGINT * 2147483648 + b.x AS k FROM h JOIN b ON b.map_id = h.map_id AND b.step <= h.step),
+a AS (SELECT map_id, step, y, x, k FROM p UNION SELECT p.map_id, p.step, p.y, p.x, a.k FROM a JOIN p ON p.map_id = a.map_id AND p.step = a.step AND abs(p.y - a.y) <= 1 AND abs(p.x - a.x) <= 1),
+i AS (SELECT map_id, step, y, x, min(k) AS region FROM a GROUP BY 1, 2, 3, 4),
+j AS (SELECT map_id, step, region, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1 FROM i GROUP BY 1, 2, 3),
+s AS (SELECT j.map_id, j.step, j.region, least(j.y0, w.y0) AS y0, least(j.x0, w.x0) AS x0, greatest(j.y1, w.y1) AS y1, greatest(j.x1, w.x1) AS x1 FROM j JOIN w USING (map_id)),
+n AS (SELECT coalesce(p.map_id, g.map_id) AS map_id, coalesce(p.step, g.step) AS step, coalesce(p.y, g.y) AS y, coalesce(p.x, g.x) AS x, p.map_id IS NOT NULL AND g.map_id IS NOT NULL AS both
+  FROM p FULL JOIN (SELECT h.map_id, h.step, g.y, g.x FROM h JOIN g USING (map_id)) g ON g.map_id = p.map_id AND g.step = p.step AND g.y = p.y AND g.x = p.x),
+u AS (SELECT s.map_id, s.step, s.region, s.y0, s.x0, s.y1, s.x1, count(*) FILTER (n.both) >= 0.6 * count(*) AS good FROM s JOIN n ON n.map_id = s.map_id AND n.step = s.step AND n.y BETWEEN s.y0 AND s.y1 AND n.x BETWEEN s.x0 AND s.x1 GROUP BY ALL),
+m AS (SELECT map_id, step, count(DISTINCT region) FILTER (good) AS matched FROM u GROUP BY 1, 2),
+o AS (SELECT j.map_id, j.step, count(*) AS made, coalesce(any_value(m.matched), 0) AS matched, lead(j.step, 1, 200) OVER (PARTITION BY j.map_id ORDER BY j.step) AS until FROM j LEFT JOIN m ON m.map_id = j.map_id AND m.step = j.step GROUP BY 1, 2),
+f AS (SELECT t.step, sum(matched) / (SELECT count(*) FROM w) AS recall, sum(matched) / sum(made) AS precision FROM t JOIN o ON t.step >= o.step AND t.step < o.until GROUP BY t.step)
+SELECT round(coalesce(2 * recall * precision / nullif(recall + precision, 0), 0), 6) AS f1, round(recall, 6) AS recall, round(precision, 6) AS precision FROM f ORDER BY round(coalesce(2 * recall * precision / nullif(recall + precision, 0), 0), 12) DESC, step LIMIT 1""")
 def a11_region_f1(spark, sf_dir):
-    """Over the sweep in 20 steps."""
-    return R.region_f1(_floored(spark, sf_dir), 20)
+    out = R.region_f1(_floored(spark, sf_dir))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("f1", "recall", "precision")])
