@@ -1,8 +1,9 @@
 """Grid maps as long tables (map_id, y, x, value).
 
-Resampling is separable: small broadcast tables of (destination, source,
-weight), one axis at a time with an aggregate between, so rows multiply by
-the taps of one axis only.
+Resampling is separable, one axis at a time: a map row is one array, which a
+small matrix of weights turns into its resampled row; rows are then dealt
+into tiles of destination rows, with those that a tile reaches over its
+edges, and combined there.  Cells are shuffled once, rows about once.
 """
 
 from __future__ import annotations
@@ -58,15 +59,69 @@ def gaussian_taps(size: int, sigma: float, truncate: float = 4.0) -> list[tuple[
     return out
 
 
+#: Destination rows of a tile.
+TILE = 64
+
+
+def _weights(taps: list[tuple[int, int, float]]):
+    """The taps of an axis as a matrix (destination, source)."""
+    import numpy as np
+
+    out = np.zeros((max(d for d, _, _ in taps) + 1, max(s for _, s, _ in taps) + 1))
+    for d, s, w in taps:
+        out[d, s] += w
+    return out
+
+
 def _taps(spark: SparkSession, rows: list[tuple[int, int, float]], axis: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, f"_d int, {axis} int, _w double"))  # taps of one axis
 
 
 def separable(df: DataFrame, taps_y: list, taps_x: list, value: str = "value") -> DataFrame:
-    spark = df.sparkSession
-    rows = df.join(_taps(spark, taps_x, "x"), "x").groupBy("map_id", "y", F.col("_d").alias("x2")).agg(F.sum(F.col(value) * F.col("_w")).alias(value))
-    rows = rows.join(_taps(spark, taps_y, "y"), "y").groupBy("map_id", F.col("_d").alias("y"), F.col("x2").alias("x")).agg(F.sum(F.col(value) * F.col("_w")).alias(value))
-    return rows.select("map_id", "y", "x", value)
+    """Maps resampled by the taps of both axes.
+
+    Cells that a map lacks, or that are null, count as zero; those outside
+    of the taps' sources are left out, and so are destination rows that no
+    row of the map reaches.
+    """
+    rows_, columns, tile = _weights(taps_y), _weights(taps_x), TILE
+    kind = df.schema["map_id"].dataType.simpleString()
+    reached = {y: sorted({d // tile for d, s, _ in taps_y if s == y}) for y in range(rows_.shape[1])}
+
+    def along(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            n, width = batch.num_rows, columns.shape[1]
+            cells = batch.column("_cells")
+            flat, sizes = cells.flatten(), np.diff(np.asarray(cells.offsets))
+            x, v = np.asarray(flat.field("x")), np.asarray(flat.field("_v"))
+            at, inside = np.repeat(np.arange(n), sizes), (x >= 0) & (x < width)
+            dense = np.zeros((n, width))
+            np.add.at(dense, (at[inside], x[inside]), v[inside])
+            out = dense @ columns.T
+            tiles = [reached.get(y, []) for y in batch.column("y").to_pylist()]
+            source = pa.array(np.repeat(np.arange(n), [len(t) for t in tiles]))
+            made = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * out.shape[1], pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("map_id").take(source), pa.array([t for ts in tiles for t in ts], pa.int32()), batch.column("y").take(source), made.take(source)], names=["map_id", "_tile", "y", "_row"])
+
+    def across(table):
+        import numpy as np
+        import pyarrow as pa
+
+        y, row = np.asarray(table.column("y")), table.column("_row").combine_chunks()
+        first = table.column("_tile")[0].as_py() * tile
+        weights = rows_[first : first + tile][:, y]
+        given = np.flatnonzero((rows_[first : first + tile][:, y] != 0).any(1))
+        out = weights[given] @ np.asarray(row.flatten()).reshape(len(y), -1)
+        n = out.size
+        ids = table.column("map_id").combine_chunks().take(pa.array(np.zeros(n, dtype=np.int64)))
+        return pa.table({"map_id": ids, "y": pa.array(np.repeat(given + first, out.shape[1]), pa.int32()), "x": pa.array(np.tile(np.arange(out.shape[1]), len(given)), pa.int32()), value: out.ravel()})
+
+    cells = df.where(F.col(value).isNotNull()).groupBy("map_id", F.col("y").cast("int").alias("y")).agg(F.collect_list(F.struct(F.col("x").cast("int").alias("x"), F.col(value).cast("double").alias("_v"))).alias("_cells"))  # a map row
+    tiles = cells.mapInArrow(along, f"map_id {kind}, _tile int, y int, _row array<double>")
+    return tiles.groupBy("map_id", "_tile").applyInArrow(across, f"map_id {kind}, y int, x int, `{value}` double")
 
 
 def resize_bilinear(df: DataFrame, size: tuple[int, int], to: tuple[int, int]) -> DataFrame:
