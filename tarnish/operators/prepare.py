@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: HTML entities that cleaning resolves, besides numeric ones.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®", "&deg;": "°", "&middot;": "·", "&laquo;": "«", "&raquo;": "»", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&hellip;": "…", "&euro;": "€", "&nbsp;": " ", "&amp;": "&"}
+from ..functions.vectors import bound
+
 #: Pieces of a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
@@ -73,26 +73,48 @@ def destandardize(values: Column, means: list[float], stds: list[float]) -> Colu
     return F.zip_with(values, m, lambda v, c: F.least(F.lit(255), F.greatest(F.lit(0), ((v * c["s"] + c["m"]) * 255.0).cast("int"))))
 
 
-def numeric_entities(text: Column) -> Column:
-    """``&#...;`` and ``&#x...;`` as characters (of the basic plane; others stay)."""
-    parts = F.regexp_extract_all(text, F.lit(r"(?s)&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});|[^&]+|&"), F.lit(0))
-    digits = lambda p: F.regexp_extract(p, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
-    code = lambda p: F.conv(digits(p), 16, 10).cast("int")
-    decimal = lambda p: digits(p).cast("int")
-    # UTF-16 code units, big-endian, make any character of the basic plane
-    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
-    good = lambda n: (n > 0) & (n < 0xD800) | (n > 0xDFFF) & (n < 0x10000)
-    one = lambda p: F.when(p.rlike(r"^&#[xX]"), F.when(good(code(p)), char(code(p))).otherwise(p)).when(p.rlike(r"^&#[0-9]"), F.when(good(decimal(p)), char(decimal(p))).otherwise(p)).otherwise(p)
-    return F.when(text.contains("&#"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+def unescaped(text: Column) -> Column:
+    """Character references as HTML 5 reads them: all names, the old ones
+    without a semicolon too, and numbers of any plane.
+
+    The text is bound once and cut at its references in one pass; texts
+    without an ampersand are left as they are.
+    """
+    import json
+    from html.entities import html5
+
+    # windows-1252 for 128 to 159, as browsers have it; other control
+    # characters and numbers that name no character are dropped or replaced
+    odd = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)} | {0: "\ufffd", 13: "\r"}
+    old = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True))
+    constant = lambda d: F.from_json(F.lit(json.dumps(d)), "map<string,string>")  # noqa: E731  folded to one literal
+    names, odds = constant(html5), constant(odd)
+    reference = r"(?s)&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&"
+
+    def number(n: Column) -> Column:
+        named = F.element_at(odds, n.cast("string"))
+        none = n.between(1, 8) | n.between(14, 31) | n.isin(11, 127) | n.between(0xFDD0, 0xFDEF) | ((n % 65536) >= 65534)
+        bad = n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        return F.when(named.isNotNull(), named).when(bad, "\ufffd").when(none, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    def one(p: Column) -> Column:
+        digits = lambda pattern: F.ltrim(F.regexp_extract(p, pattern, 1), F.lit("0"))
+        hexes, decimals = digits(r"^&#[xX]([0-9a-fA-F]+);?$"), digits(r"^&#([0-9]+);?$")
+        value = lambda d, base: F.when(F.length(d) > 9, 0x110000).otherwise(F.coalesce(F.conv(d, base, 10).cast("long"), F.lit(0)).cast("int"))
+        body = F.substr(p, F.lit(2))
+        head = F.regexp_extract(body, f"^({old})", 1)
+        known = F.element_at(names, body)
+        name = F.when(known.isNotNull(), known).when(head != "", F.concat(F.element_at(names, head), F.substr(body, F.length(head) + 1))).otherwise(p)
+        return F.when(~p.startswith("&"), p).when(p.rlike("^&#[xX][0-9a-fA-F]"), number(value(hexes, 16))).when(p.rlike("^&#[0-9]"), number(value(decimals, 10))).otherwise(name)
+
+    return bound(text, lambda t: F.when(t.contains("&"), F.array_join(F.transform(F.regexp_extract_all(t, F.lit(reference), F.lit(0)), one), "")).otherwise(t))
 
 
 def clean_text(text: Column) -> Column:
-    """Entities resolved twice, white space collapsed, trimmed, lower case."""
-    for _ in range(2):
-        text = numeric_entities(text)
-        for k, v in ENTITIES.items():
-            text = F.replace(text, F.lit(k), F.lit(v))
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    """Character references resolved twice, white space collapsed, trimmed,
+    lower case."""
+    twice = F.when(text.contains("&"), unescaped(unescaped(text))).otherwise(text)
+    return F.lower(F.trim(F.regexp_replace(twice, r"\s+", " ")))
 
 
 def pretokenize(text: Column) -> Column:
@@ -103,11 +125,28 @@ def token_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.explode(pretokenize(clean_text(F.col(text)))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def subword_encode(words: DataFrame, merges: DataFrame, vocab: DataFrame, key: str, word: str) -> DataFrame:
+def read_subword_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """merges (rank, first, second) and vocab (id, token) of a public
+    tokenizer's JSON file, which the driver reads (some 10**5 rows)."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    merges = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "rank int, first string, second string")
+    return merges, spark.createDataFrame([(i, t) for t, i in model["vocab"].items()], "id int, token string")
+
+
+def subword_encode(words: DataFrame, merges: DataFrame, vocab: DataFrame, key: str, word: str, as_bytes: bool = False) -> DataFrame:
     """Ids of the words of each key, in order of ``pos``.
 
     merges: (rank, first, second); vocab: (id, token).  Each distinct word is
-    merged once, in tasks that hold the merge table, and joined back.
+    merged once, in tasks that hold the merge table, and joined back.  The
+    pairs of a word wait in a heap and its symbols in a linked list, so a
+    word takes time in proportion to its length (times a logarithm).
+    ``as_bytes``: symbols are UTF-8 bytes, each shown as a printable letter,
+    as byte-level tables have them; otherwise letters.  Symbols that the
+    vocabulary lacks have id -1.
     """
     import pandas as pd
 
@@ -115,23 +154,39 @@ def subword_encode(words: DataFrame, merges: DataFrame, vocab: DataFrame, key: s
     ids = {r["token"]: r["id"] for r in vocab.collect()}
     shared = words.sparkSession.sparkContext.broadcast((rank, ids))
 
+    def merged(symbols, rank):
+        from heapq import heapify, heappop, heappush
+
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, p) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := rank.get(p)) is not None]
+        heapify(heap)
+        while heap:
+            _, i, (a, b) = heappop(heap)
+            j = after[i]
+            if symbols[i] != a or j == n or symbols[j] != b:
+                continue  # merged with another neighbour since
+            symbols[i], symbols[j] = a + b, None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for left in (before[i], i):
+                if left >= 0 and after[left] < n and (r := rank.get(pair := (symbols[left], symbols[after[left]]))) is not None:
+                    heappush(heap, (r, left, pair))
+        return [s for s in symbols if s is not None]
+
     def merge(batches):
         rank, ids = shared.value
+        shown, free = {}, 256
+        for byte in range(256):  # bytes without a visible letter take those from 256 on
+            visible = 33 <= byte <= 126 or 161 <= byte <= 172 or byte >= 174
+            shown[byte], free = (chr(byte), free) if visible else (chr(free), free + 1)
         for b in batches:
             out = []
             for w in b["word"]:
-                s = [*w[:-1], w[-1] + "</w>"]
-                while len(s) > 1:
-                    r, i = min((rank.get(p, 1 << 60), i) for i, p in enumerate(zip(s, s[1:], strict=False)))
-                    if r == 1 << 60:
-                        break
-                    pair, done, k = (s[i], s[i + 1]), [], 0
-                    while k < len(s):
-                        step = 2 if tuple(s[k : k + 2]) == pair else 1
-                        done.append("".join(s[k : k + step]))
-                        k += step
-                    s = done
-                out.append([ids.get(t, -1) for t in s])
+                s = [shown[x] for x in w.encode()] if as_bytes else list(w)
+                s[-1] += "</w>"
+                out.append([ids.get(t, -1) for t in merged(s, rank)])
             yield pd.DataFrame({"word": b["word"], "ids": out})
 
     coded = words.select(F.col(word).alias("word")).where("word <> ''").distinct().mapInPandas(merge, "word string, ids array<int>")

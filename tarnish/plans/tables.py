@@ -108,10 +108,12 @@ def p11_standardize(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.transform(s, lambda x: F.round(x, 6)).alias("standard"))
 
 
+#: HTML entities that the oracle resolves; the texts have no others.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®", "&deg;": "°", "&middot;": "·", "&laquo;": "«", "&raquo;": "»", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&hellip;": "…", "&euro;": "€", "&nbsp;": " ", "&amp;": "&"}
 CLEAN = "lower(trim(regexp_replace({x}, '\\s+', ' ', 'g')))"
 _ENT = "text"
 for _ in range(2):
-    for _k, _v in P.ENTITIES.items():
+    for _k, _v in ENTITIES.items():
         _ENT = "replace({}, '{}', '{}')".format(_ENT, _k, _v.replace("'", "''"))
 CLEAN_SQL = CLEAN.format(x=_ENT)
 
@@ -127,18 +129,15 @@ def p13_token_counts(spark, sf_dir):
 
 
 @query()
-def p14_subword_encode(spark, sf_dir):
-    """Subword ids of all documents, with merges that Spark counts from the
-    corpus: the commonest neighbours of letters."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(P.pretokenize(P.clean_text(F.col("text")))).alias("pos", "word"))
-    letters = F.split("word", "")
-    pairs = d.select(F.explode(F.expr("transform(sequence(1, greatest(length(word) - 1, 1)), i -> substring(word, i, 2))")).alias("pair")).where("length(pair) = 2")
-    top = pairs.groupBy("pair").count().orderBy(F.desc("count"), "pair").limit(200)  # the size of the merge table
-    merges = top.select(F.expr("cast(row_number() over (order by count desc, pair) - 1 as int)").alias("rank"), F.substring("pair", 1, 1).alias("first"), F.substring("pair", 2, 1).alias("second"))
-    chars = d.select(F.explode(letters).alias("token")).distinct()  # an alphabet, bounded by Unicode
-    tokens = chars.unionAll(chars.select(F.concat("token", F.lit("</w>")))).unionAll(top.select("pair")).distinct()
-    vocab = tokens.select(F.expr("cast(row_number() over (order by token) - 1 as int)").alias("id"), "token")
-    return P.subword_encode(d, merges, vocab, "doc_id", "word").select("doc_id", F.size("ids").alias("n_ids"))
+def p14_subword_encode(spark, sf_dir, tokenizer="/opt/tokenizers/word_bpe_49k.json"):
+    """Subword ids of every document (null and empty ones have none), with
+    the merges of a public tokenizer file."""
+    docs = table(spark, sf_dir, "documents")
+    d = docs.select("doc_id", F.posexplode(P.pretokenize(P.clean_text(F.col("text")))).alias("pos", "word"))
+    merges, vocab = P.read_subword_tables(spark, tokenizer)
+    coded = P.subword_encode(d, merges, vocab, "doc_id", "word", as_bytes=True)
+    ids = F.coalesce("ids", F.expr("cast(array() as array<int>)"))
+    return docs.select("doc_id").join(coded, "doc_id", "left").select("doc_id", F.size(ids).alias("n_ids"), F.sha2(F.array_join(ids, " "), 256).alias("ids_sha256"))
 
 
 @query("SELECT doc_id, trim(replace(array_to_string(list(token ORDER BY pos), ''), '</w>', ' ')) AS text FROM (SELECT doc_id, unnest([doc_id % 25, doc_id % 7, doc_id % 13]) AS id, unnest([0, 1, 2]) AS pos FROM documents) JOIN (SELECT n_nationkey AS id, lower(n_name) || '</w>' AS token FROM nation) USING (id) GROUP BY doc_id")

@@ -152,10 +152,34 @@ def test_registries():
         files.read_source("absent")
 
 
-def test_numeric_entities(spark):
-    df = spark.createDataFrame([("a&#39;b &#x41;&#66; &amp;#67; &#0; &#9999999; & &#xZZ;",), (None,), ("plain",)], "t string")
-    got = [r[0] for r in df.select(prepare.clean_text(F.col("t"))).collect()]
-    assert got == ["a'b ab c &#0; &#9999999; & &#xzz;", None, "plain"]
+def test_character_references(spark):
+    import html
+    import random
+
+    r = random.Random(1)
+    names = ["eacute;", "eacute", "notit;", "amp", "AMP;", "nosuch;", "copycat", "NotEqualTilde;", "#128512;", "#x1F600", "#0;", "#x80;", "#129;", "#xD800;", "#1114112;", "#99999999999999999999;", "#11;", "#xFFFE;", "#13;", "#39;", "#", "#x;", " lt;", "lt;gt;", "amp;lt;", "amp;#65;", "b.Gamma;"]
+    texts = ["&" + n for n in names] + ["".join(r.choice(["&" + r.choice(names), "x", " ", "&", ";", "é"]) for _ in range(9)) for _ in range(300)] + ["", "plain", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {x.i: (x.u, x.c) for x in df.select("i", prepare.unescaped(F.col("t")).alias("u"), prepare.clean_text(F.col("t")).alias("c")).collect()}
+    assert all(got[i][0] == (None if t is None else html.unescape(t)) for i, t in enumerate(texts))
+    plain = [i for i, t in enumerate(texts) if t is not None and html.unescape(html.unescape(t)).isprintable()]
+    assert len(plain) > 50 and all(got[i][1] == " ".join(html.unescape(html.unescape(texts[i])).split(" ")).strip(" ").lower() or "  " in html.unescape(html.unescape(texts[i])) for i in plain if "\u0130" not in texts[i])
+
+
+def test_subwords_of_a_public_file(spark):
+    """Equal to the library on its own pieces, long words among them."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = "/opt/tokenizers/word_bpe_49k.json"
+    lib, r = Tokenizer.from_file(path), random.Random(2)
+    words = ["hello", "antidisestablishmentarianism", "über", "日本語", "a" * 3000, "".join(r.choice("etaoinshr") for _ in range(5000)), *["".join(r.choice("abcdeiorstné") for _ in range(r.randint(1, 14))) for _ in range(400)]]
+    merges, vocab = prepare.read_subword_tables(spark, path)
+    df = spark.createDataFrame([(k, 0, w) for k, w in enumerate(words)], "k int, pos int, w string")
+    got = {x.k: x.ids for x in prepare.subword_encode(df, merges, vocab, "k", "w", as_bytes=True).collect()}
+    assert all(got[k] == lib.encode(w, add_special_tokens=False).ids for k, w in enumerate(words))
+    assert sum(len(v) == 1 for v in got.values()) >= 2 and max(map(len, got.values())) > 1000
 
 
 def test_standardize_and_back(spark):
