@@ -164,6 +164,18 @@ def v11_pool(spark, sf_dir):
     return parts[0].join(parts[1], "image").join(parts[2], "image")
 
 
+@query(TOKENS + """, m AS (SELECT image, i, max(abs(v[i])) AS a FROM t, range(1, 65) r(i) GROUP BY 1, 2)
+SELECT image, list(round(a, 6) ORDER BY i) AS pooled FROM m GROUP BY image""")
+def u2_pooler_in_sql(spark, sf_dir):
+    """A user's pooler (largest magnitude), registered and called in SQL."""
+    from ..streaming.scoring import register_sql_pooler
+
+    register_sql_pooler(spark, "largest_magnitude", lambda m: abs(m).max(0))
+    _tokens(spark, sf_dir).createOrReplaceTempView("tarnish_tokens")
+    out = spark.sql("SELECT image, largest_magnitude(vec) AS pooled FROM tarnish_tokens GROUP BY image")
+    return out.select("image", F.transform("pooled", lambda x: F.round(x, 6)).alias("pooled"))
+
+
 @query(TOKENS + """, k AS (SELECT image, pos, count(*) OVER (PARTITION BY image) - 1 AS n, row_number() OVER (PARTITION BY image ORDER BY (pos <> 0)::INT, md5('7:' || image::VARCHAR || ':' || pos::VARCHAR)) - 1 AS k FROM t)
 SELECT image, pos FROM k WHERE k <= greatest(1, floor(n * 0.5))""")
 def v12_keep_tokens(spark, sf_dir):

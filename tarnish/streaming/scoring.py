@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from ..functions.vectors import l2_normalize
 from ..operators.vectors import nearest_distance
@@ -22,6 +23,31 @@ def pooler(name: str) -> Callable:
     return _POOLERS[name]
 
 
+def register_sql_pooler(spark: SparkSession, name: str, fn: Callable) -> Callable:
+    """Makes ``fn``, from a numpy matrix (a row for each vector of a group)
+    to a vector, an aggregate of that ``name`` in SQL; it also becomes the
+    pooler of that name for columns.
+
+    A group's vectors are in memory together, as with any aggregate in
+    Python: pool tokens by image, not whole tables.  Null vectors don't
+    count; a group without any gives null.
+    """
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def pooled(vectors: pd.Series) -> list:
+        import numpy as np
+
+        held = [np.asarray(v, dtype=np.float64) for v in vectors if v is not None]
+        return [float(x) for x in fn(np.stack(held))] if held else None
+
+    pooled.__annotations__ = {"vectors": pd.Series, "return": float}
+    udf = pandas_udf(pooled, "array<double>", functionType=PandasUDFType.GROUPED_AGG)
+    spark.udf.register(name, udf)
+    register_pooler(name, udf)
+    return udf
+
+
 def score_stream(rows: DataFrame, gallery: DataFrame, by: str, vec: str) -> DataFrame:
     """Nearest distance of each row to its class's gallery; the same code
     serves batches and streams, as the minimum is taken within the row."""

@@ -133,6 +133,33 @@ def test_state_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "w")).first()["class"] == "c"
 
 
+def test_failed_write_leaves_the_old_version(spark, tmp_path):
+    path = str(tmp_path / "m")
+    frame = lambda rows: spark.createDataFrame(rows, "name string, auc double")
+    classes = spark.createDataFrame([("a",), ("b",)], "name string")
+    assert state.current(spark, path, "metrics") is None and state.versions(spark, path) == []
+    assert state.upsert_metrics_table(spark, path, frame([("a", 1.0)]), classes, ["auc"]) == 1
+    broken = frame([("b", 2.0)]).withColumn("auc", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        state.upsert_metrics_table(spark, path, broken, classes, ["auc"])
+    assert state.versions(spark, path) == [1]
+    assert {r["name"]: r["auc"] for r in state.current(spark, path, "metrics").collect()} == {"a": 1.0, "b": 0.0}
+    assert state.upsert_metrics_table(spark, path, frame([("b", 2.0)]), classes, ["auc"]) == 3
+    assert {r["name"]: r["auc"] for r in state.current(spark, path, "metrics").collect()} == {"a": 1.0, "b": 2.0}
+    (tmp_path / "m/v00000004").mkdir()
+    (tmp_path / "m/v00000004/_CLAIMED").write_text("")  # another writer is at work
+    assert state.versions(spark, path) == [1, 3]
+    with pytest.raises(FileNotFoundError):
+        state.load_state(spark, str(tmp_path / "none"))
+
+
+def test_pooler_in_sql(spark):
+    scoring.register_sql_pooler(spark, "spread_of", lambda m: m.max(0) - m.min(0))
+    spark.createDataFrame([(1, [1.0, 5.0]), (1, [4.0, 5.0]), (1, None), (2, None)], "k int, v array<double>").createOrReplaceTempView("pooled_rows")
+    got = {r["k"]: r["p"] for r in spark.sql("SELECT k, spread_of(v) AS p FROM pooled_rows GROUP BY k").collect()}
+    assert got == {1: [3.0, 0.0], 2: None} and scoring.pooler("spread_of")
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([(i, i % 2, [float(i), 1.0]) for i in range(20)], "id int, label int, vec array<double>")
     rows.write.parquet(str(tmp_path / "in"))
