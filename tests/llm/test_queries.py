@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import duckdb
@@ -279,6 +280,80 @@ def test_passages_behind_their_own_parts(spark):
     assert sum(got[pair] == set(range(60, 60 + n)) for pair, n in pairs) == len(pairs)
 
 
+@pytest.mark.parametrize("between", [False, True])
+def test_passages_behind_their_sentences(spark, between):
+    """Three sentences stand alone in other documents, before both documents
+    that have them in a row or between the two; the later one of these has a
+    word between sentences."""
+    rows, pairs = [], []
+    for n in range(60):
+        lines = [[f"s{n}x{k}w{i}" for i in range(40)] for k in range(3)]
+        fill = lambda tag, n=n: [f"{tag}{n}f{i}" for i in range(50)]
+        alone = [fill(f"a{k}") + x + fill(f"b{k}") if n % 2 else x for k, x in enumerate(lines)]
+        one = lines[0] + lines[1] + lines[2]
+        two = fill("c") + lines[0] + [f"new{n}"] + lines[1] + [f"more{n}"] + lines[2] + fill("d")
+        order = [one, *alone, two] if between else [*alone, one, two]
+        rows += [(10 * n + k, " ".join(x)) for k, x in enumerate(order)]
+        pairs.append((10 * n + 4, 10 * n + (0 if between else 3)))
+    got = collections.defaultdict(set)
+    for r in compact_windows.duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"], r["source_doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    assert sum(len(got[pair]) >= 115 for pair in pairs) >= 0.95 * len(pairs)
+
+
+def largest_likeness(x, y, least=46):
+    """By the definition: over all subsequences of ``least`` shingles or more
+    of ``x``, and all of ``y``, the largest Jaccard similarity of their sets."""
+    x, y = ([" ".join(v[i : i + 5]) for i in range(len(v) - 4)] for v in (x.split(), y.split()))
+    best = 0.0
+    for i in range(len(x) - least + 1):
+        for j in range(i + least, len(x) + 1):
+            mine = set(x[i:j])
+            for a in range(len(y)):
+                seen, both = set(), 0
+                for b in range(a, min(len(y), a + 2 * (j - i))):
+                    if y[b] not in seen:
+                        seen.add(y[b])
+                        both += y[b] in mine
+                    best = max(best, both / (len(mine) + len(seen) - both))
+    return best
+
+
+def test_passages_equal_their_definition(spark):
+    """Each pair of small documents has a passage if and only if some pair of
+    subsequences is at the threshold."""
+    r, rows = random.Random(7), []
+    for n in range(16):
+        p = [f"p{n}w{i}" for i in range(54)]
+        at = {0: set(), 1: {20}, 2: {26}, 3: {10, 40}, 4: {5, 20, 33, 45}}[n % 5]
+        q = [w for i, x in enumerate(p) for w in (([f"e{n}v{i}"] if r.random() < 0.5 else [x, f"e{n}v{i}"]) if i in at else [x])]
+        rows += [(2 * n, " ".join([f"a{n}", *p, f"b{n}"])), (2 * n + 1, " ".join([f"c{n}", *q, f"d{n}"]))]
+    want = {(2 * n + 1, 2 * n): largest_likeness(rows[2 * n + 1][1], rows[2 * n][1]) for n in range(16)}
+    got = {(x["doc_id"], x["source_doc_id"]) for x in compact_windows.duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {pair for pair, like in want.items() if like >= 0.8} and 4 < len(got) < 16
+
+
+def test_long_chains_are_closed_over_ranges(spark):
+    """One passage in 400 documents, over many partitions: all but the first find it."""
+    p = " ".join(f"common{i}" for i in range(60))
+    df = spark.createDataFrame([(k, f"x{k} y{k} {p} z{k}", k) for k in range(400)], "doc_id long, text string, _doc int").repartition(16)
+    was = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        got = {r["doc_id"] for r in compact_windows.duplicate_passages(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was[0])
+        spark.conf.set("spark.sql.shuffle.partitions", was[1])
+    assert got == set(range(1, 400))
+
+
+def test_passages_beside_clashing_columns(spark):
+    p = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, p, 1, 2, 3, "s"), (1, "a " + p, 1, 2, 3, "s"), (None, p, 1, 2, 3, "s")], "doc_id long, text string, _doc int, _no int, _id int, _sha string")
+    assert compact_windows.duplicate_passages(df).count() == 2
+
+
 def test_passages_of_rows_that_share_an_id(spark):
     copy = " ".join(f"copy{i}" for i in range(80))
     rows = [(4, copy + " end", 1, "x"), (4, None, 2, "x"), (4, "a " + copy, 3, "x"), (None, copy, 4, "x"), (4, "a " + copy, 5, "x"), (5, "", 6, "x")]

@@ -44,35 +44,15 @@ def test_compact_windows_cover_each_subsequence_once(values, span):
         assert at == [i + int(np.argmin(h[i : i + span]))]
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.integers(0, 2**32), st.integers(3, 30), st.integers(0, 12))
-def test_equal_runs_share_a_signature(seed, length, after):
-    rng = np.random.default_rng(seed)
-    run = rng.integers(0, 2**63, length).astype(np.uint64)
-    sides = [np.concatenate([rng.integers(0, 2**63, k).astype(np.uint64) for k in (9, 0)] + [run, rng.integers(0, 2**63, after).astype(np.uint64)]) for _ in (0, 1)]
-    a, b = (set(compact_windows.signatures(s, np.zeros(len(s), dtype=np.int64), length)[0].tolist()) for s in sides)
-    assert a & b
-
-
-def test_seed_length_holds_for_edited_passages():
-    seed = compact_windows.seed_length(46, 0.8)
-    rng = np.random.default_rng(1)
-    for _ in range(3000):
-        n = int(rng.integers(50, 140))
-        words, out = [f"w{i}" for i in range(n)], []
-        edits = set(rng.integers(0, n, int(rng.integers(0, 4))).tolist())
-        for i, w in enumerate(words):
-            kind = rng.integers(3) if i in edits else 3
-            out += [[], [w, f"new{i}"], [f"new{i}"], [w]][kind]
-        x, y = ([" ".join(v[i : i + 5]) for i in range(len(v) - 4)] for v in (words, out))
-        both = set(x) & set(y)
-        if len(both) >= 0.8 * len(set(x) | set(y)):
-            longest, now = 0, 0
-            at = {s: i for i, s in enumerate(y)}
-            for i, s in enumerate(x):
-                now = now + 1 if s in at and (now == 0 or at.get(x[i - 1], -2) + 1 == at[s]) else int(s in at)
-                longest = max(longest, now)
-            assert longest >= seed
+def test_sources_cover_windows_greedily():
+    of, source, f = (np.array(x) for x in zip(*[(0, 5, 0), (0, 9, 0), (1, 5, 1), (1, 9, 1), (2, 9, 2), (3, 7, 3), (4, 7, 4), (5, 8, 0)], strict=True))
+    assert compact_windows.chosen_sources(of, source, f, 2) == ([9, 7], [5])
+
+
+def test_regions_need_functions_that_agree():
+    points = [(0, [100], 0), (10, [110], 0), (300, [900], 1), (310, [905], 2)]
+    assert compact_windows.linked_regions(points, 46, 2) == [(300, 310, 900, 905)]
+    assert len(compact_windows.linked_regions(points, 46)) == 2
 
 
 @settings(max_examples=100, deadline=None)
