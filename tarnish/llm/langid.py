@@ -123,20 +123,28 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model:
 def training_sample(docs: DataFrame, per_label: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
     """``per_label`` (text, lang) rows of each label, or all if it has fewer:
     those of the smallest hashes of id and text.  A rate that each label's
-    count sets keeps the rows that are ranked to some more than these."""
-    known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    number of different rows sets keeps the rows that are ranked to some more
+    than these; copies of a row are counted, not ranked."""
+    known = documents_of(docs)
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return []
-    rates = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (2.0 * per_label + 50) / n)))])
-    known = known.withColumn("h", F.xxhash64("doc_id", "text"))
+    rates = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (2.0 * per_label + 100) / max(1, n))))])
     chosen = known.where(F.pmod("h", F.lit(1 << 20)) < F.element_at(rates, F.col("lang")) * (1 << 20))
+    chosen = chosen.groupBy("lang", "h", "doc_id", "text").agg(F.count("*").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h", "doc_id", "text")
-    chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label)
+    chosen = chosen.withColumn("before", F.sum("n").over(order) - F.col("n")).where(F.col("before") < per_label)
+    copies = F.array_repeat(F.lit(0), F.least(F.col("n"), per_label - F.col("before")).cast("int"))
+    chosen = chosen.select("doc_id", "text", "lang", F.explode(copies))
     got = [(r["doc_id"] if r["doc_id"] is not None else -1, r["text"], r["lang"]) for r in chosen.collect()]  # per_label rows a label
     return [(t, lang) for _, t, lang in sorted(got)]
 
 
+def documents_of(docs: DataFrame) -> DataFrame:
+    """Labelled rows with a hash of id and text."""
+    return docs.where("lang is not null and text is not null").select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+
+
 def fit(documents: DataFrame, held_out=None) -> Model:
     """A model from labelled documents that ``held_out`` (a condition) doesn't name."""
     held_out = crc_residue(F.col("doc_id"), 4) == 2 if held_out is None else held_out

@@ -542,6 +542,28 @@ def test_known_languages_keep_their_columns(spark, documents):
     assert sum(lang == "en" for _, lang in sample) == langid.SAMPLE_DOCS and sum(lang == "de" for _, lang in sample) == 5
 
 
+def test_languages_of_copies(spark):
+    """A label of one row's copies is learned from, and each score is that of
+    the definition: the mean of the n-grams' rows under the softmax."""
+    rows = [(8, "der hund und die katze", "de")] * 5000 + [(k, f"the word {k} and others", "en") for k in range(3000)]
+    sample = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert collections.Counter(lang for _, lang in sample) == {"de": langid.SAMPLE_DOCS, "en": langid.SAMPLE_DOCS}
+    m = langid.train(sample)
+    for text in ("die katze", "the others", "x", "Öl und Ärger " * 40):
+        data = (" " + " ".join(text.lower().split()) + " ").encode()
+        total, n = np.zeros(2), 0
+        for size in langid.GRAMS:
+            for i in range(len(data) - size + 1):
+                h = 0
+                for byte in data[i : i + size]:
+                    h = (h * 0x01000193 + byte + 1) % 2**32
+                total += m.table[(h * 2654435761 % 2**32) >> (32 - langid.BITS)]
+                n += 1
+        z = (total / n + m.bias) / m.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert m.predict(text)[:2] == (m.labels[int(p.argmax())], pytest.approx(p.max()))
+
+
 def test_packing(odd, empty):
     t = bpe.tokenizer()
     rows = packing.pack(odd).collect()
