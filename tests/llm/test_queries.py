@@ -473,6 +473,11 @@ def test_scores_equal_brute_force(spark):
             assert states >= 7 and r["score"] == pytest.approx(want, abs=1e-6)
 
 
+def test_deeper_trees_are_refused(documents):
+    with pytest.raises(ValueError):
+        suffix_tree.score(documents, depth=3)
+
+
 def test_tree_grows_with_the_corpus(documents):
     """Twice as many different texts list more pairs; none is cut by a share."""
     docs = documents.select("doc_id", "text").withColumn("held_out", F.lit(False))
