@@ -6,6 +6,8 @@ ties are exact.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +27,17 @@ def _cuts(side: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda k: F.slice(flat, k * side + 1, side))
 
 
-def running(df: DataFrame, keys: list[str], score: str = "score", label: str | tuple[str, str] = "label", side: int = 32) -> DataFrame:
+def running(df: DataFrame, keys: list[str], score: str = "score", label: str | tuple[str, str] = "label", blocks: int = 1024) -> DataFrame:
     """Counts at each distinct score, with those of higher or equal scores
     (tp, fp) and of the whole group (pos, neg).
 
-    Each group's distinct scores are cut at ``side`` squared quantiles, of a
+    Each group's distinct scores are cut at some ``blocks`` quantiles, of a
     sketch of bounded size; windows run within such a block, and over the
     blocks' totals, so that no group of many distinct scores is ordered in
     one task, however the scores are spread.  Nulls and NaN are in blocks of
     their own at the ends, as they sort.
     """
-    value = F.col("score").cast("double")
+    value, side = F.col("score").cast("double"), max(1, math.isqrt(blocks))
     counts = score_counts(df, keys, score, label)
     counts = counts.withColumn("_finite", F.when(F.abs(value) < float("inf"), value))
     ends = counts.groupBy(*keys).agg(_cuts(side).alias("_cuts"))
