@@ -40,7 +40,7 @@ def documents(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.sql(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     df = queries.QUERIES[name](spark, DATA)
     rel = con.sql(queries.ORACLE_SQL[name])
