@@ -216,28 +216,38 @@ def bootstrap(df: DataFrame, n: int, seed: int, parts: int | None = None) -> Dat
     """Exactly ``n`` rows drawn with replacement, each row alike; ``seed``
     repeats the draw for the same rows.
 
-    Rows are dealt into ``parts`` by a hash and numbered in each (equal rows
-    in any order); the n draws are dealt to the parts by one multinomial
-    draw of their sizes, on the driver, and each part's draws join its
-    numbers.  An empty table gives no rows.
+    Equal rows are one row with a count, dealt into ``parts`` by a hash (one
+    for each 100,000 of them, unless given).  One multinomial draw on the
+    driver deals the n draws to the parts, one in each part deals them to
+    its rows, which are then repeated.  An empty table gives no rows.
     """
     import numpy as np
 
-    parts = parts or max(1, -(-n // 100_000))
     columns = df.columns
-    text = F.to_json(F.struct(*columns))
-    w = Window.partitionBy("_of").orderBy("_key", "_text")
-    rows = df.withColumns({"_key": F.xxhash64(text, F.lit(seed)), "_text": text}).withColumn("_of", F.pmod("_key", F.lit(parts)).cast("int"))
-    rows = rows.withColumn("_no", F.row_number().over(w).cast("long")).drop("_text", "_key")
-    sizes = {r["_of"]: r["count"] for r in rows.groupBy("_of").count().collect()}  # a row a part
+    # microseconds, which the plain form of a timestamp leaves out
+    text = F.to_json(F.struct(*columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    rows = df.groupBy(*columns).agg(F.count("*").alias("_copies"))
+    parts = parts or max(1, -(-rows.count() // 100_000))
+    key = F.xxhash64("_text", F.lit(seed))
+    rows = rows.withColumn("_text", text).withColumn("_of", F.pmod(key, F.lit(parts)).cast("int"))
+    sizes = {r["_of"]: r["n"] for r in rows.groupBy("_of").agg(F.sum("_copies").alias("n")).collect()}  # a row a part
     if not sizes or n < 1:
         return df.limit(0)
     held = np.array([sizes.get(k, 0) for k in range(parts)])
     drawn = np.random.default_rng(seed).multinomial(n, held / held.sum())
-    plan = df.sparkSession.createDataFrame([(k, int(held[k]), int(drawn[k])) for k in range(parts) if drawn[k]], "_of int, _size long, _draws long")
-    each = plan.withColumn("_draw", F.explode(F.sequence(F.lit(1).cast("long"), "_draws")))
-    number = F.pmod(F.xxhash64("_of", "_draw", F.lit(seed)), F.col("_size")) + 1
-    return rows.join(each.select("_of", number.alias("_no")), ["_of", "_no"]).select(*columns)
+
+    def deal(table):
+        import numpy as np
+        import pyarrow as pa
+
+        table, k = table.sort_by("_text"), table.column("_of")[0].as_py()
+        copies = np.asarray(table.column("_copies"))
+        times = np.random.default_rng([seed, k]).multinomial(drawn[k], copies / copies.sum())
+        return table.select(columns).append_column("_times", pa.array(times, pa.int64()))
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", _times long"
+    dealt = rows.groupBy("_of").applyInArrow(deal, shape).where("_times > 0")
+    return dealt.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*columns)
 
 
 def metrics_table(df: DataFrame, metrics: list[str], name: str = "name", shares: bool = False) -> DataFrame:

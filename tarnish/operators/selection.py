@@ -19,10 +19,16 @@ def sample_shots(df: DataFrame, k: int, seed: int, by: str, id_col: str) -> Data
 
 def select_shots(df: DataFrame, shots: DataFrame, by: str, order_col: str) -> DataFrame:
     """Rows whose 0-based place in their class is listed in ``shots``
-    (class, ord, idx), with the place in the list."""
+    (class, ord, idx), with the place in the list.
+
+    The largest place that is listed is read first: a limit on the row
+    number, by which each task keeps only so many rows of a class before
+    they are shuffled.
+    """
+    most = shots.agg(F.max("idx").cast("long").alias("idx")).first()["idx"]
     w = Window.partitionBy(by).orderBy(order_col)
-    placed = df.withColumn("idx", F.row_number().over(w) - 1)
-    return placed.join(shots, [by, "idx"])
+    placed = df.withColumn("idx", F.row_number().over(w)).where(F.col("idx") <= (-1 if most is None else most) + 1)
+    return placed.withColumn("idx", F.col("idx") - 1).join(shots, [by, "idx"])
 
 
 def run_grid(spark: SparkSession, classes: dict[str, list[str]], shots: list[int]) -> DataFrame:
@@ -39,6 +45,16 @@ def best_epoch(df: DataFrame, keys: list[str], metric: str = "value", epoch: str
 
 
 def assign_batches(df: DataFrame, size: int, seed: int, by: list[str], id_col: str) -> DataFrame:
-    """Batch numbers in seeded order within each group; the last is partial."""
-    w = Window.partitionBy(*by).orderBy(seeded_order(id_col, seed), id_col)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    """Batch numbers in seeded order within each group; the last is partial.
+
+    The seeded key is a digest, so its first three digits cut a group into
+    4,096 even blocks that follow each other in its order; rows are numbered
+    within blocks, from the sum of those before.
+    """
+    key = seeded_order(id_col, seed)
+    rows = df.withColumn("_block", F.struct(*by, F.substring(key, 1, 3).alias("_digits")))
+    before = Window.partitionBy(*[f"_block.{c}" for c in by]).orderBy("_block._digits").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_block").count().select("_block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_block").orderBy(key, id_col)
+    place = F.col("_start") + F.row_number().over(inside) - 1
+    return rows.join(starts, "_block").withColumn("batch", F.floor(place / size).cast("long")).drop("_block", "_start")

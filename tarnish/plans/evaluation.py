@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vectors import fuse_mean, harmonic, quantize, render
+from ..functions.vectors import doubles, fuse_mean, harmonic, quantize, render
+from ..operators import chain
+from ..operators import grids as G
 from ..operators import metrics as M
+from ..operators import vectors as O
+from .grids import taps_sql
 from .registry import query, table
 
 BASE = "WITH s AS (SELECT doc_id, d.lang, n_chars // 50 AS score, l.toxic AS label FROM documents d JOIN labels l USING (doc_id))"
@@ -69,6 +73,43 @@ def k4_evaluate_all(spark, sf_dir):
     return out.select("lang", "source", "level", F.round("auc", 6).alias("auc"), "max_f1", "threshold")
 
 
+CHAIN = f"""WITH e AS (SELECT vec_id // 25 AS map_id, vec_id % 25 AS idx, (vec_id // 25) % 2 AS class, label, embedding::DOUBLE[] AS v FROM embeddings),
+g AS (SELECT * FROM e WHERE map_id % 10 < 2), q AS (SELECT * FROM e WHERE map_id % 10 >= 2),
+y(a, b) AS (VALUES (1, 32), (33, 64)),
+d AS (SELECT q.class, q.map_id, q.idx, y.a, min((1 - list_cosine_similarity(q.v[y.a:y.b], g.v[y.a:y.b])) / 2) AS d FROM q JOIN g USING (class), y GROUP BY ALL),
+v AS (SELECT class, map_id, idx, avg(d) AS score FROM d GROUP BY ALL),
+m AS (SELECT class, list(z ORDER BY i) AS p, list(z ORDER BY i DESC) AS r FROM (SELECT class, i, avg(v[i]) AS z FROM g, range(1, 65) t(i) GROUP BY ALL) GROUP BY class),
+i AS (SELECT class, map_id, list(z ORDER BY i) AS v FROM (SELECT class, map_id, i, avg(v[i]) AS z FROM q, range(1, 65) t(i) GROUP BY ALL) GROUP BY ALL),
+s AS (SELECT class, map_id, idx, 1 / (1 + exp(10 * (list_cosine_similarity(v, p) - list_cosine_similarity(v, r)))) AS said FROM (SELECT class, map_id, idx, v FROM q UNION ALL SELECT class, map_id, -1, v FROM i) JOIN m USING (class)),
+c AS (SELECT 'image' AS kind, class, map_id, idx // 5 AS y, idx % 5 AS x, score AS value FROM v UNION ALL SELECT 'cell', class, map_id, idx // 5, idx % 5, score * said / (score + said) FROM v JOIN s USING (class, map_id, idx)),
+{taps_sql("tb", G.bilinear_taps(5, 10))}, {taps_sql("tg", G.gaussian_taps(10, 4.0))},
+b AS (SELECT kind, class, map_id, ty.d AS y, tx.d AS x, sum(value * ty.w * tx.w) AS value FROM c JOIN tb ty ON ty.s = y JOIN tb tx ON tx.s = x GROUP BY ALL),
+o AS (SELECT class, map_id, ty.d AS y, tx.d AS x, sum(value * ty.w * tx.w) AS value FROM b JOIN tg ty ON ty.s = y JOIN tg tx ON tx.s = x WHERE kind = 'cell' GROUP BY ALL),
+h AS (SELECT class, map_id, max(value) AS top FROM b WHERE kind = 'image' GROUP BY ALL),
+a AS (SELECT 'i_roc' AS kind, class, round(top * said / (top + said), 9) AS score, (map_id % 4 >= 2)::INT AS label FROM h JOIN s USING (class, map_id) WHERE idx = -1
+  UNION ALL SELECT 'p_roc', o.class, round(value, 9), (e.label < 3)::INT FROM o JOIN e ON e.map_id = o.map_id AND e.idx = o.y // 2 * 5 + o.x // 2),
+n AS (SELECT kind, class, score, sum(label) AS p, sum(1 - label) AS n FROM a GROUP BY ALL),
+r AS (SELECT *, sum(p) OVER (PARTITION BY kind, class ORDER BY score DESC) AS tp FROM n),
+f AS (SELECT kind, class, round(100.0 * sum(n * (tp - p / 2)) / nullif(sum(p) * sum(n), 0), 6)::DOUBLE AS auc FROM r GROUP BY ALL)
+SELECT class, max(auc) FILTER (kind = 'i_roc') AS i_roc, max(auc) FILTER (kind = 'p_roc') AS p_roc FROM f GROUP BY class"""
+
+
+@query(CHAIN)
+def k4_run_chain(spark, sf_dir):
+    """Vectors to metrics in one job: maps of 5 x 5 patches of two layers
+    (halves of the vectors) in two classes; a fifth of the maps is the
+    gallery, whose mean and its reverse stand for the texts."""
+    e = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 25").alias("map_id"), (F.col("vec_id") % 25).alias("idx"), F.expr("(vec_id div 25) % 2").alias("class"), F.col("label").alias("kind"), doubles(F.col("embedding")).alias("v"))
+    e = e.withColumns({"upper": F.slice("v", 1, 32), "lower": F.slice("v", 33, 32)})
+    shots, patches = e.where("map_id % 10 < 2"), e.where("map_id % 10 >= 2")
+    texts = O.prototype(shots, ["class"], "v").select("class", F.col("v").alias("normal"), F.reverse("v").alias("abnormal"))
+    images = O.prototype(patches, ["class", "map_id"], "v").withColumn("label", F.expr("cast(map_id % 4 >= 2 as int)"))
+    half = F.explode(F.array(F.lit(0), F.lit(1)))
+    masks = patches.where("kind < 3").withColumn("_y", half).withColumn("_x", half).select("map_id", F.expr("cast(idx div 5 * 2 + _y as int)").alias("y"), F.expr("cast(idx % 5 * 2 + _x as int)").alias("x"))
+    out = chain.evaluate_runs(patches, images, shots, texts, masks, runs=["class"], layers=["upper", "lower"], vec="v", grid=(5, 5), to=(10, 10), t=10.0)
+    return out.select("class", F.round("i_roc", 6).alias("i_roc"), F.round("p_roc", 6).alias("p_roc"))
+
+
 @query("SELECT lang AS name, round(avg(n_chars) FILTER (source < 'src2'), 2)::DOUBLE AS i_roc, coalesce(round(avg(n_chars) FILTER (source = 'none'), 2), 0)::DOUBLE AS p_roc FROM documents GROUP BY lang")
 def a15_metrics_table(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
