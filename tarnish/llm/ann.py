@@ -13,9 +13,9 @@ The kd-tree has two layers: an upper one whose cells deal the rows to tasks
 built in each task over its cell.  A query first searches its own cell,
 which gives it a radius, and then only those cells whose true box the radius
 reaches.  Cells over ``cell_rows`` rows are searched in chunks, and the
-queries of a cell in parts.  A task searches for a block of queries at once:
-it verifies the candidates of smallest projected distance first, which
-shrinks the radius, and then those that are still within it.
+queries of a cell in parts.  A task verifies a query's candidates by rising
+projected distance, in chunks, each of which shrinks the radius, until the
+next candidate lies beyond it.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ from .common import prepare, written
 #: Parameters: projected coordinates (even), confidence of the stopping test,
 #: rows in a cell, rows that the upper splits are fitted on, and kd-tree leaf size.
 M, CONFIDENCE, CELL_ROWS, SAMPLE_ROWS, LEAF = 8, 0.98, 4096, 1 << 17, 32
-#: Queries that a task takes for a cell, and searches for at once; candidates
-#: verified first.
-PART_ROWS, BLOCK, NEAREST = 4096, 128, 64
+#: Queries that a task takes for a cell, and projects at once; candidates
+#: verified first, twice as many after each time.
+PART_ROWS, BLOCK, FIRST = 4096, 128, 16
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -99,25 +99,36 @@ class LocalTree:
         hit = box_distances(queries, self.lo, self.hi) <= limit[:, None]
         return np.concatenate([self.leaves[i] for i in np.flatnonzero(hit.any(0))] or [np.empty(0, dtype=np.int64)])
 
-    def search(self, queries: np.ndarray, unit: np.ndarray, unit_queries: np.ndarray, k: int, bound: np.ndarray, quantile: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, unit: np.ndarray, unit_queries: np.ndarray, k: int, bound: np.ndarray, quantile: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows (-1: none) and squared distances of the k nearest verified of
-        each query; ``bound`` are squared distances reached elsewhere."""
+        each query, and how many were verified; ``bound`` are squared
+        distances reached elsewhere."""
         rows, n = self.reached(queries, bound * quantile), len(queries)
+        best, dist, verified = np.full((n, k), -1), np.full((n, k), np.inf), np.zeros(n, dtype=np.int64)
         if not len(rows):
-            return np.full((n, k), -1), np.full((n, k), np.inf)
+            return best, dist, verified
         here = self.points[rows]
         step = np.maximum(0, (queries * queries).sum(1)[:, None] + (here * here).sum(1) - 2 * queries @ here.T)
-        first = np.argpartition(step, NEAREST, axis=1)[:, :NEAREST] if len(rows) > NEAREST else np.tile(np.arange(len(rows)), (n, 1))
-        near = 2 - 2 * np.einsum("qd,qcd->qc", unit_queries, unit[rows[first]])
-        if near.shape[1] >= k:  # the stopping test shrinks the radius
-            bound = np.minimum(bound, np.partition(near, k - 1, axis=1)[:, k - 1])
-        true = np.where(step <= (bound * quantile)[:, None], 2 - 2 * unit_queries @ unit[rows].T, np.inf)
-        if true.shape[1] > k:
-            best = np.argpartition(true, k - 1, axis=1)[:, :k]
-            true = np.take_along_axis(true, best, 1)
-        else:
-            best = np.tile(np.arange(true.shape[1]), (n, 1))
-        return np.where(np.isfinite(true), rows[best], -1), true
+        for q in range(n):
+            near, limit = step[q], bound[q]
+            first = np.argpartition(near, FIRST - 1)[:FIRST] if len(near) > FIRST else np.arange(len(near))
+            chunk, rest, at = first[near[first] <= limit * quantile], None, 0
+            while len(chunk):
+                take = rows[chunk]
+                found, names = np.r_[dist[q], 2 - 2 * unit[take] @ unit_queries[q]], np.r_[best[q], take]
+                keep = np.argsort(found, kind="stable")[:k]
+                best[q], dist[q] = names[keep], found[keep]
+                verified[q] += len(chunk)
+                limit = min(limit, dist[q, k - 1])  # the stopping test shrinks the radius
+                if rest is None:  # only what the first chunk's radius leaves is sorted
+                    inside = near <= limit * quantile
+                    inside[first] = False
+                    rest = np.flatnonzero(inside)
+                    rest = rest[np.argsort(near[rest], kind="stable")]
+                chunk = rest[at : at + verified[q]]
+                at += len(chunk)
+                chunk = chunk[near[chunk] <= limit * quantile]
+        return best, dist, verified
 
 
 def box_distances(points: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -139,6 +150,12 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, largest components between 1/2 and 1: sums
+    of squares can't overflow, and cosines are the same to the last bit."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
+
+
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """One (id, vec) row for each id: vectors that are null, empty, zero, or
     hold null or non-finite components go, as do null ids and vectors of
@@ -181,9 +198,9 @@ def nearest_neighbours(df: DataFrame, k: int = 5, *, id_col: str = "vec_id", vec
     index = written(index.mapInArrow(project, "vec array<double>, ids array<long>, p array<double>"), "ann-index")
     total = index.count()
     share = min(1.0, SAMPLE_ROWS / max(total, 1))
-    sample = index.where(F.pmod(F.xxhash64("ids"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).select("p").limit(2 * SAMPLE_ROWS).collect()
-    depth = max(0, min(math.ceil(math.log2(max(1, total / cell_rows))), int(math.log2(max(1, len(sample) / 16)))))
-    axis, cut = fit_splits(np.array([r["p"] for r in sample]).reshape(-1, m), depth)
+    sample = index.where(F.pmod(F.xxhash64("ids"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).select("p").limit(2 * SAMPLE_ROWS).toArrow()
+    depth = max(0, min(math.ceil(math.log2(max(1, total / cell_rows))), int(math.log2(max(1, sample.num_rows / 16)))))
+    axis, cut = fit_splits(_matrix(sample.column("p")).reshape(-1, m), depth)
 
     def place(batches):
         for b in batches:
@@ -204,7 +221,7 @@ def nearest_neighbours(df: DataFrame, k: int = 5, *, id_col: str = "vec_id", vec
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"q": [], "score": [], "ids": [], "d": []}
         if left.num_rows and right.num_rows:
-            raw, qraw = _matrix(right.column("vec")), _matrix(left.column("vec"))
+            raw, qraw = _scaled(_matrix(right.column("vec"))), _scaled(_matrix(left.column("vec")))
             unit, qunit, qp = _unit(raw), _unit(qraw), _matrix(left.column("p"))
             tree, ids = LocalTree(_matrix(right.column("p"))), right.column("ids").to_pylist()
             norms = np.sqrt((raw * raw).sum(1))
@@ -212,7 +229,7 @@ def nearest_neighbours(df: DataFrame, k: int = 5, *, id_col: str = "vec_id", vec
             qnorms = np.sqrt((qraw * qraw).sum(1))
             for a in range(0, len(qp), BLOCK):
                 # one more than k: a query's own vector is among those found
-                best, dist = tree.search(qp[a : a + BLOCK], unit, qunit[a : a + BLOCK], k + 1, bound[a : a + BLOCK], quantile)
+                best, dist, _ = tree.search(qp[a : a + BLOCK], unit, qunit[a : a + BLOCK], k + 1, bound[a : a + BLOCK], quantile)
                 for i, j in zip(*np.nonzero(best >= 0), strict=True):
                     r, q = int(best[i, j]), a + int(i)
                     out["q"].append(names[q])

@@ -91,6 +91,39 @@ def test_neighbours_over_many_cells_chunks_and_parts(spark, monkeypatch):
     assert hits >= 0.95 * 5 * 400 and all(len(x) == 5 for x in got.values())
 
 
+def test_neighbours_are_verified_within_the_radius_only():
+    """Clustered rows and queries: at most three times the candidates that
+    lie within each query's last radius are verified (or the first chunk)."""
+    rng = np.random.default_rng(4)
+    v = ann._unit(rng.normal(size=(64, 24))[rng.integers(0, 64, 8192)] + rng.normal(0, 0.2, (8192, 24)))
+    p, quantile = v @ ann.projection(24, ann.M), ann.chi_square_quantile(ann.CONFIDENCE, ann.M)
+    asked, k = np.arange(0, 8192, 64), 6
+    tree = ann.LocalTree(p)
+    best, dist, verified = tree.search(p[asked], v, v[asked], k, np.full(len(asked), np.inf), quantile)
+    within, hits = 0, 0
+    for i, q in enumerate(asked):
+        inside = ((p - p[q]) ** 2).sum(1) <= dist[i, -1] * quantile * (1 + 1e-9)
+        within += max(ann.FIRST, int(inside.sum()))
+        true = 2 - 2 * v @ v[q]
+        want = np.sort(true[inside])[:k]  # exact among those within the radius
+        assert np.allclose(dist[i], want, atol=1e-12) and np.allclose(true[best[i]], dist[i], atol=1e-12)
+        hits += len(set(best[i].tolist()) & set(np.argsort(true, kind="stable")[:k].tolist()))
+    assert verified.sum() <= 3 * within < len(asked) * 8192
+    assert hits >= 0.95 * k * len(asked)
+    again = tree.search(p[asked], v, v[asked], k, dist[:, -1], quantile)[2]  # a radius from elsewhere
+    assert again.sum() <= within
+
+
+def test_neighbours_of_very_large_and_small_vectors(spark):
+    v = [[1e200, 0.0], [1e200, 1e190], [3e-200, 3e-200], [0.0, 5e-324], [1.7e308, -1.7e308]]
+    df = spark.createDataFrame([(50 * i, x) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in ann.nearest_neighbours(df).collect()}
+    half = 0.5**0.5
+    assert len(got) == 20
+    for pair, want in {(0, 50): 1.0, (0, 100): half, (0, 150): 0.0, (100, 150): half, (100, 200): 0.0, (0, 200): half, (150, 200): -half}.items():
+        assert abs(got[pair] - want) < 1e-12 and got[pair] == got[pair[::-1]]
+
+
 def test_warc(spark):
     rows = [(1, "http://a/\r\nx", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (None, "u", "é"), (5, "u", "é" * 100_000), (2, None, "same")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
