@@ -25,8 +25,9 @@ from .bpe import TOKENIZER, encode
 from .common import prepare, written
 
 #: Parameters: ids in a sequence, closing id of a document, width of a length
-#: class, relative gap at which column generation ends, rows in a rank shard.
-CAPACITY, END_ID, QUANTUM, GAP, SHARD_ROWS = 4096, 2, 16, 1e-3, 1000
+#: class, relative gap at which column generation ends, rows in a rank shard,
+#: shards in a run of them.
+CAPACITY, END_ID, QUANTUM, GAP, SHARD_ROWS, SHARD_RUN = 4096, 2, 16, 1e-3, 1000, 1000
 
 
 def price(duals: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -143,10 +144,14 @@ def cut_documents(documents: DataFrame, capacity: int = CAPACITY, end_id: int =
 def ranked(pieces: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Adds ``rank``, from 0 without gaps within each class.  Classes are
     ranked in shards, so one that holds a third of all pieces is spread."""
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(max(1, pieces.count() // shard_rows))))
-    sizes = written(pieces.groupBy("cls", "shard").count(), "pack-shards")
-    before = Window.partitionBy("cls").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("cls", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    shard = F.xxhash64("doc_id", "start", "length", "doc_tokens", "ids_crc32")
+    pieces = pieces.withColumn("shard", F.pmod(shard, F.lit(max(1, pieces.count() // shard_rows))))
+    sizes = written(pieces.groupBy("cls", "shard").count().withColumn("run", F.expr(f"shard div {SHARD_RUN}")), "pack-shards")
+    # sums over runs of shards, then within each run: no class is summed in one task
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    runs = sizes.groupBy("cls", "run").agg(F.sum("count").alias("held"))
+    runs = runs.select("cls", "run", F.coalesce(F.sum("held").over(before("cls", "run")), F.lit(0)).alias("base"))
+    starts = sizes.join(runs, ["cls", "run"]).select("cls", "shard", (F.col("base") + F.coalesce(F.sum("count").over(before("cls", "run", "shard")), F.lit(0))).alias("base"))
     # rows that tie in all columns may swap without a difference
     order = Window.partitionBy("cls", "shard").orderBy("doc_id", "start", "length", "doc_tokens", "ids_crc32")
     numbered = pieces.withColumn("n", F.row_number().over(order))

@@ -602,6 +602,19 @@ def test_languages_of_copies(spark):
         assert m.predict(text)[:2] == (m.labels[int(p.argmax())], pytest.approx(p.max()))
 
 
+@pytest.mark.parametrize("run", [1, 3, 1000])
+def test_ranks_have_no_gaps(spark, monkeypatch, run):
+    """Pieces of one null doc_id are spread over shards by their content."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(packing, "SHARD_RUN", run)
+    pieces = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("start"), (F.col("id") % 50 + 1).alias("length"), (F.col("id") % 50 + 1).alias("doc_tokens"), F.col("id").alias("ids_crc32"), F.when(F.col("id") < 2000, 1).otherwise(2).alias("cls"))
+    ranks = packing.ranked(pieces, 40)
+    for cls, n in ((1, 2000), (2, 1000)):
+        assert sorted(r["rank"] for r in ranks.where(F.col("cls") == cls).select("rank").collect()) == list(range(n))
+    assert packing.ranked(pieces.where("false"), 40).count() == 0
+
+
 def test_packing(odd, empty):
     t = bpe.tokenizer()
     rows = packing.pack(odd).collect()
