@@ -58,7 +58,8 @@ def parse_name(name: Column) -> Column:
 
 
 def display_name(df: DataFrame, aliases: DataFrame, by: str) -> DataFrame:
-    """aliases: (``by``, display); without one the name itself."""
+    """aliases: (``by``, display), such as ``prompts.aliases``; a name
+    without one is its own."""
     return df.join(aliases, by, "left").withColumn("display", F.coalesce("display", by))
 
 

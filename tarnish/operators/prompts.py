@@ -20,6 +20,11 @@ ALIASES = {
 GENERIC_STATES = ["damaged {}", "flawed {}", "abnormal {}", "imperfect {}", "blemished {}", "{} with flaw", "{} with defect", "{} with damage"]
 
 
+def aliases(spark: SparkSession, by: str = "class") -> DataFrame:
+    """(``by``, display): the fixed display names, for ``display_name``."""
+    return spark.createDataFrame(list(ALIASES.items()), f"`{by}` string, display string")
+
+
 def expand_prompts(classes: DataFrame, generic: list[str], specific: DataFrame) -> DataFrame:
     """A prompt for each class and state, duplicates kept.
 

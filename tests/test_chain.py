@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarnish.operators import chain, metrics, selection
+from tarnish.operators import chain, metrics, prepare, prompts, selection
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +96,11 @@ def test_bootstrap_follows_the_copies(spark):
     counts = np.bincount([r.a for r in got if r.a > 1], minlength=4002)[2:]
     assert abs(counts.var() / counts.mean() - 1) < 0.2
     assert sorted(r.a for r in got) == sorted(r.a for r in metrics.bootstrap(df, 50_000, 11, parts=3).collect())
+
+
+def test_classes_by_display_name(spark):
+    df = spark.createDataFrame([("pcb3",), ("screw",), (None,), ("pcb3",)], "class string")
+    named = prepare.display_name(df, prompts.aliases(spark), "class")
+    assert sorted(map(tuple, named.collect()), key=repr) == sorted([("pcb3", "printed circuit board"), ("screw", "screw"), (None, None), ("pcb3", "printed circuit board")], key=repr)
+    said = prompts.expand_prompts(named.distinct(), ["damaged {}"], spark.createDataFrame([("screw", "bent {}")], "class string, template string"))
+    assert {r.prompt for r in said.collect() if r.prompt} == {"damaged printed circuit board", "damaged screw", "bent screw"}
