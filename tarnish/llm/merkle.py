@@ -1,18 +1,29 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and pieces.
-
-A text is cut at blank lines (two line feeds) into sections, these at line
-feeds into paragraphs, and these into pieces that end after a blank which
-follows a character of a fixed class.  All cuts depend on the text around
-them only and can be undone.  A paragraph's hash covers its text, a
-section's the hashes of its paragraphs, the root those of the sections, so
-equal roots mean equal texts (up to SHA-256).
-
-A fingerprint is a string: the root, a colon, and the tree below it, in
-which sections are parted by semicolons, paragraphs by commas, and a piece
-has ``PIECE_DIGITS`` digits of its hash.  Two fingerprints are compared from
-the root down: sections that both have are not entered, nor are paragraphs
-that both have within the others, wherever they stand, so an insertion costs
-only itself.  The pieces left in differing paragraphs say how much differs.
+"""Document fingerprints: a Merkle tree over sections and paragraphs.
+
+A text is cut at blank lines (two line feeds) into sections and these at line
+feeds into paragraphs, which can be undone.  A paragraph's hash covers its
+text, a section's the hashes of its paragraphs, the root those of the
+sections; all leaves have one depth, so a node is never taken for one of
+another level.
+
+A fingerprint is a string of all nodes: the root, a colon, and the sections,
+parted by semicolons.  A section is its hash (``NODE_DIGITS``), an equals
+sign and its paragraphs, parted by commas.  A paragraph is its hash and, if
+it has more than one piece, a stop and ``PIECE_DIGITS`` digits of each
+piece's hash; the piece of a paragraph that is one is known from the
+paragraph's hash.  Pieces end after a blank that follows a character of a
+fixed class, so cuts depend on the text around them only.  ``sound`` computes
+every hash above the paragraphs again from those below it.
+
+Equal texts have equal fingerprints, different ones different roots, up to
+128 bits of SHA-256 in each node.
+
+Two fingerprints are compared from the root down: sections that both have are
+not entered, nor are paragraphs that both have within the others, wherever
+they stand, so an insertion costs only itself.  A node's string is a function
+of its hash, which comes first, so nodes of different hashes differ there.
+The pieces left in differing paragraphs say how much differs, and the first
+differing node of each level where (``first_change``).
 
 DataFrame functions only; no Python runs on the executors.
 """
@@ -27,60 +38,112 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Hex digits of a piece's hash, rows in a run of neighbours, and runs at most.
-PIECE_DIGITS, RUN_ROWS, RUNS = 8, 128, 1 << 16
+#: Hex digits of a node's and of a piece's hash, rows in a run of neighbours,
+#: and runs at most.
+NODE_DIGITS, PIECE_DIGITS, RUN_ROWS, RUNS = 32, 8, 128, 1 << 16
 #: A piece: up to a blank after one of these characters, or to the end.
-PIECE = r"(?s).*?[aeimquyAEIMQUY159.,] |.+"
+PIECE = r"(?s).*?[eoyEOYаеоиαεοι\p{P}\p{S}] |.+"
 
 
-def root(text: Column) -> Column:
-    leaves = lambda s: F.sha2(F.array_join(F.transform(F.split(s, "\n", -1), lambda p: F.sha2(p, 256)), ""), 256)
-    return F.sha2(F.array_join(F.transform(F.split(text, "\n\n", -1), leaves), ""), 256)
+def _bound(x: Column, f) -> Column:
+    """f(x), in which x is computed once."""
+    return F.get(F.transform(F.array(x), f), 0)
 
 
-def branches(text: Column) -> Column:
-    pieces = lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), lambda x: F.substring(F.sha2(x, 256), 1, PIECE_DIGITS)), "")
-    paragraphs = lambda s: F.array_join(F.transform(F.split(s, "\n", -1), pieces), ",")
-    return F.array_join(F.transform(F.split(text, "\n\n", -1), paragraphs), ";")
+def _digest(x: Column, digits: int = NODE_DIGITS) -> Column:
+    return F.substring(F.sha2(x, 256), 1, digits)
+
+
+def _hash(node: Column) -> Column:
+    return F.substring(node, 1, NODE_DIGITS)
+
+
+def _joined_hashes(nodes: Column) -> Column:
+    return F.array_join(F.transform(nodes, _hash), "")
+
+
+def _paragraph(text: Column) -> Column:
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    digits = lambda x: F.array_join(F.transform(x, lambda y: _digest(y, PIECE_DIGITS)), "")
+    return F.concat(_digest(text), _bound(pieces, lambda x: F.when(F.size(x) > 1, F.concat(F.lit("."), digits(x))).otherwise("")))
+
+
+def _section(text: Column) -> Column:
+    paragraphs = F.transform(F.split(text, "\n", -1), _paragraph)
+    return _bound(paragraphs, lambda x: F.concat(_digest(_joined_hashes(x)), F.lit("="), F.array_join(x, ",")))
 
 
 def fingerprint(text: Column) -> Column:
     """Root and tree of a text (null counts as empty)."""
-    text = F.coalesce(text, F.lit(""))
-    return F.concat(root(text), F.lit(":"), branches(text))
+    sections = F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n", -1), _section)
+    return _bound(sections, lambda x: F.concat(F.sha2(_joined_hashes(x), 256), F.lit(":"), F.array_join(x, ";")))
+
+
+def root(print_: Column) -> Column:
+    return F.substring_index(print_, ":", 1)
+
+
+def sections(print_: Column) -> Column:
+    return F.split(F.substring_index(print_, ":", -1), ";", -1)
 
 
-def _tree(print_: Column) -> Column:
-    return F.substring_index(print_, ":", -1)
+def paragraphs(section: Column) -> Column:
+    """A section's paragraphs; none of a null section."""
+    return F.coalesce(F.split(F.substring_index(section, "=", -1), ",", -1), F.array().cast("array<string>"))
 
 
-def _leaves(paragraphs: Column) -> Column:
-    return F.regexp_extract_all(paragraphs, F.lit("[0-9a-f]{%d}" % PIECE_DIGITS), F.lit(0))
+def sound(print_: Column) -> Column:
+    """Whether every section's hash is that of its paragraphs' and the root
+    that of its sections'."""
+    inner = F.forall(sections(print_), lambda s: _hash(s) == _digest(_joined_hashes(paragraphs(s))))
+    return inner & (root(print_) == F.sha2(_joined_hashes(sections(print_)), 256))
+
+
+def _pieces(paragraphs_: Column) -> Column:
+    """The distinct pieces of paragraphs."""
+    digits = F.array_join(F.transform(paragraphs_, lambda p: F.when(F.length(p) > NODE_DIGITS, F.substring(p, NODE_DIGITS + 2, 1 << 30)).otherwise(F.substring(p, 1, PIECE_DIGITS))), "")
+    return F.array_distinct(F.regexp_extract_all(digits, F.lit("[0-9a-f]{%d}" % PIECE_DIGITS), F.lit(0)))
+
+
+def _all_paragraphs(nodes: Column) -> Column:
+    return F.flatten(F.transform(nodes, paragraphs))
 
 
 def differing_paragraphs(a: Column, b: Column) -> Column:
     """Descent: the distinct paragraphs of fingerprint ``a``, as in its tree,
     that ``b`` has nowhere in its sections that differ from those of ``a``."""
-    mine = lambda x, y: F.array_join(F.array_except(F.split(_tree(x), ";", -1), F.split(_tree(y), ";", -1)), ",")
-    return F.array_except(F.split(mine(a, b), ",", -1), F.split(mine(b, a), ",", -1))
+    mine = lambda x, y: _all_paragraphs(F.array_except(sections(x), sections(y)))
+    return F.when(root(a) == root(b), F.array().cast("array<string>")).otherwise(F.array_except(mine(a, b), mine(b, a)))
 
 
 def edit_places(a: Column, b: Column) -> Column:
     """array<struct<section, paragraph>>, numbered from 0: where ``a`` has a
     paragraph that differs from those of ``b``."""
-    changed = differing_paragraphs(a, b)
-    inside = lambda s, i: F.filter(F.transform(F.split(s, ",", -1), lambda p, j: F.when(F.array_contains(changed, p), F.struct(i.alias("section"), j.alias("paragraph")))), lambda x: x.isNotNull())
-    return F.flatten(F.transform(F.split(_tree(a), ";", -1), inside))
+    inside = lambda changed: lambda s, i: F.filter(F.transform(paragraphs(s), lambda p, j: F.when(F.array_contains(changed, p), F.struct(i.alias("section"), j.alias("paragraph")))), lambda x: x.isNotNull())
+    return _bound(differing_paragraphs(a, b), lambda changed: F.flatten(F.transform(sections(a), inside(changed))))
+
+
+def _equal_from_start(x: Column, y: Column) -> Column:
+    """Number of leading nodes that both have."""
+    same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
+    return _bound(same, lambda v: F.when(F.array_contains(v, False), F.array_position(v, False) - 1).otherwise(F.size(v).cast("long")))
+
+
+def first_change(a: Column, b: Column) -> Column:
+    """section.paragraph, numbered from 0, from which on ``a`` differs from
+    ``b``: the first section with another hash is entered for its first
+    paragraph with another one.  Null if the roots are equal."""
+    inner = lambda i: F.concat_ws(".", i, _equal_from_start(paragraphs(F.get(sections(a), i.cast("int"))), paragraphs(F.get(sections(b), i.cast("int")))))
+    return F.when(root(a) != root(b), _bound(_equal_from_start(sections(a), sections(b)), inner))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """1 less the share of distinct pieces, of both trees, that lie in
-    differing paragraphs of one and not in those of the other; two trees
-    without pieces are alike."""
-    left, right = (_leaves(F.array_join(x, "")) for x in (differing_paragraphs(a, b), differing_paragraphs(b, a)))
-    all_ = F.size(F.array_distinct(_leaves(_tree(a)))) + F.size(F.array_distinct(_leaves(_tree(b))))
-    apart = F.size(F.array_except(left, right)) + F.size(F.array_except(right, left))
-    return F.when(a == b, 1.0).otherwise(1.0 - apart / F.greatest(all_, F.lit(1)))
+    differing paragraphs of one and not in those of the other."""
+    left, right = (_pieces(x) for x in (differing_paragraphs(a, b), differing_paragraphs(b, a)))
+    all_ = F.size(_pieces(_all_paragraphs(sections(a)))) + F.size(_pieces(_all_paragraphs(sections(b))))
+    apart = lambda x: _bound(right, lambda y: F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)))
+    return F.when(root(a) == root(b), 1.0).otherwise(1.0 - _bound(left, apart) / all_)
 
 
 def with_runs(docs: DataFrame) -> DataFrame:
@@ -141,9 +204,11 @@ def fingerprints_of_edits(documents: DataFrame) -> DataFrame:
     The edit replaces the last floor(n / 2) of a text's n code points by the
     first as many of the next document's (all, if it has fewer).  Returns
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited and near_next (``likeness``), and n_changed: distinct
-    paragraphs of the edited text that differ (``differing_paragraphs``).
-    Null text is empty; rows with equal or null doc_id are ordered as
+    near_edited and near_next (``likeness``), n_changed, the distinct
+    paragraphs of the edited text that differ (``differing_paragraphs``), and
+    changed_at (``first_change``).
+    Null text is empty; very long texts, and one paragraph or thousands of
+    sections, take the same way in time that grows with their length; rows with equal or null doc_id are ordered as
     ``with_next`` says; an empty table gives no rows; other columns are
     ignored.
     """
@@ -154,29 +219,41 @@ def fingerprints_of_edits(documents: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), fingerprint(F.col("next_text")).alias("following"))
     own, edited = F.col("fingerprint"), F.col("edited_fingerprint")
     changed = differing_paragraphs(edited, own)
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(own, edited).alias("near_edited"), likeness(own, F.col("following")).alias("near_next"), F.size(changed).cast("long").alias("n_changed"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(own, edited).alias("near_edited"), likeness(own, F.col("following")).alias("near_next"), F.size(changed).cast("long").alias("n_changed"), first_change(edited, own).alias("changed_at"))
 
 
-def _sql_tree(x: str) -> str:
-    piece = f"lambda p: array_to_string(list_transform(regexp_extract_all(p, '{PIECE}'), lambda y: sha256(y)[1:{PIECE_DIGITS}]), '')"
-    return f"array_to_string(list_transform(string_split({x}, chr(10) || chr(10)), lambda s: array_to_string(list_transform(string_split(s, chr(10)), {piece}), ',')), ';')"
+def _sql_sections(x: str) -> str:
+    """Structs of a section's hash and its paragraphs' strings."""
+    pieces = f"array_to_string(list_transform(v, lambda y: sha256(y)[1:{PIECE_DIGITS}]), '')"
+    paragraph = f"sha256(p)[1:{NODE_DIGITS}] || list_transform([regexp_extract_all(p, '{PIECE}')], lambda v: CASE WHEN len(v) > 1 THEN '.' || {pieces} ELSE '' END)[1]"
+    section = f"{{'h': sha256(array_to_string(list_transform(ps, lambda p: p[1:{NODE_DIGITS}]), ''))[1:{NODE_DIGITS}], 'p': ps}}"
+    return f"list_transform(string_split({x}, chr(10) || chr(10)), lambda s: list_transform([list_transform(string_split(s, chr(10)), lambda p: {paragraph})], lambda ps: {section})[1])"
 
 
-def _sql_root(x: str) -> str:
-    return f"sha256(array_to_string(list_transform(string_split({x}, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda q: sha256(q)), ''))), ''))"
+def _sql_print(x: str) -> str:
+    return f"sha256(array_to_string(list_transform({x}, lambda s: s.h), '')) || ':' || array_to_string(list_transform({x}, lambda s: s.h || '=' || array_to_string(s.p, ',')), ';')"
 
 
 def _sql_except(x: str, y: str) -> str:
     return f"list_filter(list_distinct({x}), lambda z: NOT list_contains({y}, z))"
 
 
+def _sql_inner(x: str) -> str:
+    return f"flatten(list_transform({x}, lambda s: s.p))"
+
+
 def _sql_differing(a: str, b: str) -> str:
-    mine = lambda x, y: "string_split(array_to_string(" + _sql_except(f"string_split({x}, ';')", f"string_split({y}, ';')") + ", ','), ',')"
-    return _sql_except(mine(a, b), mine(b, a))
+    return _sql_except(_sql_inner(_sql_except(a, b)), _sql_inner(_sql_except(b, a)))
+
+
+def _sql_pieces(x: str) -> str:
+    digits = f"array_to_string(list_transform({x}, lambda p: CASE WHEN length(p) > {NODE_DIGITS} THEN p[{NODE_DIGITS + 2}:] ELSE p[1:{PIECE_DIGITS}] END), '')"
+    return f"list_distinct(regexp_extract_all({digits}, '[0-9a-f]{{{PIECE_DIGITS}}}'))"
 
 
-def _sql_leaves(x: str) -> str:
-    return f"list_distinct(regexp_extract_all({x}, '[0-9a-f]{{{PIECE_DIGITS}}}'))"
+def _sql_start(x: str, y: str) -> str:
+    """Number of leading entries that lists x and y have in common."""
+    return f"list_position(list_transform(range(1, greatest(len({x}), len({y})) + 2), lambda i: i > greatest(len({x}), len({y})) OR {x}[i] IS DISTINCT FROM {y}[i]), true) - 1"
 
 
 SQL = f"""
@@ -184,15 +261,15 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, length(text) AS n_chars,
              coalesce(lead(text) OVER (ORDER BY doc_id NULLS FIRST, text), first_value(text) OVER (ORDER BY doc_id NULLS FIRST, text)) AS next_text FROM d),
 e AS (SELECT *, substring(text, 1, n_chars - n_chars // 2) || substring(next_text, 1, n_chars // 2) AS edited FROM n),
-t AS (SELECT *, {_sql_tree('text')} AS a, {_sql_tree('edited')} AS b, {_sql_tree('next_text')} AS c FROM e),
-p AS (SELECT *, {_sql_differing('a', 'b')} AS ab, {_sql_differing('b', 'a')} AS ba, {_sql_differing('a', 'c')} AS ac, {_sql_differing('c', 'a')} AS ca FROM t),
-l AS (SELECT *, {_sql_leaves('a')} AS la, {_sql_leaves('b')} AS lb, {_sql_leaves('c')} AS lc,
-  {_sql_leaves("array_to_string(ab, '')")} AS lab, {_sql_leaves("array_to_string(ba, '')")} AS lba,
-  {_sql_leaves("array_to_string(ac, '')")} AS lac, {_sql_leaves("array_to_string(ca, '')")} AS lca FROM p)
-SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
-  {_sql_root('text')} || ':' || a AS fingerprint, {_sql_root('edited')} || ':' || b AS edited_fingerprint,
-  CASE WHEN text = edited THEN 1.0 ELSE 1.0 - (len(lab) + len(lba) - 2 * len(list_intersect(lab, lba))) / greatest(len(la) + len(lb), 1) END::DOUBLE AS near_edited,
-  CASE WHEN text = next_text THEN 1.0 ELSE 1.0 - (len(lac) + len(lca) - 2 * len(list_intersect(lac, lca))) / greatest(len(la) + len(lc), 1) END::DOUBLE AS near_next,
-  len(ba)::BIGINT AS n_changed
+t AS (SELECT *, {_sql_sections('text')} AS a, {_sql_sections('edited')} AS b, {_sql_sections('next_text')} AS c FROM e),
+p AS (SELECT *, {_sql_differing('a', 'b')} AS ab, {_sql_differing('b', 'a')} AS ba, {_sql_differing('a', 'c')} AS ac, {_sql_differing('c', 'a')} AS ca, {_sql_start('a', 'b')} AS s0 FROM t),
+l AS (SELECT *, {_sql_pieces(_sql_inner('a'))} AS la, {_sql_pieces(_sql_inner('b'))} AS lb, {_sql_pieces(_sql_inner('c'))} AS lc,
+  {_sql_pieces('ab')} AS lab, {_sql_pieces('ba')} AS lba, {_sql_pieces('ac')} AS lac, {_sql_pieces('ca')} AS lca,
+  coalesce(a[s0 + 1].p, []) AS pa, coalesce(b[s0 + 1].p, []) AS pb FROM p)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_sql_print('a')} AS fingerprint, {_sql_print('b')} AS edited_fingerprint,
+  CASE WHEN text = edited THEN 1.0 ELSE 1.0 - (len(lab) + len(lba) - 2 * len(list_intersect(lab, lba))) / (len(la) + len(lb)) END::DOUBLE AS near_edited,
+  CASE WHEN text = next_text THEN 1.0 ELSE 1.0 - (len(lac) + len(lca) - 2 * len(list_intersect(lac, lca))) / (len(la) + len(lc)) END::DOUBLE AS near_next,
+  len(ba)::BIGINT AS n_changed,
+  CASE WHEN text <> edited THEN s0 || '.' || ({_sql_start('pb', 'pa')}) END AS changed_at
 FROM l
 """

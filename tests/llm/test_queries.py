@@ -202,7 +202,26 @@ def test_edits_are_located(spark):
     f = {c: merkle.fingerprint(F.col(c)) for c in "abcd"}
     got = df.select(merkle.edit_places(f["b"], f["a"]).alias("there"), merkle.edit_places(f["a"], f["b"]).alias("none"), merkle.likeness(f["a"], f["b"]).alias("ab"), merkle.likeness(f["c"], f["d"]).alias("cd"), merkle.likeness(f["a"], f["a"]).alias("aa")).first()
     assert [tuple(x) for x in got["there"]] == [(0, 1)] and got["none"] == [] and got["aa"] == 1
-    assert got["ab"] == pytest.approx(1 - 1 / 9) and got["cd"] > 0.98
+    assert got["ab"] == pytest.approx(1 - 1 / 9) and got["cd"] > 0.95
+
+
+def test_tree_of_hashes(spark, odd):
+    """Each node's hash follows from its children, as computed here; a changed
+    node shows, and the first change is found from the root down."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for r in odd.select(F.coalesce("text", F.lit("")).alias("t"), merkle.fingerprint(F.col("text")).alias("f")).where(F.length("t") < 10**5).collect():
+        nodes = [[sha(p)[:32] for p in s.split("\n")] for s in r["t"].split("\n\n")]
+        upper = [sha("".join(n))[:32] for n in nodes]
+        root, tree = r["f"].split(":")
+        assert root == sha("".join(upper)) and [s.split("=")[0] for s in tree.split(";")] == upper
+        assert [[p.split(".")[0] for p in s.split("=")[1].split(",")] for s in tree.split(";")] == nodes
+    assert odd.where(merkle.sound(merkle.fingerprint(F.col("text")))).count() == odd.count()
+    cases = [("a\nb\n\nc\nd", "a\nb\n\nc\nx", "1.1"), ("a\nb\n\nc", "a\nb", "1.0"), ("a", "a\nb", "0.1"), ("a\n\nb\n\nc", "a\n\nnew\n\nb\n\nc", "1.0"), ("a", "a", None), ("", "a", "0.0"), ("p\n" * 5000, "p\n" * 4000 + "q\n" * 1000, "0.4000"), ("s\n\n" * 5000, "s\n\n" * 4000 + "q\n\n" * 1000, "4000.0")]
+    df = spark.createDataFrame(cases, "a string, b string, want string").select("want", *(merkle.fingerprint(F.col(c)).alias(c) for c in "ab"))
+    assert df.where(~merkle.first_change(F.col("a"), F.col("b")).eqNullSafe(F.col("want"))).count() == 0
+    assert df.where(~merkle.first_change(F.col("b"), F.col("a")).eqNullSafe(F.col("want"))).count() == 0
+    f = F.col("a")
+    assert df.where(merkle.sound(F.regexp_replace(f, "=[0-9a-f]", "=x"))).isEmpty() and df.where(merkle.sound(F.regexp_replace(f, "^[0-9a-f]", "x"))).isEmpty()
 
 
 @pytest.mark.parametrize("ids", [lambda i: 7, lambda i: None, lambda i: i**3, lambda i: (i % 5) * 10**9 + i])
