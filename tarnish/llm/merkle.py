@@ -42,7 +42,7 @@ from .common import written
 #: and runs at most.
 NODE_DIGITS, PIECE_DIGITS, RUN_ROWS, RUNS = 32, 8, 128, 1 << 16
 #: A piece: up to a blank after one of these characters, or to the end.
-PIECE = r"(?s).*?[eoyEOYаеоиαεοι\p{P}\p{S}] |.+"
+PIECE = r"(?s).*?[eyEYаеαε.;:!?] |.+"
 
 
 def _bound(x: Column, f) -> Column:
