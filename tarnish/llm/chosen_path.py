@@ -280,9 +280,9 @@ def _linked(docs: DataFrame, repeated: bool, threshold: float, recall: float, de
     prepare(docs.sparkSession)
     whole = written(sketches(docs, threshold, runs_for(recall, threshold, depth)), "sketches")
     filled = whole.where("not empty")
-    # a representative is named by a hash of its key
+    # a representative is named by the smallest doc of its key, which no other key has
     classes = filled.groupBy("key").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("starts").alias("starts"))
-    reps = written(classes.withColumn("rep", F.xxhash64("key")), "reps")
+    reps = written(classes.withColumn("rep", F.col("doc")), "reps")
     members = written(leaves(reps, threshold, depth, leaf), "nodes")
     paths = members.groupBy("rep").agg(F.array_sort(F.collect_set(F.shiftright("node", 32).cast("int"))).alias("paths"))  # some nodes a run
     known = narrowed(reps.select("rep", "sketch"), "rep", members, "rep").mapInArrow(packed_rows, "rep long, sketch binary").join(paths, "rep")
