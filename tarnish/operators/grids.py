@@ -10,10 +10,28 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def completed(df: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """``df`` with a row for each cell of the grid that a map lacks, whose
+    other columns are null; cells outside of the grid or without a place go.
+
+    A map's cells are ordered by place and each makes those up to the next
+    one, so only given cells are shuffled, once, by map_id.  A null map_id
+    is a map of empty cells.
+    """
+    height, width = size
+    inside = F.col("map_id").isNotNull() & F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)
+    order = Window.partitionBy("map_id").orderBy("_at")
+    rows = df.withColumn("_at", F.coalesce(F.when(inside, F.col("y") * width + F.col("x")), F.lit(-1)).cast("int"))
+    rows = rows.withColumns({"_to": F.greatest("_at", F.lead("_at", 1, height * width).over(order) - 1), "_from": F.when(F.lag("_at").over(order).isNull(), 0).otherwise(F.greatest("_at", F.lit(0)))})
+    cells = rows.where("_from <= _to").withColumn("_cell", F.explode(F.sequence("_from", "_to")))
+    place = {"y": F.expr(f"_cell div {width}").cast(df.schema["y"].dataType), "x": (F.col("_cell") % width).cast(df.schema["x"].dataType)}
+    return cells.select(*[F.col(c) if c == "map_id" else place.get(c, F.when(F.col("_cell") == F.col("_at"), F.col(c))).alias(c) for c in df.columns])
+
+
 def to_grid(df: DataFrame, width: int, index: str = "idx") -> DataFrame:
     """Row-major places of a flat index."""
     return df.withColumns({"y": F.expr(f"cast({index} div {width} as int)"), "x": F.expr(f"cast({index} % {width} as int)")})
@@ -154,8 +172,7 @@ def pad_square(df: DataFrame, size: tuple[int, int], fill: float = 0.0, value: s
     side = max(size)
     top, left = ((side - s) // 2 for s in size)
     moved = df.withColumns({"y": F.col("y") + top, "x": F.col("x") + left})
-    cells = df.select("map_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(side - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
-    return cells.join(moved, ["map_id", "y", "x"], "left").withColumn(value, F.coalesce(value, F.lit(fill)))
+    return completed(moved, (side, side)).withColumn(value, F.coalesce(value, F.lit(fill)))
 
 
 def patchify(df: DataFrame, p: int, value: str = "value") -> DataFrame:
@@ -170,10 +187,20 @@ def block_average(df: DataFrame, p: int, size: tuple[int, int], value: str = "va
     return whole.groupBy("map_id", F.expr(f"cast(y div {p} as int)").alias("y"), F.expr(f"cast(x div {p} as int)").alias("x")).agg(F.avg(value).alias(value))
 
 
-def overlay(image: DataFrame, heat: DataFrame, mask: DataFrame, alpha: float = 0.5, beta: float = 0.5, paint: float = 255.0) -> DataFrame:
-    """alpha * heat + beta * image, cells whose mask is over 0.5 painted."""
+def overlay(image: DataFrame, heat: DataFrame | Column, mask: DataFrame | Column, alpha: float = 0.5, beta: float = 0.5, paint: float = 255.0) -> DataFrame:
+    """alpha * heat + beta * image, cells whose mask is over 0.5 painted.
+
+    heat (value) and mask (mask) are tables of cells, or columns of
+    ``image``, which need no join.  Tables are joined by sorted partitions:
+    cells made of few rows would be taken for a small table and broadcast.
+    """
     keys = ["map_id", "y", "x"]
-    rows = image.select(*keys, F.col("value").alias("image")).join(heat.select(*keys, F.col("value").alias("heat")), keys).join(mask.select(*keys, "mask"), keys, "left")
+    own = [c.alias(name) for name, c in (("heat", heat), ("mask", mask)) if isinstance(c, Column)]
+    rows = image.select(*keys, F.col("value").alias("image"), *own)
+    if isinstance(heat, DataFrame):
+        rows = rows.join(heat.select(*keys, F.col("value").alias("heat")).hint("merge"), keys)
+    if isinstance(mask, DataFrame):
+        rows = rows.join(mask.select(*keys, "mask").hint("merge"), keys, "left")
     return rows.select(*keys, F.when(F.col("mask") > 0.5, F.lit(paint)).otherwise(alpha * F.col("heat") + beta * F.col("image")).alias("value"))
 
 

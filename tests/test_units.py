@@ -258,3 +258,34 @@ def test_unsettled_regions_are_an_error(spark):
     snake = [(0, 0, x) for x in range(9)] + [(0, 1, 8)] + [(0, 2, x) for x in range(9)]
     with pytest.raises(RuntimeError):
         regions.label_runs(cells(spark, snake), rounds=1)
+
+
+def test_completed_makes_each_missing_cell_once(spark):
+    rows = [(0, 1, 1, 5.0), (0, 1, 1, 6.0), (0, 0, 2, None), (0, 2, 0, 9.0), (1, None, 0, 7.0), (1, -1, 2, 7.0), (None, 0, 0, 8.0)]
+    c = spark.createDataFrame(rows, "map_id int, y int, x int, value double")
+    got = sorted(grids.completed(c, (2, 3)).collect(), key=repr)
+    grid = [(y, x) for y in range(2) for x in range(3)]
+    want = [(0, *p, None) for p in grid if p != (1, 1)] + [(0, 1, 1, 5.0), (0, 1, 1, 6.0)] + [(m, *p, None) for m in (1, None) for p in grid]
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("name", ["m11_overlay", "m6_pad", "a7_pro_curve", "a8_iou_curve"])
+def test_cells_of_few_rows_are_not_broadcast(spark, name):
+    """Cells exploded from few rows look small to the planner."""
+    from tarnish.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+
+
+def test_sweeps_hold_values_between_changes(spark):
+    c = cells(spark, [(0, 0, 0, 4.0, 1), (0, 0, 1, 2.0, 0), (0, 0, 2, 0.0, 1), (1, 0, 0, 0.0, 1), (2, 0, 0, 3.0, 0)], ", score double, gt int")
+    got = metrics.iou_curve(c, steps=4).orderBy("step").collect()
+    # map 0: nothing, one of two marked cells, the same, and a wrong one; map 1 is never found
+    assert [r["iou"] for r in got] == pytest.approx([0.0, 0.25, 0.25, 1 / 6]) and [r["iou_std"] for r in got] == pytest.approx([0.0, 0.25, 0.25, 1 / 6])
+
+
+def test_overlay_of_tables_and_columns(spark):
+    c = cells(spark, [(0, 0, 0, 4.0, 1), (0, 0, 1, 2.0, 0)], ", value double, gt int")
+    got = [sorted(grids.overlay(c, *more).collect()) for more in ((F.col("value") * 2, F.col("gt")), (c.withColumn("value", F.col("value") * 2), c.withColumn("mask", F.col("gt"))))]
+    assert got[0] == got[1] == [(0, 0, 0, 255.0), (0, 0, 1, 3.0)]
