@@ -171,12 +171,26 @@ def fpr_curve(cells: DataFrame, steps: int = 200, score: str = "score", label: s
 def iou_curve(cells: DataFrame, map_id: str = "map_id", steps: int = 200, score: str = "score", label: str = "gt") -> DataFrame:
     """Mean and deviation over maps with a mask of intersection over union."""
     c = first_step(cells.select(map_id, F.col(score).alias("score"), F.col(label).alias("gt")), [], steps)
-    per = c.groupBy(map_id, "step").agg(F.count("*").alias("pred"), F.sum("gt").alias("both"))
-    masks = c.groupBy(map_id).agg(F.sum("gt").alias("mask")).where("mask > 0")
-    grid = masks.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    up = Window.partitionBy(map_id).orderBy("step")
-    r = grid.join(per, [map_id, "step"], "left").withColumns({"pred": F.sum(F.coalesce("pred", F.lit(0))).over(up), "both": F.sum(F.coalesce("both", F.lit(0))).over(up)})
-    return r.groupBy("step").agg(F.avg(F.col("both") / (F.col("pred") + F.col("mask") - F.col("both"))).alias("iou"), F.stddev_pop(F.col("both") / (F.col("pred") + F.col("mask") - F.col("both"))).alias("iou_std"))
+    per = c.groupBy(map_id, F.coalesce("step", F.lit(steps)).alias("step")).agg(F.count("*").alias("pred"), F.sum("gt").alias("both"))
+    up, whole = Window.partitionBy(map_id).orderBy("step"), Window.partitionBy(map_id)
+    r = per.withColumns({"pred": F.sum("pred").over(up), "both": F.sum("both").over(up), "mask": F.sum("both").over(whole)}).where("mask > 0")
+    return _swept(r, up, F.col("both") / (F.col("pred") + F.col("mask") - F.col("both")), steps, "iou", "iou_std")
+
+
+def _swept(df: DataFrame, up, value: Column, steps: int, mean: str, deviation: str) -> DataFrame:
+    """Mean and deviation of ``value`` at every step of the sweep, from rows
+    of the steps at which a group's value changes; it is zero before the
+    first of them.  Rows of step ``steps`` only stand for groups that may
+    have no others.  Equal stretches of equal values are counted before they
+    are laid out by step, so a group costs its changes, not all steps."""
+    df = df.withColumns({"_until": F.lead("step", 1, steps).over(up), "_first": F.lag("step").over(up).isNull(), "_value": value})
+    own = F.struct(F.col("step").alias("at"), F.col("_until").alias("until"), F.col("_value").alias("value"))
+    before = F.when(F.col("_first"), F.struct(F.lit(0).alias("at"), F.col("step").alias("until"), F.lit(0.0).alias("value")))
+    parts = df.select(F.inline(F.array_compact(F.array(before, own)))).where("at < until").groupBy("at", "until", "value").agg(F.count("*").alias("n"))
+    r = parts.select(F.explode(F.sequence("at", F.col("until") - 1)).alias("step"), "value", "n").groupBy("step", "value").agg(F.sum("n").alias("n"))
+    one = Window.partitionBy("step")  # a row for each distinct value
+    r = r.withColumn("_mean", F.sum(F.col("n") * F.col("value")).over(one) / F.sum("n").over(one))
+    return r.groupBy("step").agg(F.max("_mean").alias(mean), F.sqrt(F.sum(F.col("n") * F.pow(F.col("value") - F.col("_mean"), 2)) / F.sum("n")).alias(deviation))
 
 
 def pro_curve(cells: DataFrame, regions: DataFrame, map_id: str = "map_id", steps: int = 200, score: str = "score") -> DataFrame:
@@ -186,13 +200,11 @@ def pro_curve(cells: DataFrame, regions: DataFrame, map_id: str = "map_id", step
     regions and the area without the filling, so a value may exceed 1.
     """
     c = first_step(cells.select(map_id, "y", "x", F.col(score).alias("score")), [], steps)
-    hit = c.join(regions, [map_id, "y", "x"])
-    per = hit.groupBy(map_id, "region", "step").agg(F.count("*").alias("n"))
-    sizes = regions.groupBy(map_id, "region").agg(F.max("area").alias("area"))
-    grid = sizes.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    # by sorted partitions: cells made of runs would be taken for a small table
+    hit = regions.select(map_id, "y", "x", "region", "area").join(c.where("step is not null").hint("merge"), [map_id, "y", "x"], "left")
+    per = hit.groupBy(map_id, "region", F.coalesce("step", F.lit(steps)).alias("step")).agg(F.count("*").alias("n"), F.max("area").alias("area"))
     up = Window.partitionBy(map_id, "region").orderBy("step")
-    r = grid.join(per, [map_id, "region", "step"], "left").withColumn("cover", F.sum(F.coalesce("n", F.lit(0))).over(up) / F.col("area"))
-    return r.groupBy("step").agg(F.avg("cover").alias("pro"), F.stddev_pop("cover").alias("pro_std"))
+    return _swept(per.withColumn("n", F.sum("n").over(up)), up, F.col("n") / F.col("area"), steps, "pro", "pro_std")
 
 
 def pro_auc(pro: DataFrame, fpr: DataFrame, limit: float = 0.3) -> DataFrame:
