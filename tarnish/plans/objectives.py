@@ -22,12 +22,12 @@ def _with_protos(spark, sf_dir):
 
 @query(PROTOS + " SELECT round(avg(greatest(0, (2 - 2 * list_dot_product(n, a)) - (2 - 2 * list_dot_product(n, b)) + 0.1)), 6) AS loss FROM u, k")
 def l1_triplet_loss(spark, sf_dir):
-    return O.triplet_loss(_with_protos(spark, sf_dir), F.col("a"), F.col("b"), 0.1, "n").select(F.round("loss", 6).alias("loss"))
+    return O.triplet_loss(_with_protos(spark, sf_dir), F.col("a"), F.col("b"), 0.1, "n").select(V.rounded("loss", 6).alias("loss"))
 
 
 @query(PROTOS + " SELECT round(avg(ln(exp(10 * list_dot_product(n, a)) + list_sum(list_transform(negs, lambda g: exp(10 * list_dot_product(n, g))))) - 10 * list_dot_product(n, a)), 6) AS loss FROM u, k")
 def l2_contrast_ce(spark, sf_dir):
-    return O.contrast_ce(_with_protos(spark, sf_dir), F.col("a"), F.col("negs"), 10.0, "n").select(F.round("loss", 6).alias("loss"))
+    return O.contrast_ce(_with_protos(spark, sf_dir), F.col("a"), F.col("negs"), 10.0, "n").select(V.rounded("loss", 6).alias("loss"))
 
 
 @query(BASE + ", m AS (SELECT label % 2 AS half, i, avg(n[i]) AS y FROM u, range(1, 65) t(i) GROUP BY 1, 2) SELECT round(sum((a.y - b.y) ** 2), 6) AS alignment, round(1 + 0.001 * sum((a.y - b.y) ** 2), 6) AS total FROM m a JOIN m b USING (i) WHERE a.half = 0 AND b.half = 1")
@@ -35,7 +35,7 @@ def l3_l4_alignment_and_total(spark, sf_dir):
     m = O.prototype(_rows(spark, sf_dir).withColumn("half", F.col("label") % 2), ["half"], "v", pre_normalize=True)
     both = m.where("half = 0").select(F.col("v").alias("a")).join(m.where("half = 1").select(F.col("v").alias("b")))  # one row each
     d = V.alignment_loss(F.col("a"), F.col("b"))
-    return both.select(F.round(d, 6).alias("alignment"), F.round(V.total_loss(F.lit(1), d), 6).alias("total"))
+    return both.select(V.rounded(d, 6).alias("alignment"), V.rounded(V.total_loss(F.lit(1), d), 6).alias("total"))
 
 
 PAIRS = BASE + ", b AS (SELECT vec_id // 20 AS batch, vec_id % 20 AS row, n AS va, list_reverse(n) AS vb FROM u), c AS (SELECT x.batch, x.row AS i, y.row AS j, 5 * list_dot_product(x.va, y.vb) AS s FROM b x JOIN b y USING (batch))"
@@ -48,20 +48,20 @@ def _pairs(spark, sf_dir):
 
 @query(PAIRS + ", l AS (SELECT i, j, s, ln(sum(exp(s)) OVER (PARTITION BY batch, i)) AS li, ln(sum(exp(s)) OVER (PARTITION BY batch, j)) AS lj FROM c) SELECT round((avg(li - s) + avg(lj - s)) / 2, 6) AS loss FROM l WHERE i = j")
 def l5_contrastive_loss(spark, sf_dir):
-    return O.clip_loss(_pairs(spark, sf_dir), 5.0).select(F.round("loss", 6).alias("loss"))
+    return O.clip_loss(_pairs(spark, sf_dir), 5.0).select(V.rounded("loss", 6).alias("loss"))
 
 
 @query(BASE + ", r AS (SELECT vec_id, label, i, exp(2 * v[i]) / sum(exp(2 * v[i])) OVER (PARTITION BY vec_id) AS p, 2 * v[65 - i] - ln(sum(exp(2 * v[65 - i])) OVER (PARTITION BY vec_id)) AS q FROM u, range(1, 65) t(i)), x AS (SELECT vec_id, label, -sum(p * q) AS loss FROM r GROUP BY 1, 2) SELECT label, round(avg(loss), 6) AS loss FROM x GROUP BY label")
 def l6_distillation(spark, sf_dir):
     rows = _rows(spark, sf_dir).select("label", F.col("v").alias("teacher"), F.reverse("v").alias("student"))
-    return O.distill_loss(rows, 2.0, ["label"]).select("label", F.round("loss", 6).alias("loss"))
+    return O.distill_loss(rows, 2.0, ["label"]).select("label", V.rounded("loss", 6).alias("loss"))
 
 
 @query(BASE + ", r AS (SELECT vec_id, label, i - 1 AS token, v[i] AS logit, ln(sum(exp(v[i])) OVER (PARTITION BY vec_id)) AS lse FROM u, range(1, 65) t(i)) SELECT round(avg(lse - logit), 6) AS loss FROM r WHERE token = label AND label <> 0")
 def l7_token_ce(spark, sf_dir):
     rows = _rows(spark, sf_dir).withColumns({"seq": F.col("vec_id"), "pos": F.lit(0)})
     logits = rows.select("seq", "pos", F.posexplode("v").alias("token", "logit"))
-    return O.token_ce(logits, rows.select("seq", "pos", "label"), 0).select(F.round("loss", 6).alias("loss"))
+    return O.token_ce(logits, rows.select("seq", "pos", "label"), 0).select(V.rounded("loss", 6).alias("loss"))
 
 
 @query()
@@ -87,4 +87,4 @@ def l9_rate_schedule(spark, sf_dir):
     """Rates of a tuning of the classes in ``embeddings``."""
     some = table(spark, sf_dir, "embeddings").select("label").limit(1).select()
     both = tuning.lr_schedule(spark, "cosine", 100).withColumnRenamed("rate", "cosine").join(tuning.lr_schedule(spark, "exponential", 100).withColumnRenamed("rate", "exponential"), "epoch")
-    return both.join(F.broadcast(some)).select("epoch", F.round("cosine", 9).alias("cosine"), F.round("exponential", 9).alias("exponential"))
+    return both.join(F.broadcast(some)).select("epoch", V.rounded("cosine", 9).alias("cosine"), V.rounded("exponential", 9).alias("exponential"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.vectors import rounded
 from ..operators import prepare as P
 from ..operators import prompts, selection
 from ..sources.files import json_has_keys, verify_checksums
@@ -105,7 +106,7 @@ SELECT event_id, list_transform(s, lambda x: round(x, 6)) AS standard FROM s""")
 def p11_standardize(spark, sf_dir):
     v = F.array(*[F.col("value") * k % 256 for k in (1, 3, 7)])
     s = P.standardize(v, [0.48, 0.46, 0.41], [0.27, 0.26, 0.28])
-    return table(spark, sf_dir, "events").select("event_id", F.transform(s, lambda x: F.round(x, 6)).alias("standard"))
+    return table(spark, sf_dir, "events").select("event_id", F.transform(s, lambda x: rounded(x, 6)).alias("standard"))
 
 
 #: HTML entities that the oracle resolves; the texts have no others.

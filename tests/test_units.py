@@ -289,3 +289,14 @@ def test_overlay_of_tables_and_columns(spark):
     c = cells(spark, [(0, 0, 0, 4.0, 1), (0, 0, 1, 2.0, 0)], ", value double, gt int")
     got = [sorted(grids.overlay(c, *more).collect()) for more in ((F.col("value") * 2, F.col("gt")), (c.withColumn("value", F.col("value") * 2), c.withColumn("mask", F.col("gt"))))]
     assert got[0] == got[1] == [(0, 0, 0, 255.0), (0, 0, 1, 3.0)]
+
+
+def test_rounded_is_that_of_sql(spark):
+    """Also the sign of zero, and halves of the scaled double."""
+    import duckdb
+
+    values = [-1e-9, -0.0, 0.0, 1e-9, -0.4999996, 2.5e-6, -2.5e-6, 1.0000005, 0.1234565, -7.0000015, 1.005, 123456.7890125, None, float("inf"), *np.random.default_rng(5).normal(size=200).round(7).tolist()]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r["r"] for r in df.select("i", V.rounded("v", 6).alias("r")).orderBy("i").collect()]
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchall()[0][0] for v in values]
+    assert [str(x) for x in got] == [str(x) for x in want]
