@@ -72,12 +72,22 @@ def hashed_encoder(dim: int = 64, seed: int = 3) -> Callable:
         import numpy as np
 
         turn = np.random.default_rng(seed).standard_normal((1024, dim)).astype(np.float32)
+        known: dict[int, int] = {}  # the place of a trigram
+
+        def place(code):
+            if (got := known.get(code)) is None:
+                if len(known) >= 1 << 20:
+                    known.clear()
+                got = known[code] = zlib.crc32("".join(chr(code >> k & 0x1FFFFF) for k in (0, 21, 42)).encode()) % 1024
+            return got
 
         def predict(texts):
             counts = np.zeros((len(texts), 1024), dtype=np.float32)
             for i, t in enumerate(texts):
-                for k in range(max(0, len(t or "") - 2)):
-                    counts[i, zlib.crc32(t[k : k + 3].encode()) % 1024] += 1
+                for at in range(0, max(0, len(t or "") - 2), 1 << 20):
+                    c = np.frombuffer(t[at : at + (1 << 20) + 2].encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+                    codes, n = np.unique(c[:-2] | c[1:-1] << 21 | c[2:] << 42, return_counts=True)
+                    np.add.at(counts[i], [place(x) for x in codes.tolist()], n)
             return counts @ turn
 
         return predict

@@ -300,3 +300,13 @@ def test_rounded_is_that_of_sql(spark):
     got = [r["r"] for r in df.select("i", V.rounded("v", 6).alias("r")).orderBy("i").collect()]
     want = [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchall()[0][0] for v in values]
     assert [str(x) for x in got] == [str(x) for x in want]
+
+
+def test_hashed_encoder_counts_each_trigram():
+    texts = ["", None, "ab", "abcabcabc", "na\u00efve \U0001f600\U0001f600\U0001f600 x", "word " * 300]
+    turn = np.random.default_rng(3).standard_normal((1024, 8)).astype(np.float32)
+    want = np.zeros((len(texts), 1024), dtype=np.float32)
+    for i, t in enumerate(texts):
+        for k in range(max(0, len(t or "") - 2)):
+            want[i, zlib.crc32(t[k : k + 3].encode()) % 1024] += 1
+    assert np.array_equal(scoring.hashed_encoder(8)()(texts), want @ turn)
