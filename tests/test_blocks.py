@@ -159,3 +159,10 @@ def test_bootstrap_draws_exactly_n(spark):
     counts = np.bincount(again(3), minlength=50)  # 100 each; chi-square of 49 degrees
     assert ((counts - 100) ** 2 / 100).sum() < 95
     assert metrics.bootstrap(df.where("false"), 10, 1).count() == 0
+
+
+def test_products_are_taken_in_strips_of_bounded_size():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(1500, 4)), rng.normal(size=(3000, 4))
+    parts = list(blocks._strips(x, y))
+    assert max(p.size for p in parts) <= blocks.CELLS and np.allclose(np.concatenate(parts), x @ y.T)
