@@ -189,3 +189,25 @@ def test_toxicity_of_odd_rows(spark):
     assert {x.doc_id for x in out if x.held_out} == {k for k in [*range(40), 50, 51] if zlib.crc32(str(k).encode()) % 3 == 1}
     assert toxicity.scores(docs.where("false"), labels).count() == 0
     assert {x.score for x in toxicity.scores(docs, labels.where("false")).collect()} == {0.0}
+
+
+def test_toxicity_learns_from_all_labels(spark):
+    """What is toxic only in documents beyond those that weights start from."""
+    r = random.Random(8)
+    ids = spark.range(10_000).selectExpr("id as doc_id", "xxhash64(id) as h").collect()
+    train_ids = sorted((x.h, x.doc_id) for x in ids if zlib.crc32(str(x.doc_id).encode()) % 3 != 1)
+    toxic = [d for k, (_, d) in enumerate(train_ids) if k % 2]
+    late = {*toxic[toxicity.SAMPLE_DOCS + 100 :]}
+    assert len(late) > 1000
+    rows = []
+    for x in ids:
+        words = [f"w{r.randrange(300)}" for _ in range(r.randint(3, 12))]
+        if x.doc_id in toxic:
+            words.insert(r.randrange(len(words)), "zorgish" if x.doc_id in late else "vileword")
+        rows.append((x.doc_id, " ".join(words), "en"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(x.doc_id, int(x.doc_id in toxic)) for x in ids], "doc_id long, toxic int")
+    m = toxicity.fit(docs, labels)
+    assert m.score("w5 zorgish w6 w7") >= 0.7 > m.score("w5 w6 w7 w8") and m.score("w5 vileword w6") >= 0.7
+    again = toxicity.fit(docs.repartition(7), labels)
+    assert again.score("w5 zorgish w6 w7") == m.score("w5 zorgish w6 w7") and (again.table == m.table).all()
