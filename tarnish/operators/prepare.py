@@ -138,22 +138,30 @@ def read_subword_tables(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     return merges, spark.createDataFrame([(i, t) for t, i in model["vocab"].items()], "id int, token string")
 
 
-def subword_encode(words: DataFrame, merges: DataFrame, vocab: DataFrame, key: str, word: str, as_bytes: bool = False) -> DataFrame:
-    """Ids of the words of each key, in order of ``pos``.
-
-    merges: (rank, first, second); vocab: (id, token).  Each distinct word is
-    merged once, in tasks that hold the merge table, and joined back.  The
-    pairs of a word wait in a heap and its symbols in a linked list, so a
-    word takes time in proportion to its length (times a logarithm).
-    ``as_bytes``: symbols are UTF-8 bytes, each shown as a printable letter,
-    as byte-level tables have them; otherwise letters.  Symbols that the
-    vocabulary lacks have id -1.
+#: Words whose ids a task keeps.
+MEMO = 1 << 18
+
+
+def subword_lists(df: DataFrame, merges: DataFrame, vocab: DataFrame, words: str, as_bytes: bool = False) -> DataFrame:
+    """``df`` with ``ids`` instead of ``words``, an array of words: the
+    subword ids of a row's words in their order, none for a null array.
+    Null and empty words have none.
+
+    merges: (rank, first, second); vocab: (id, token).  Rows stay where they
+    are; a word is merged once for each batch, and once for many batches
+    while it is among a task's ``MEMO`` words.  The pairs of a word wait in a
+    heap and its symbols in a linked list, so a word takes time in proportion
+    to its length (times a logarithm).  ``as_bytes``: symbols are UTF-8
+    bytes, each shown as a printable letter, as byte-level tables have them;
+    otherwise letters.  Symbols that the vocabulary lacks have id -1.
     """
-    import pandas as pd
+    import numpy as np
+    import pyarrow as pa
 
     rank = {(r["first"], r["second"]): r["rank"] for r in merges.collect()}  # a tokenizer's tables: at most some 10**5 rows
     ids = {r["token"]: r["id"] for r in vocab.collect()}
-    shared = words.sparkSession.sparkContext.broadcast((rank, ids))
+    shared = df.sparkSession.sparkContext.broadcast((rank, ids))
+    others = [c for c in df.columns if c != words]
 
     def merged(symbols, rank):
         from heapq import heapify, heappop, heappush
@@ -176,23 +184,48 @@ def subword_encode(words: DataFrame, merges: DataFrame, vocab: DataFrame, key: s
                     heappush(heap, (r, left, pair))
         return [s for s in symbols if s is not None]
 
-    def merge(batches):
+    def encode(batches):
         rank, ids = shared.value
-        shown, free = {}, 256
+        shown, free, known = {}, 256, {}
         for byte in range(256):  # bytes without a visible letter take those from 256 on
             visible = 33 <= byte <= 126 or 161 <= byte <= 172 or byte >= 174
             shown[byte], free = (chr(byte), free) if visible else (chr(free), free + 1)
         for b in batches:
-            out = []
-            for w in b["word"]:
-                s = [shown[x] for x in w.encode()] if as_bytes else list(w)
-                s[-1] += "</w>"
-                out.append([ids.get(t, -1) for t in merged(s, rank)])
-            yield pd.DataFrame({"word": b["word"], "ids": out})
-
-    coded = words.select(F.col(word).alias("word")).where("word <> ''").distinct().mapInPandas(merge, "word string, ids array<int>")
-    rows = words.select(key, "pos", F.col(word).alias("word")).join(coded, "word")
-    return rows.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda s: s["ids"])).alias("ids"))
+            lists = b.column(words)
+            sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+            coded = lists.flatten().dictionary_encode("encode")
+            found = []
+            for w in coded.dictionary.to_pylist():
+                got = known.get(w)
+                if got is None:
+                    s = ([shown[x] for x in w.encode()] if as_bytes else list(w)) if w else []
+                    if s:
+                        s[-1] += "</w>"
+                    got = np.array([ids.get(t, -1) for t in merged(s, rank)], dtype=np.int32)
+                    if len(known) >= MEMO:
+                        known.clear()
+                    known[w] = got
+                found.append(got)
+            lengths = np.array([len(x) for x in found], dtype=np.int64)
+            at = np.asarray(coded.indices)
+            n = lengths[at] if len(at) else np.empty(0, dtype=np.int64)
+            starts, ends = (np.cumsum(lengths) - lengths)[at] if len(at) else n, np.cumsum(n)
+            place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - starts, n)
+            flat = np.concatenate([*found, np.empty(0, np.int32)])[place]
+            offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+            made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), made], names=[*others, "ids"])
+
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others]
+    return df.select(*others, words).mapInArrow(encode, ", ".join([*kinds, "ids array<int>"]))
+
+
+def subword_encode(words: DataFrame, merges: DataFrame, vocab: DataFrame, key: str, word: str, as_bytes: bool = False) -> DataFrame:
+    """Ids of the words of each key, in order of ``pos``, as ``subword_lists``
+    makes them.  Keys without a word that is neither null nor empty go."""
+    own = F.array_sort(F.collect_list(F.struct("pos", F.col(word).alias("word"))))
+    lists = words.where(F.col(word) != "").groupBy(key).agg(F.transform(own, lambda s: s["word"]).alias("_words"))
+    return subword_lists(lists, merges, vocab, "_words", as_bytes)
 
 
 def ids_to_text(df: DataFrame, vocab: DataFrame, key: str, ids: str) -> DataFrame:

@@ -134,11 +134,10 @@ def p14_subword_encode(spark, sf_dir, tokenizer="/opt/tokenizers/word_bpe_49k.js
     """Subword ids of every document (null and empty ones have none), with
     the merges of a public tokenizer file."""
     docs = table(spark, sf_dir, "documents")
-    d = docs.select("doc_id", F.posexplode(P.pretokenize(P.clean_text(F.col("text")))).alias("pos", "word"))
+    d = docs.select("doc_id", P.pretokenize(P.clean_text(F.col("text"))).alias("words"))
     merges, vocab = P.read_subword_tables(spark, tokenizer)
-    coded = P.subword_encode(d, merges, vocab, "doc_id", "word", as_bytes=True)
-    ids = F.coalesce("ids", F.expr("cast(array() as array<int>)"))
-    return docs.select("doc_id").join(coded, "doc_id", "left").select("doc_id", F.size(ids).alias("n_ids"), F.sha2(F.array_join(ids, " "), 256).alias("ids_sha256"))
+    coded = P.subword_lists(d, merges, vocab, "words", as_bytes=True)
+    return coded.select("doc_id", F.size("ids").alias("n_ids"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
 
 
 @query("SELECT doc_id, trim(replace(array_to_string(list(token ORDER BY pos), ''), '</w>', ' ')) AS text FROM (SELECT doc_id, unnest([doc_id % 25, doc_id % 7, doc_id % 13]) AS id, unnest([0, 1, 2]) AS pos FROM documents) JOIN (SELECT n_nationkey AS id, lower(n_name) || '</w>' AS token FROM nation) USING (id) GROUP BY doc_id")

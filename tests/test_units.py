@@ -80,6 +80,21 @@ def test_subwords(spark):
     assert row["ids"] == [3, 2]  # a b a b_ -> ab a b_ -> ab ab_ -> abab_
 
 
+def test_subwords_of_lists(spark, monkeypatch):
+    """A row's words meet no other row's: no shuffle, however common a word;
+    odd rows and a full memo."""
+    monkeypatch.setattr(prepare, "MEMO", 1)
+    merges = spark.createDataFrame([(0, "a", "b"), (1, "ab", "ab</w>"), (2, "a", "b</w>")], "rank int, first string, second string")
+    vocab = spark.createDataFrame([(0, "ab"), (1, "ab</w>"), (2, "b</w>"), (3, "abab</w>")], "id int, token string")
+    rows = [(1, ["abab", "b", "abab"]), (2, None), (3, []), (4, ["", None, "x", "b"]), (1, ["b"])]
+    out = prepare.subword_lists(spark.createDataFrame(rows, "k int, w array<string>"), merges, vocab, "w")
+    assert [tuple(x) for x in out.collect()] == [(1, [3, 2, 3]), (2, []), (3, []), (4, [-1, 2]), (1, [2])]
+    from tarnish.plans import registry
+
+    plan = registry.QUERIES["p14_subword_encode"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_tuning_lowers_loss(spark):
     rng = np.random.default_rng(1)
     rows = [(rng.normal(c, 0.3, 4).tolist(), c) for c in (0, 1) for _ in range(30)]
