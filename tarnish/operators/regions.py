@@ -109,26 +109,29 @@ def region_f1(cells: DataFrame, steps: int = 200, iou: float = 0.6, score: str =
     the intersection over union of all cells is ``iou`` or more; the matched
     predictions are the numerator of recall and of precision.
 
-    A map is one group: its cells join by falling threshold, so each step's
-    regions grow out of the last one's, and counts in a box are four reads
-    of a table of sums.  Steps at which a map gains no cell repeat its last
-    counts.
+    A map is folded whole: its cells join by falling threshold, so each
+    step's regions grow out of the last one's, and counts in a box are four
+    reads of a table of sums.  A task adds up what its maps' counts change
+    by at each step, and gives one row a step.
     """
     from .metrics import first_step
 
     c = first_step(cells.select("map_id", "y", "x", F.col(score).alias("score"), "gt"), [], steps)
     c = c.where("step is not null or gt = 1").select("map_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.coalesce("step", F.lit(steps)).cast("int").alias("step"), F.col("gt").cast("int").alias("gt"))
-    counts = _cut(c.groupBy("map_id").applyInArrow(_matches(steps, iou), "t int, made long, matched long"))
+    dealt = c.repartition("map_id").sortWithinPartitions("map_id")
+    counts = _cut(dealt.mapInArrow(_matches(steps, iou), "t int, made long, matched long").groupBy("t").agg(F.sum("made").alias("made"), F.sum("matched").alias("matched")))  # a row for each step
     real = counts.where("t < 0").agg(F.coalesce(F.sum("made"), F.lit(0)).alias("real"))  # one row
-    r = counts.where("t >= 0").groupBy("t").agg(F.sum("made").alias("made"), F.sum("matched").alias("matched")).where("made > 0").crossJoin(F.broadcast(real))
+    up = Window.orderBy("t")  # one row a step
+    r = counts.where("t >= 0").select("t", F.sum("made").over(up).alias("made"), F.sum("matched").over(up).alias("matched")).where("made > 0").crossJoin(F.broadcast(real))
     r = r.select("t", F.try_divide("matched", "real").alias("recall"), F.try_divide("matched", "made").alias("precision"))
     r = r.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("recall") * F.col("precision"), F.col("recall") + F.col("precision")), F.lit(0.0)))
     return r.orderBy(F.desc(F.round("f1", 12)), "t").limit(1).select("f1", "recall", "precision")
 
 
 def _matches(steps: int, iou: float):
-    """Of a map's cells (y, x, step, gt): rows (t, made, matched) for each
-    step, and (-1, true regions, 0)."""
+    """Of cells (map_id, y, x, step, gt) that arrive by map: rows (t, made,
+    matched), what the counts of all maps change by at each step, and (-1,
+    true regions, 0)."""
 
     def grown(groups, width):
         """Boxes of the connected regions after each group of cells."""
@@ -149,11 +152,11 @@ def _matches(steps: int, iou: float):
                         box[b] = (min(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), max(p[3], q[3]))
             yield list(box.values())
 
-    def fold(table):
+    def fold(y, x, step, gt):
+        """A map's number of true regions, steps at which its cells change,
+        and regions made and matched from there on."""
         import numpy as np
-        import pyarrow as pa
 
-        y, x, step, gt = (np.asarray(table.column(k)).astype(np.int64) for k in ("y", "x", "step", "gt"))
         y, x = y - y.min() + 1, x - x.min() + 1  # a free margin: no region wraps around a row
         shape = (int(y.max()) + 2, int(x.max()) + 2)
         first, truth = np.full(shape, steps), np.zeros(shape, dtype=bool)
@@ -163,22 +166,62 @@ def _matches(steps: int, iou: float):
         flat = first.ravel()
         order = np.argsort(flat, kind="stable")[: int((flat < steps).sum())]
         changes, at = np.unique(flat[order], return_index=True)
+        made, good = np.zeros(len(changes), dtype=np.int64), np.zeros(len(changes), dtype=np.int64)
+        several = max(1, (1 << 20) // flat.size)  # steps at a time
+        wide = shape[1] + 1
+        groups = grown((g.tolist() for g in np.split(order, at[1:])), shape[1])
+        for k in range(0, len(changes), several):
+            now = changes[k : k + several]
+            held = [next(groups) for _ in now]
+            made[k : k + len(now)] = [len(h) for h in held]
+            if not len(true):
+                continue
+            on = first <= now[:, None, None]
+
+            def sums(mask, n=len(now)):
+                out = np.zeros((n, shape[0] + 1, wide), dtype=np.int32 if flat.size < 1 << 31 else np.int64)
+                mask.cumsum(1, dtype=out.dtype).cumsum(2, dtype=out.dtype, out=out[:, 1:, 1:])
+                return out.ravel()
+
+            both, either = sums(on & truth), sums(on | truth)
+            of, boxes = np.repeat(np.arange(len(now)), made[k : k + len(now)]), np.array([box for h in held for box in h])
+            for j in range(0, len(boxes), 4096):
+                b, s = boxes[j : j + 4096, None, :], of[j : j + 4096, None]
+                top, left = s * (shape[0] + 1) * wide + np.minimum(b[..., 0], true[:, 0]) * wide, np.minimum(b[..., 1], true[:, 1])
+                low, right = s * (shape[0] + 1) * wide + np.maximum(b[..., 2], true[:, 2]) * wide, np.maximum(b[..., 3], true[:, 3])
+                corners = low + right, top + right, low + left, top + left
+                within = lambda a: a.take(corners[0]) - a.take(corners[1]) - a.take(corners[2]) + a.take(corners[3])  # noqa: B023, E731
+                hit = (within(both) >= iou * within(either)).any(1)
+                good[k : k + len(now)] += np.bincount(of[j : j + 4096][hit], minlength=len(now))
+        return len(true), changes, made, good
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-        def sums(mask):
-            out = np.zeros((shape[0] + 1, shape[1] + 1), dtype=np.int64)
-            out[1:, 1:] = mask.cumsum(0).cumsum(1)
-            return out
-
-        made, matched = np.zeros(steps, dtype=np.int64), np.zeros(steps, dtype=np.int64)
-        for t, boxes in zip(changes.tolist(), grown((g.tolist() for g in np.split(order, at[1:])), shape[1]), strict=True):
-            both, either = sums((first <= t) & truth), sums((first <= t) | truth)
-            good, boxes = 0, np.array(boxes)
-            for k in range(0, len(boxes) if len(true) else 0, 4096):
-                b = boxes[k : k + 4096, None, :]
-                y0, x0, y1, x1 = np.minimum(b[..., 0], true[:, 0]), np.minimum(b[..., 1], true[:, 1]), np.maximum(b[..., 2], true[:, 2]), np.maximum(b[..., 3], true[:, 3])
-                within = lambda s: s[y1, x1] - s[y0, x1] - s[y1, x0] + s[y0, x0]  # noqa: B023, E731
-                good += int((within(both) >= iou * within(either)).any(1).sum())
-            made[t:], matched[t:] = len(boxes), good
-        return pa.table({"t": pa.array(np.arange(-1, steps), pa.int32()), "made": np.r_[len(true), made], "matched": np.r_[0, matched]})
-
-    return fold
+        real, total, held, last = 0, np.zeros((2, steps), dtype=np.int64), [], None
+
+        def add():
+            nonlocal real
+            n, changes, made, good = fold(*(np.concatenate(v) for v in zip(*held, strict=True)))
+            real += n
+            for row, v in zip(total, (made, good), strict=True):
+                row[changes] += np.diff(v, prepend=0)
+
+        for batch in batches:
+            ids = batch.column("map_id").to_pylist()
+            cells = [batch.column(k).to_numpy().astype(np.int64) for k in ("y", "x", "step", "gt")]
+            starts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
+            for a, b in zip(starts, starts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and ids[a] != last:
+                    add()
+                    held.clear()
+                held.append([v[a:b] for v in cells])
+                last = ids[a]
+        if held:
+            add()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, steps), pa.int32()), pa.array(np.r_[real, total[0]]), pa.array(np.r_[0, total[1]])], names=["t", "made", "matched"])
+
+    return run
