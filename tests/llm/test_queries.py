@@ -353,6 +353,35 @@ def test_passages_behind_their_sentences(spark, between):
     assert sum(len(got[pair]) >= 115 for pair in pairs) >= 0.95 * len(pairs)
 
 
+def test_passages_behind_many_parts(spark):
+    """Each sentence of a passage stands alone in more documents between its
+    two than a window is linked to."""
+    rows, pairs = [], []
+    for n in range(20):
+        lines = [[f"s{n}x{k}w{i}" for i in range(40)] for k in range(3)]
+        fill = lambda tag, n=n: [f"{tag}{n}f{i}" for i in range(50)]
+        alone = [fill(f"a{k}t{t}") + x + fill(f"b{k}t{t}") for t in range(compact_windows.BACK + 2) for k, x in enumerate(lines)]
+        two = fill("c") + lines[0] + [f"new{n}"] + lines[1] + [f"more{n}"] + lines[2] + fill("d")
+        rows += [(100 * n + k, " ".join(x)) for k, x in enumerate([lines[0] + lines[1] + lines[2], *alone, two])]
+        pairs.append((100 * n + len(alone) + 1, 100 * n))
+    got = collections.defaultdict(set)
+    for r in compact_windows.duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"], r["source_doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    assert {*got} == {*pairs} and all(len(got[pair]) >= 115 for pair in pairs)
+
+
+@pytest.mark.parametrize(("missing", "last"), [(0, 0), (0, 2), (1, 3), (9, 10)])
+def test_rarest_places_equal_brute_force(missing, last):
+    r = np.random.default_rng(missing)
+    order, text = r.integers(0, 40, 300).astype(np.uint64), np.repeat([0, -1, 1, 2], [120, 4, 9, 167])
+    want = set()
+    for i in range(len(order) - 11):
+        if text[i] >= 0 and text[i] == text[i + 11]:
+            part = order[i : i + 12]
+            want |= {i + k for k, x in enumerate(part.tolist()) if x and (part < x).sum() <= last and (part == 0).sum() <= missing}
+    assert set(compact_windows.rarest(order, text, 12, missing, last).tolist()) == want
+
+
 def largest_likeness(x, y, least=46):
     """By the definition: over all subsequences of ``least`` shingles or more
     of ``x``, and all of ``y``, the largest Jaccard similarity of their sets."""

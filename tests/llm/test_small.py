@@ -86,6 +86,13 @@ def test_repeated_spans_where_the_source_repeats_a_line():
     assert [(s, e) for s, e, _ in compact_windows.repeated_spans(two, apart, 46, 0.8)] == [(0, 55), (56, 111)]
 
 
+def test_close_by_is_local():
+    lines = [np.arange(100 * k, 100 * k + 12).astype(np.uint64) for k in range(40)]
+    mine, same = np.concatenate(lines), np.concatenate([lines[k * 17 % 40] for k in range(40)])
+    assert not compact_windows.close_by(mine, same, 46, 0.8)
+    assert compact_windows.close_by(mine, np.concatenate([same, mine[100:150]]), 46, 0.8)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 12), min_size=1, max_size=14), st.lists(st.integers(0, 12), max_size=30))
 def test_best_likeness_equals_all_windows(x, other):
