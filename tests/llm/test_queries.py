@@ -554,6 +554,33 @@ def test_scores_equal_brute_force(spark):
             assert states >= 7 and r["score"] == pytest.approx(want, abs=1e-6)
 
 
+def test_states_of_two_words_are_cut_by_no_share(spark):
+    """Two levels from a table joined, with some or all of both rare, equal brute force."""
+    rng = np.random.default_rng(4)
+    follow = {(v, w): rng.permutation(7)[:2] for v in range(7) for w in range(7)}
+    texts = []
+    for _ in range(60):
+        v, w, out = 0, 0, []
+        for _ in range(60):
+            out.append(f"W{w}" if rng.random() < 0.95 else f"rare{rng.integers(10**6)}")
+            v, w = w, int(rng.choice(follow[v, w]))
+        texts.append(" ".join(out))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = [t for i, t in enumerate(texts) if i % 5]
+    want = {i: brute_force_score(train, t)[0] for i, t in enumerate(texts)}
+    for words, states, pairs in ((0, 0.02, 0.005), (0, 1.0, 0.02), (0.15, 0.03, 0.02), (1.0, 1.0, 1.0)):
+        got = suffix_tree.score(df, F.col("doc_id") % 5 == 0, word_share=words, context_share=states, symbol_share=0.1, pair_share=pairs, contexts=1, pairs=2).collect()
+        assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, abs=1e-6)
+
+
+def test_codes_of_pairs_and_triples_differ():
+    keys = np.arange(40)
+    a, b = (x.ravel() for x in np.meshgrid(keys, keys, indexing="ij"))
+    pair = suffix_tree.codes(a, b).reshape(40, 40)
+    triple = suffix_tree.codes(np.repeat(pair, 40), np.broadcast_to(pair, (40, 40, 40)).ravel())
+    assert len(np.unique(np.append(pair, triple))) == 40**2 + 40**3
+
+
 def test_deeper_trees_are_refused(documents):
     with pytest.raises(ValueError):
         suffix_tree.score(documents, depth=3)
