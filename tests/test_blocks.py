@@ -166,3 +166,10 @@ def test_products_are_taken_in_strips_of_bounded_size():
     x, y = rng.normal(size=(1500, 4)), rng.normal(size=(3000, 4))
     parts = list(blocks._strips(x, y))
     assert max(p.size for p in parts) <= blocks.CELLS and np.allclose(np.concatenate(parts), x @ y.T)
+
+
+def test_strips_are_small():
+    """Products that are held at once have 2^17 cells at most, however large both blocks are."""
+    x, y = np.random.default_rng(1).normal(size=(2, 4096, 8))
+    sizes = [s.shape for s in blocks._strips(x, y)]
+    assert sum(n for n, _ in sizes) == 4096 and all(m == 4096 and n * m <= 1 << 17 for n, m in sizes)
