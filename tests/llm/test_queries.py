@@ -414,6 +414,28 @@ def test_passages_equal_their_definition(spark):
     assert got == {pair for pair, like in want.items() if like >= 0.8} and 4 < len(got) < 16
 
 
+def test_passages_that_stick_out_of_others(spark):
+    """A source whose passage goes a few words beyond one found is found too."""
+    rows = []
+    for n in range(40):
+        p = [f"p{n}w{i}" for i in range(83)]
+        fill = lambda tag, n=n: [f"{tag}{n}f{i}" for i in range(60)]
+        rows += [(3 * n, " ".join(fill("a") + p[:80] + fill("b"))), (3 * n + 1, " ".join(fill("c") + p[5:] + fill("d"))), (3 * n + 2, " ".join(p + fill("e")))]
+    got = {tuple(r)[:4] for r in compact_windows.duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all({(3 * n + 2, 0, 80, 3 * n), (3 * n + 2, 5, 83, 3 * n + 1)} <= got for n in range(40))
+
+
+def test_sources_without_new_passages_are_not_verified(monkeypatch):
+    """Of 50 sources of one passage one is verified, and those beyond it."""
+    words = [f"w{i}" for i in range(200)]
+    mine = compact_windows.shingle_sequence(" ".join(words))
+    part = lambda a, b, k: compact_windows.shingle_sequence(" ".join([f"x{k}", *words[a:b], f"y{k}"]))
+    calls, real = [], compact_windows.repeated_spans
+    monkeypatch.setattr(compact_windows, "repeated_spans", lambda *x: calls.append(1) or real(*x))
+    got = compact_windows.new_passages(mine, [(k, 0, 150, part(10, 90, k)) for k in range(50)] + [(77, 0, 150, part(40, 95, 77)), (78, 0, 150, part(120, 190, 78))], {(120, 195)}, 46, 0.8)
+    assert [x[:3] for x in got] == [(10, 90, 0), (40, 95, 77)] and len(calls) == 2
+
+
 def test_long_chains_are_closed_over_ranges(spark):
     """One passage in 400 documents, over many partitions: all but the first find it."""
     p = " ".join(f"common{i}" for i in range(60))
