@@ -436,6 +436,20 @@ def test_sources_without_new_passages_are_not_verified(monkeypatch):
     assert [x[:3] for x in got] == [(10, 90, 0), (40, 95, 77)] and len(calls) == 2
 
 
+def test_tables_leave_no_shuffle_files(spark):
+    """What was shuffled for a written table goes when it is there, so a
+    query's disk is that of its largest step."""
+    from pathlib import Path
+
+    from tarnish.llm.common import written
+
+    dirs = [Path(p) for p in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {p for d in dirs for p in d.rglob("shuffle_*")}
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert written(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "counts").count() == 100
+    assert not {p for p in files() - before if p.suffix == ".data" and p.stat().st_size > 1000} and spark.conf.get(key) == "false"
+
+
 def test_long_chains_are_closed_over_ranges(spark):
     """One passage in 400 documents, over many partitions: all but the first find it."""
     p = " ".join(f"common{i}" for i in range(60))
