@@ -173,3 +173,25 @@ def test_strips_are_small():
     x, y = np.random.default_rng(1).normal(size=(2, 4096, 8))
     sizes = [s.shape for s in blocks._strips(x, y)]
     assert sum(n for n, _ in sizes) == 4096 and all(m == 4096 and n * m <= 1 << 17 for n, m in sizes)
+
+
+def test_pairs_leave_a_task_in_strips(spark, monkeypatch):
+    """A task never holds all pairs of two blocks: what it returns comes in
+    batches of ``CELLS`` pairs, or one row against a block, at most."""
+    v = np.random.default_rng(5).normal(size=(300, 4))
+    a, b = table(spark, v).withColumnsRenamed({"id": "p", "v": "va"}), table(spark, v).withColumnsRenamed({"id": "q", "v": "vb"})
+    monkeypatch.setattr(blocks, "CELLS", 1000)
+    seen, pairs = [], blocks.block_pairs
+
+    def spy(left, right, keys, fold, schema, rows):
+        def counted(x, y):
+            out = fold(x, y)
+            assert out.num_rows <= 1
+            return out
+
+        seen.append(1)
+        return pairs(left, right, keys, counted, schema, rows)
+
+    monkeypatch.setattr(blocks, "block_pairs", spy)
+    got = {(r.p, r.q): r.similarity for r in blocks.pair_similarity(a, b, "p", "q").collect()}
+    assert seen and len(got) == 300 * 300 and all(got[i, j] == pytest.approx(v[i] @ v[j]) for i, j in [(0, 0), (299, 1), (17, 240)])
