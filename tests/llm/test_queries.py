@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -450,6 +451,19 @@ def test_tables_leave_no_shuffle_files(spark):
     assert not {p for p in files() - before if p.suffix == ".data" and p.stat().st_size > 1000} and spark.conf.get(key) == "false"
 
 
+def test_tables_are_made_of_small_batches(spark):
+    """A Python worker that makes a table gets 8 MB or little more at a time."""
+    from tarnish.llm.common import written
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was, rows = spark.conf.get(key), spark.range(6000, numPartitions=1).select(F.repeat(F.lit("x"), 8000).alias("text"))
+    assert written(rows.mapInArrow(sizes, "n long"), "sizes").agg(F.max("n")).first()[0] < 10 << 20 and spark.conf.get(key) == was
+
+
 def test_long_chains_are_closed_over_ranges(spark):
     """One passage in 400 documents, over many partitions: all but the first find it."""
     p = " ".join(f"common{i}" for i in range(60))
